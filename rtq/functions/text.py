@@ -93,15 +93,29 @@ def split_language_pair(df: DataFrame, lp: str = "lp") -> DataFrame:
     )
 
 
+def piece_array(text, split_long: int | None = None) -> Column:
+    """Pieces of a normalised text as an array (word-start marker on the first
+    piece of every word).  ``split_long=k`` applies the fixture's piece rule:
+    a word longer than k characters becomes its first 4 characters + the rest."""
+    words = F.filter(F.split(_c(text), " "), lambda w: w != "")
+    if split_long is None:
+        return F.transform(words, lambda w: F.concat(F.lit(MARK), w))
+    return F.flatten(F.transform(words, lambda w: F.when(
+        F.char_length(w) > split_long,
+        F.array(F.concat(F.lit(MARK), F.substring(w, 1, 4)), F.substr(w, F.lit(5))))
+        .otherwise(F.array(F.concat(F.lit(MARK), w)))))
+
+
 def tokenize(df: DataFrame, text: str, key: str = "pair_id", side: str | None = None,
-             out_pos: str = "pos", out_piece: str = "piece", eos: bool = True) -> DataFrame:
+             out_pos: str = "pos", out_piece: str = "piece", eos: bool = True,
+             split_long: int | None = None) -> DataFrame:
     """TOKEN: normalised text -> one row per piece ``(key, [side], pos, piece)``.
 
-    Every whitespace-separated word becomes one piece carrying the word-start
-    marker; the end-of-sentence piece is appended.  Whole texts, no cap.
+    Every whitespace-separated word becomes one piece (or two under the piece
+    rule) carrying the word-start marker; the end-of-sentence piece is
+    appended.  Whole texts, no cap.
     """
-    words = F.filter(F.split(F.col(text), " "), lambda w: w != "")
-    pieces = F.transform(words, lambda w: F.concat(F.lit(MARK), w))
+    pieces = piece_array(text, split_long)
     if eos:
         pieces = F.concat(pieces, F.array(F.lit(EOS_PIECE)))
     cols = [key] + ([side] if side else [])
