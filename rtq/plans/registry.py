@@ -36,3 +36,4 @@ def register(key: str, oracle: str | None = None):
 # Importing the modules fills the registry.
 from rtq.plans import q_scoring  # noqa: E402,F401
 from rtq.plans import q_text  # noqa: E402,F401
+from rtq.plans import q_lexicon  # noqa: E402,F401

@@ -98,6 +98,13 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("tok").alias("form"), F.when(l == "", F.col("tok")).otherwise(l).alias("lemma"))
 
 
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule stems, a stand-in for a stemmer (applied to words of any language)."""
+    v = vocab(spark, sf_dir)
+    st = F.regexp_replace("tok", "(ing|ly|ed|s)$", "")
+    return v.select(F.col("tok").alias("form"), F.when(st == "", F.col("tok")).otherwise(st).alias("lemma"))
+
+
 def word_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocab(spark, sf_dir)
     x = v.select("tok", F.lit(0).alias("ord"), H("tok").alias("h")).unionAll(
@@ -170,6 +177,8 @@ WHERE b.doc_id <> b.anchor AND a.text <> b.text"""),
 FROM vocab v CROSS JOIN nvec c JOIN embeddings e ON e.vec_id = {_h('v.tok')} % c.n"""),
     "lemmas": (["vocab"], """SELECT tok AS form, CASE WHEN l='' THEN tok ELSE l END AS lemma
 FROM (SELECT tok, regexp_replace(tok,'(tion|ing|ent|ed|es|en|er|s)$','') AS l FROM vocab) x"""),
+    "stems": (["vocab"], """SELECT tok AS form, CASE WHEN l='' THEN tok ELSE l END AS lemma
+FROM (SELECT tok, regexp_replace(tok,'(ing|ly|ed|s)$','') AS l FROM vocab) x"""),
     "word_synsets": (["vocab", "nvec"], f"""SELECT tok AS lemma, CAST(ord AS INTEGER) AS ord, CAST(1 + h % (n-1) AS BIGINT) AS id,
        CASE WHEN h%4=0 THEN 'VERB' WHEN h%4=1 THEN 'ADJECTIVE' ELSE 'NOUN' END AS pos
 FROM (SELECT tok, 0 AS ord, {_h('tok')} AS h FROM vocab UNION ALL SELECT tok, 1, {_h("concat(tok,'#1')")} FROM vocab) x
