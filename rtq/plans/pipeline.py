@@ -23,3 +23,59 @@ def pieces_with_class(spark, sf, segs=None, split_long=SPLIT_LONG) -> DataFrame:
     tv = FX.token_vectors(spark, sf, words=words, with_vector=False)
     j = V.token_vector_join(toks, tv.withColumn("embedding", F.lit(None).cast("array<float>")), "piece")
     return j.select("pair_id", "side", "pos", "piece", F.col("vec_id").alias("cls"))
+
+
+def first_piece_vectors(spark, sf, words: DataFrame, word: str = "word", split_long=SPLIT_LONG) -> DataFrame:
+    """word -> embedding of its first piece (for SC9), over distinct words."""
+    w = words.select(F.col(word).alias("word")).distinct()
+    first = F.col("word") if split_long is None else F.when(
+        F.char_length("word") > split_long, F.substring("word", 1, 4)).otherwise(F.col("word"))
+    w = w.withColumn("tok", first)
+    tv = FX.token_vectors(spark, sf, words=w.select("tok").distinct(), with_vector=True)
+    return w.join(tv.withColumnRenamed("token", "tok"), "tok").select("word", "embedding")
+
+
+def lexicon_edges(spark, sf) -> DataFrame:
+    """Edges as the lexicon service sends them: hypernyms only (PRJ12 at load)."""
+    from rtq.operators.lexicon import any_hypernym_edges
+    return any_hypernym_edges(FX.synset_edges(spark, sf))
+
+
+def classified_pairs(spark, sf, pairs: DataFrame, segs_norm: DataFrame) -> DataFrame:
+    """JN9 + JN10 + CLS1 over word pairs ``(pair_id, k, s, t)``."""
+    from rtq.operators import features as FE
+    from rtq.operators import lexicon as L
+    from rtq.functions.text import char_length_or_1
+    p = pairs.join(segs_norm.select("pair_id", "src_lang", char_length_or_1("nsrc").cast("double").alias("n")), "pair_id")
+    p = FE.stopword_flags(p, L.load_stopwords(spark))
+    lem = FX.lemmas(spark, sf)
+    p = L.lemma_join(p, lem, word="s", out="s_lemma")
+    p = L.lemma_join(p, lem, word="t", out="t_lemma")
+    return FE.classify_pair(p)
+
+
+def feature_table(spark, sf, segs: DataFrame | None = None, technique: str = "TOK",
+                  stats: dict | None = None) -> DataFrame:
+    """Entry 1 of the reference as one plan: segments -> six features each."""
+    from rtq.functions.vectors import word_cosine
+    from rtq.operators import align as A
+    from rtq.operators import features as FE
+    from rtq.operators import paths as P
+    from rtq.plans.q_text import seg_normalized
+    from rtq.session import cut_lineage
+
+    segs = FX.seg_conv(spark, sf) if segs is None else segs
+    norm = seg_normalized(spark, sf, segs)
+    pieces = cut_lineage(pieces_with_class(spark, sf, segs))
+    pairs = A.word_alignment(pieces, piece_vectors(spark, sf), technique, stats=stats)
+    classified = cut_lineage(classified_pairs(spark, sf, pairs, norm))
+    req = cut_lineage(FE.distance_requests(classified))
+    words = req.select(F.col("w1").alias("word")).unionByName(req.select(F.col("w2").alias("word")))
+    dist = P.sense_distance(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf),
+                            first_piece_vectors(spark, sf, words))
+    cos_pairs = classified.filter(F.col("measure") == "cos_surface").select(
+        F.col("s").alias("w1"), F.col("t").alias("w2")).distinct()
+    cw = cos_pairs.select(F.col("w1").alias("word")).unionByName(cos_pairs.select(F.col("w2").alias("word")))
+    cosines = word_cosine(cos_pairs, first_piece_vectors(spark, sf, cw), "w1", "w2", "cos")
+    contribs = FE.attach_pair_distance(classified, cut_lineage(dist), cosines)
+    return FE.segment_features(segs, contribs)

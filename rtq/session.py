@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut the lineage of an iterative plan: write the rows once as a parquet
+    table under ``spark.checkpoint.dir`` (shared storage on a cluster, so it
+    survives executor loss) and read them back.  One pass, unlike an uncached
+    ``Dataset.checkpoint`` which computes the plan twice."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "rtq-" + uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
