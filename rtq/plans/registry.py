@@ -38,3 +38,4 @@ from rtq.plans import q_scoring  # noqa: E402,F401
 from rtq.plans import q_text  # noqa: E402,F401
 from rtq.plans import q_lexicon  # noqa: E402,F401
 from rtq.plans import q_align  # noqa: E402,F401
+from rtq.plans import q_features  # noqa: E402,F401
