@@ -234,9 +234,9 @@ D_SP = ("sp", """SELECT s.pair_id, s.pos AS k, replace(s.piece, '▁', '') AS s,
   FROM toks s LEFT JOIN toks t ON t.pair_id = s.pair_id AND t.side = 'trg' AND t.pos = s.pos WHERE s.side = 'src'""")
 
 
-def same_position_pairs(spark, sf):
+def same_position_pairs(spark, sf, segs=None):
     """Word pairs by equal position (source word k, target word k or '')."""
-    t = seg_tokens(spark, sf).withColumn("w", strip_marker("piece"))
+    t = seg_tokens(spark, sf, segs).withColumn("w", strip_marker("piece"))
     s = t.filter("side = 'src'").select("pair_id", F.col("pos").alias("k"), F.col("w").alias("s"))
     g = t.filter("side = 'trg'").select("pair_id", F.col("pos").alias("k"), F.col("w").alias("t"))
     return s.join(g, ["pair_id", "k"], "left").withColumn("t", F.coalesce("t", F.lit("")))

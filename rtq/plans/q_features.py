@@ -119,8 +119,8 @@ def oracle(body: str) -> str:
     return duck_with(BASE + path_ctes(), body, USES)
 
 
-def _classified(spark, sf):
-    return classified_pairs(spark, sf, same_position_pairs(spark, sf), seg_normalized(spark, sf))
+def _classified(spark, sf, segs=None):
+    return classified_pairs(spark, sf, same_position_pairs(spark, sf, segs), seg_normalized(spark, sf, segs))
 
 
 def _requests(spark, sf):
@@ -281,9 +281,9 @@ def oracle_contrib(body: str) -> str:
     return duck_with(BASE + path_ctes() + [D_FPV2, D_CONTRIB], body, USES)
 
 
-def _contribs(spark, sf):
+def _contribs(spark, sf, segs=None):
     from rtq.functions.vectors import word_cosine
-    c = _classified(spark, sf)
+    c = _classified(spark, sf, segs)
     req = FE.distance_requests(c)
     words = req.select(F.col("w1").alias("word")).unionByName(req.select(F.col("w2").alias("word")))
     dist = P.sense_distance(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf), first_piece_vectors(spark, sf, words))
@@ -309,3 +309,8 @@ def q_jn11(spark, sf):
 def q_agg9(spark, sf):
     feats = FE.segment_features(FX.seg_conv(spark, sf), _contribs(spark, sf))
     return feats.select("pair_id", "EXTRA", "MISS", "STOPWORD", "INFL", "DERI", "SENSE")
+
+
+def same_position_features(spark, sf, segs):
+    """Six features per segment with word pairs taken by equal position."""
+    return FE.segment_features(segs, _contribs(spark, sf, segs))

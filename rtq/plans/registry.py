@@ -39,3 +39,5 @@ from rtq.plans import q_text  # noqa: E402,F401
 from rtq.plans import q_lexicon  # noqa: E402,F401
 from rtq.plans import q_align  # noqa: E402,F401
 from rtq.plans import q_features  # noqa: E402,F401
+from rtq.plans import q_io  # noqa: E402,F401
+from rtq.plans import q_ml  # noqa: E402,F401
