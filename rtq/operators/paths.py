@@ -89,34 +89,35 @@ def expand_until_connected(word_pairs: DataFrame, word_synsets: DataFrame, edges
     """PATH3/PATH4: expand both words level by level until they share a node,
     at most ``max_levels`` levels, all pairs at once.
 
+    Per level one table is written (the new edges of the pairs still apart)
+    and one small one (those pairs); frontier, reach and the connection test
+    are derived lazily from what was written.
+
     Returns a dict of DataFrames: ``seeds``, ``lstar(wp, lstar)`` (connected
-    pairs only) and ``edges(wp, x, y, mult, level[, type])`` (the expansion
-    edges of connected pairs, levels <= L*)."""
+    pairs only) and ``edges(wp, side, x, y, mult, level[, type])`` (the
+    expansion edges of connected pairs, levels <= L*)."""
     seeds = cut_lineage(seed_graph(word_pairs, word_synsets))
     frontier = seeds.groupBy("wp", "side", "node").agg(F.count(F.lit(1)).alias("mult"))
-    reach = frontier.select("wp", "side", "node", F.lit(0).alias("lvl"))
+    reach = frontier.select("wp", "side", "node")
     active = word_pairs.select("wp").distinct()
-    connected, acc = [], []
+    hits, acc = [], []
     for level in range(0, max_levels + 1):
         r1 = reach.filter("side = 1").select("wp", "node")
         r2 = reach.filter("side = 2").select("wp", "node")
         hit = r1.join(r2, ["wp", "node"]).select("wp").distinct().join(active, "wp", "left_semi")
-        hit = cut_lineage(hit.withColumn("lstar", F.lit(level)))
-        connected.append(hit)
+        hits.append(hit.withColumn("lstar", F.lit(level)))
         active = cut_lineage(active.join(hit, "wp", "left_anti"))
         if level == max_levels or active.isEmpty():
             break
-        frontier = frontier.join(active, "wp", "left_semi")
-        new, nxt = expand_frontier(frontier, edges, typed)
+        new, nxt = expand_frontier(frontier.join(active, "wp", "left_semi"), edges, typed)
         new = cut_lineage(new.withColumn("level", F.lit(level + 1)))
         acc.append(new)
-        frontier = cut_lineage(nxt)
-        fresh = frontier.select("wp", "side", "node").join(reach.select("wp", "side", "node"),
-                                                           ["wp", "side", "node"], "left_anti")
-        reach = cut_lineage(reach.unionByName(fresh.withColumn("lvl", F.lit(level + 1))))
-    lstar = connected[0]
-    for h in connected[1:]:
+        frontier = new.groupBy("wp", "side", F.col("y").alias("node")).agg(F.sum("mult").alias("mult"))
+        reach = reach.unionByName(new.select("wp", "side", F.col("y").alias("node")))
+    lstar = hits[0]
+    for h in hits[1:]:
         lstar = lstar.unionByName(h)
+    lstar = cut_lineage(lstar)
     spark = word_pairs.sparkSession
     schema = "wp long, side int, x string, y string, mult long, level int" + (", type string" if typed else "")
     edges_out = spark.createDataFrame([], schema)
@@ -186,43 +187,34 @@ def edge_weight(graph: DataFrame, typed: bool = False) -> DataFrame:
 def shortest_hops(word_pairs: DataFrame, weighted: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """PATH5 / PATH5p: breadth-first search from word 1 to word 2 on the
     undirected graph of each pair; among hop-shortest paths the one of least
-    total weight, then the smallest node sequence (Q7).
+    total weight, then the smallest node sequence (Q7).  One frontier table is
+    written per hop; visited nodes and hits are unions of those tables.
     Returns ``(wp, hops, total_weight, path)``."""
     adj = weighted.filter(F.col("u") != F.col("v")).select("wp", "u", "v", "weight")
     adj = adj.unionByName(adj.select("wp", F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     adj = cut_lineage(adj)
-    pairs = word_pairs.select("wp", wnode(F.lower("w1")).alias("src"), wnode(F.lower("w2")).alias("dst")).join(
-        adj.select("wp").distinct(), "wp", "left_semi")
-    frontier = pairs.select("wp", F.col("src").alias("node"), F.lit(0.0).alias("cost"),
+    pairs = cut_lineage(word_pairs.select("wp", wnode(F.lower("w1")).alias("src"), wnode(F.lower("w2")).alias("dst"))
+                        .join(adj.select("wp").distinct(), "wp", "left_semi"))
+    frontier = pairs.select("wp", F.col("src").alias("node"), F.lit(0).alias("hops"), F.lit(0.0).alias("cost"),
                             F.array(F.col("src")).alias("path"))
+    layers = [frontier]
     visited = frontier.select("wp", "node")
-    done = pairs.filter(F.col("src") == F.col("dst")).select(
-        "wp", F.lit(0).alias("hops"), F.lit(0.0).alias("total_weight"), F.array("src").alias("path"))
-    found = [done]
-    active = pairs.filter(F.col("src") != F.col("dst")).select("wp", "dst")
+    found = frontier.join(pairs.select("wp", F.col("dst").alias("node")), ["wp", "node"], "left_semi")
     for h in range(1, max_hops + 1):
-        cand = frontier.join(active.select("wp"), "wp", "left_semi").join(
-            adj.withColumnRenamed("u", "node"), ["wp", "node"])
+        open_pairs = pairs.select("wp").join(found.select("wp"), "wp", "left_anti")
+        cand = frontier.join(open_pairs, "wp", "left_semi").join(adj.withColumnRenamed("u", "node"), ["wp", "node"])
         cand = cand.select("wp", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
                            F.concat("path", F.array("v")).alias("path"))
         cand = cand.join(visited, ["wp", "node"], "left_anti")
         best = cand.groupBy("wp", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select(
-            "wp", "node", F.col("b.cost").alias("cost"), F.col("b.path").alias("path"))
+            "wp", "node", F.lit(h).alias("hops"), F.col("b.cost").alias("cost"), F.col("b.path").alias("path"))
         frontier = cut_lineage(best)
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier.select("wp", "node")))
-        hit = frontier.join(active, (frontier["wp"] == active["wp"]) & (frontier["node"] == active["dst"])).select(
-            frontier["wp"], F.lit(h).alias("hops"), F.col("cost").alias("total_weight"), "path")
-        hit = cut_lineage(hit)
-        found.append(hit)
-        active = cut_lineage(active.join(hit.select("wp"), "wp", "left_anti"))
-        if active.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        layers.append(frontier)
+        visited = visited.unionByName(frontier.select("wp", "node"))
+        found = found.unionByName(frontier.join(pairs.select("wp", F.col("dst").alias("node")), ["wp", "node"], "left_semi"))
+    return found.select("wp", F.col("hops").cast("int"), F.col("cost").alias("total_weight"), "path")
 
 
 def path_edges(paths: DataFrame, weighted: DataFrame | None = None) -> DataFrame:
@@ -243,14 +235,14 @@ def node_depth(word_pairs: DataFrame, graph: DataFrame, max_hops: int = MAX_HOPS
     adj = cut_lineage(adj.unionByName(adj.select("wp", F.col("v").alias("u"), F.col("u").alias("v"))))
     roots = word_pairs.select("wp", wnode(F.lower("w1")).alias("node")).unionByName(
         word_pairs.select("wp", wnode(F.lower("w2")).alias("node"))).join(adj.select("wp").distinct(), "wp", "left_semi")
-    visited = roots.distinct().withColumn("depth", F.lit(0))
-    frontier = visited.select("wp", "node")
+    frontier = cut_lineage(roots.distinct())
+    visited = frontier.withColumn("depth", F.lit(0))
     for h in range(1, max_hops + 1):
         nxt = frontier.join(adj.withColumnRenamed("u", "node"), ["wp", "node"]).select("wp", F.col("v").alias("node"))
         nxt = cut_lineage(nxt.distinct().join(visited.select("wp", "node"), ["wp", "node"], "left_anti"))
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt.withColumn("depth", F.lit(h))))
+        visited = visited.unionByName(nxt.withColumn("depth", F.lit(h)))
         frontier = nxt
     return visited
 
@@ -275,6 +267,7 @@ def sense_distance(word_pairs: DataFrame, word_synsets: DataFrame, edges: DataFr
     pieces of the two words (SC9).  Output ``(wp, w1, w2, has_path, total_weight,
     sense_by_path, sense_by_cosine, distance)``."""
     from rtq.functions.vectors import word_cosine
+    word_pairs = cut_lineage(word_pairs.select("wp", "w1", "w2"))  # read many times by the loops
     g = expand_until_connected(word_pairs, word_synsets, edges, max_levels, typed)
     weighted = cut_lineage(edge_weight(graph_edges(g, typed), typed))
     sp = shortest_hops(word_pairs, weighted)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rtq.functions import vectors as V
 from rtq.functions.text import strip_marker
-from rtq.plans.q_text import SPLIT_LONG, seg_tokens
+from rtq.plans.segments import SPLIT_LONG, seg_tokens
 from rtq.sources import fixtures as FX
 
 
@@ -61,7 +61,7 @@ def feature_table(spark, sf, segs: DataFrame | None = None, technique: str = "TO
     from rtq.operators import align as A
     from rtq.operators import features as FE
     from rtq.operators import paths as P
-    from rtq.plans.q_text import seg_normalized
+    from rtq.plans.segments import seg_normalized
     from rtq.session import cut_lineage
 
     segs = FX.seg_conv(spark, sf) if segs is None else segs

@@ -283,7 +283,8 @@ def oracle_contrib(body: str) -> str:
 
 def _contribs(spark, sf, segs=None):
     from rtq.functions.vectors import word_cosine
-    c = _classified(spark, sf, segs)
+    from rtq.session import cut_lineage
+    c = cut_lineage(_classified(spark, sf, segs))
     req = FE.distance_requests(c)
     words = req.select(F.col("w1").alias("word")).unionByName(req.select(F.col("w2").alias("word")))
     dist = P.sense_distance(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf), first_piece_vectors(spark, sf, words))

@@ -9,7 +9,7 @@ from rtq.plans.registry import register
 from rtq.sources import fixtures as FX
 from rtq.sources.fixtures import duck_with
 
-SPLIT_LONG = 6  # fixture piece rule: words longer than 6 characters -> 2 pieces
+from rtq.plans.segments import SPLIT_LONG, seg_normalized, seg_tokens  # noqa: F401
 
 
 def duck_norm_en(x: str) -> str:
@@ -46,20 +46,6 @@ DUCK_TOKS = ("toks", f"""SELECT pair_id, side, CAST(pos AS INTEGER) AS pos, piec
     UNION ALL SELECT pair_id, 'trg', {duck_pieces('ntrg')} FROM segn) a) b""")
 
 
-def seg_normalized(spark, sf, segs=None):
-    s = FX.seg_conv(spark, sf) if segs is None else segs
-    lang = F.substring("lp", 1, 2)
-    return s.select("pair_id", "lp", lang.alias("src_lang"), T.normalize_text("src", lang).alias("nsrc"),
-                    T.normalize_text("trg", lang).alias("ntrg"))
-
-
-def seg_tokens(spark, sf, segs=None, split_long=SPLIT_LONG):
-    n = seg_normalized(spark, sf, segs)
-    both = n.select("pair_id", F.lit("src").alias("side"), F.col("nsrc").alias("text")).unionAll(
-        n.select("pair_id", F.lit("trg").alias("side"), F.col("ntrg").alias("text")))
-    return T.tokenize(both, "text", "pair_id", "side", split_long=split_long)
-
-
 @register("SC1_normalize_en", f"SELECT conv_id, turn, {duck_norm_en('text')} AS norm FROM conversations")
 def q_sc1(spark, sf):
     return FX.table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_en("text").alias("norm"))
