@@ -21,7 +21,8 @@ def main() -> None:
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * int(cpus)))
 
     from rtq.plans.pipeline import feature_table
-    from rtq.plans.registry import QUERIES
+    from rtq.plans.registry import QUERIES, load_all
+    load_all()
 
     def sink(df):
         df.write.format("noop").mode("overwrite").save()

@@ -99,6 +99,7 @@ def q_inf1b(spark, sf):
 
 
 def _str1_oracle():
+    from rtq.plans import q_features  # noqa: F401  (registers AGG9 first)
     from rtq.plans.registry import ORACLES
     return ORACLES["AGG9_segment_features"]
 

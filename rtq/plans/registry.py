@@ -33,11 +33,6 @@ def register(key: str, oracle: str | None = None):
     return deco
 
 
-# Importing the modules fills the registry.
-from rtq.plans import q_scoring  # noqa: E402,F401
-from rtq.plans import q_text  # noqa: E402,F401
-from rtq.plans import q_lexicon  # noqa: E402,F401
-from rtq.plans import q_align  # noqa: E402,F401
-from rtq.plans import q_features  # noqa: E402,F401
-from rtq.plans import q_io  # noqa: E402,F401
-from rtq.plans import q_ml  # noqa: E402,F401
+def load_all() -> None:
+    """Import every query module (each registers its queries)."""
+    from rtq.plans import q_align, q_features, q_io, q_lexicon, q_ml, q_scoring, q_text  # noqa: F401
