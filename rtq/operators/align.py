@@ -286,3 +286,59 @@ def word_alignment(pieces: DataFrame, piece_vectors: DataFrame, technique: str =
     if technique == "TOK":
         return regroup_to_words(res, assign, keep_last)
     return word_level_pairs(res, assign)
+
+
+# ---------------------------------------------------------------- ALN2 -----
+
+def align_auction(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, max_rounds: int | None = None,
+                  stats: dict | None = None) -> DataFrame:
+    """ALN2: one-to-one matching of the residual units by auction (Bertsekas):
+    every unassigned source unit bids for its best target (value = similarity
+    - price) raising the price by best - second best + eps; each target goes
+    to its highest bidder (ties to the smaller i).  All sentence pairs advance
+    together; the residual is padded to a square with similarity 0.  The
+    total similarity is within n*eps of the optimum.  Returns (pair_id, i, j).
+
+    Each round is a few small jobs; on real residuals the synchronous
+    auction needs many rounds (price wars), so it is not used by the
+    pipeline or registered as a driver query yet (eps-scaling is next)."""
+    spark = res.sparkSession
+    s = res.filter(F.col("side") == "src").select("pair_id", F.col("rpos").alias("i"), F.col("cls").alias("a"))
+    t = res.filter(F.col("side") == "trg").select("pair_id", F.col("rpos").alias("j"), F.col("cls").alias("b"))
+    real = s.select("pair_id", "i")
+    n = s.groupBy("pair_id").agg(F.count(F.lit(1)).alias("ns")).join(
+        t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("nt")), "pair_id")
+    n = n.withColumn("n", F.greatest("ns", "nt"))
+    # square: extra rows/columns with similarity 0 (null class)
+    pad_s = n.filter("ns < n").select("pair_id", F.explode(F.sequence(F.col("ns").cast("int"), (F.col("n") - 1).cast("int"))).alias("i"))
+    pad_t = n.filter("nt < n").select("pair_id", F.explode(F.sequence(F.col("nt").cast("int"), (F.col("n") - 1).cast("int"))).alias("j"))
+    s = s.unionByName(pad_s.withColumn("a", F.lit(None).cast(s.schema["a"].dataType)))
+    t = t.unionByName(pad_t.withColumn("b", F.lit(None).cast(t.schema["b"].dataType)))
+    e = s.join(t, "pair_id")
+    sims = V.class_similarity(e.filter(F.col("a").isNotNull() & F.col("b").isNotNull()), vectors)
+    e = cut_lineage(e.join(sims, ["a", "b"], "left").select("pair_id", "i", "j", F.coalesce("sim", F.lit(0.0)).alias("v")))
+    owner = spark.createDataFrame([], "pair_id long, j int, i int")
+    price = t.select("pair_id", "j", F.lit(0.0).alias("p"))
+    price = cut_lineage(price)
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        free = s.select("pair_id", "i").join(owner.select("pair_id", "i"), ["pair_id", "i"], "left_anti")
+        net = e.join(free, ["pair_id", "i"], "left_semi").join(price, ["pair_id", "j"]).withColumn("w", F.col("v") - F.col("p"))
+        best = net.groupBy("pair_id", "i").agg(F.max(F.struct("w", (-F.col("j")).alias("nj"))).alias("b1"))
+        best = best.select("pair_id", "i", F.col("b1.w").alias("w1"), (-F.col("b1.nj")).alias("j"))
+        second = net.join(best.select("pair_id", "i", F.col("j").alias("bj")), ["pair_id", "i"]).filter(
+            F.col("j") != F.col("bj")).groupBy("pair_id", "i").agg(F.max("w").alias("w2"))
+        bids = best.join(second, ["pair_id", "i"], "left").join(price, ["pair_id", "j"]).withColumn(
+            "bid", F.col("p") + F.col("w1") - F.coalesce("w2", F.col("w1") - F.lit(1.0)) + F.lit(eps))
+        win = bids.groupBy("pair_id", "j").agg(F.max(F.struct("bid", (-F.col("i")).alias("ni"))).alias("m"))
+        win = cut_lineage(win.select("pair_id", "j", (-F.col("m.ni")).cast("int").alias("i"), F.col("m.bid").alias("bid")))
+        if win.isEmpty():
+            break
+        rounds += 1
+        owner = cut_lineage(owner.join(win.select("pair_id", "j"), ["pair_id", "j"], "left_anti").unionByName(
+            win.select("pair_id", "j", "i")))
+        price = cut_lineage(price.join(win.select("pair_id", "j", "bid"), ["pair_id", "j"], "left").select(
+            "pair_id", "j", F.coalesce("bid", "p").alias("p")))
+    if stats is not None:
+        stats["rounds"] = rounds
+    return owner.join(real, ["pair_id", "i"], "left_semi").select("pair_id", "i", "j")

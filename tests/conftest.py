@@ -19,6 +19,7 @@ def spark():
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rtq-test-ckpt-"))
+    b = b.config("spark.driver.memory", "8g")
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     from rtq.session import ensure_checkpoint_dir

@@ -49,3 +49,18 @@ def test_greedy_is_one_to_one(spark):
     a = A.align_greedy(res, pv)
     assert a.groupBy("pair_id", "i").count().filter("count > 1").count() == 0
     assert a.groupBy("pair_id", "j").count().filter("count > 1").count() == 0
+
+
+def test_auction_small_instance(spark):
+    """ALN2 on hand-built pairs: optimal where greedy is not, padding handled."""
+    # pair 1: greedy takes (0,0)=0.9 then (1,1)=0.1 -> 1.0; optimum (0,1)+(1,0) = 0.8+0.8 = 1.6
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.8, 0.6]), (2, [0.6, 0.8]), (3, [0.0, 1.0])],
+                                 "cls long, embedding array<float>")
+    # sims: cos(c0,c1)=0.8, cos(c0,c2)=0.6, cos(c3,c1)=0.6, cos(c3,c2)=0.8
+    res = spark.createDataFrame([
+        (1, "src", 0, "▁a", 1, 0), (1, "src", 1, "▁b", 2, 1),
+        (1, "trg", 0, "▁c", 0, 0), (1, "trg", 1, "▁d", 3, 1),
+        (2, "src", 0, "▁e", 0, 0), (2, "trg", 0, "▁f", 1, 0), (2, "trg", 1, "▁g", 2, 1)],
+        "pair_id long, side string, pos int, piece string, cls long, rpos int")
+    out = sorted((r.pair_id, r.i, r.j) for r in A.align_auction(res, vecs, eps=0.01).collect())
+    assert out == [(1, 0, 0), (1, 1, 1), (2, 0, 0)]
