@@ -82,15 +82,17 @@ def near_identical_classes(vectors: DataFrame, cls: str = "cls", vec: str = "emb
 
 
 def combine_word_vectors(units: DataFrame, key_cols: list[str], agg: str, vec: str = "embedding",
-                         order: str = "pos") -> DataFrame:
+                         order: str = "pos", word: str | None = "word_no") -> DataFrame:
     """AGG6: one vector per word from its pieces: AVG, MAX or FIRST.
-    ``units`` carries ``word_no``; the result has ``(key..., word_no, vector)``."""
+    ``units`` carries ``word`` (default ``word_no``; None: the keys name the
+    word); the result has ``(key..., [word], vector)``."""
+    keys = list(key_cols) + ([word] if word else [])
     if agg == "FIRST":
-        return units.groupBy(*key_cols, "word_no").agg(F.min_by(F.col(vec), F.col(order)).alias("vector"))
-    e = units.select(*key_cols, "word_no", F.posexplode(vec).alias("dim", "v"))
+        return units.groupBy(*keys).agg(F.min_by(F.col(vec), F.col(order)).alias("vector"))
+    e = units.select(*keys, F.posexplode(vec).alias("dim", "v"))
     f = F.avg("v") if agg == "AVG" else F.max(F.col("v").cast("double"))
-    g = e.groupBy(*key_cols, "word_no", "dim").agg(f.alias("v"))
-    return g.groupBy(*key_cols, "word_no").agg(
+    g = e.groupBy(*keys, "dim").agg(f.alias("v"))
+    return g.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vector"))
 
 

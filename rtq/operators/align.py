@@ -261,7 +261,7 @@ def word_units(pieces: DataFrame, piece_vectors: DataFrame, technique: str) -> t
     keys = units.select("cls").distinct()
     parts = keys.select("cls", F.posexplode(F.split("cls", " ")).alias("pos", "c")).filter(F.col("c") != "_")
     pv = piece_vectors.select(F.col("cls").cast("string").alias("c"), "embedding")
-    vecs = V.combine_word_vectors(parts.join(pv, "c"), ["cls"], technique, "embedding", "pos")
+    vecs = V.combine_word_vectors(parts.join(pv, "c"), ["cls"], technique, "embedding", "pos", word=None)
     return units, vecs.select("cls", F.col("vector").alias("embedding"))
 
 

@@ -120,9 +120,14 @@ def q_sc8(spark, sf):
     return a.join(b, "vec_id").select("vec_id", V.cosine("a", "b").alias("cos"))
 
 
-@register("JN6_pairwise_similarity", duck_with(BASE + [D_PROD], "SELECT pair_id, i, j, sim FROM prod", SEG))
+D_PROD_REAL = ("prod_real", D_PROD[1].replace("FROM units s JOIN units t", "FROM pcls s JOIN pcls t"))
+
+
+@register("JN6_pairwise_similarity", duck_with(BASE + [D_PROD_REAL], "SELECT pair_id, i, j, sim FROM prod_real", SEG))
 def q_jn6(spark, sf):
-    return A.pairwise_similarity(_units(spark, sf), piece_vectors(spark, sf))
+    """Every real source token x every real target token of a pair (padding
+    adds only zero similarities and is left out here)."""
+    return A.pairwise_similarity(pieces_with_class(spark, sf), piece_vectors(spark, sf))
 
 
 @register("JN7_near_identical_tokens", duck_with(MATCH, "SELECT pair_id, i, j FROM matches", SEG))

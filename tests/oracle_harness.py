@@ -85,9 +85,13 @@ def main(argv):
     bad = 0
     for n in names:
         if n not in os_:
-            df = qs[n](spark, sf_dir)
             t0 = time.time()
-            c = df.count()
+            try:
+                c = qs[n](spark, sf_dir).count()
+            except Exception as e:  # noqa: BLE001
+                bad += 1
+                print(f"{n:32s} ERROR {type(e).__name__}: {str(e)[:300]}", flush=True)
+                continue
             print(f"{n:32s} ROWS-ONLY rows={c} {time.time()-t0:.1f}s", flush=True)
             continue
         try:
