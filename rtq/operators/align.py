@@ -179,17 +179,30 @@ def align_greedy(res: DataFrame, vectors: DataFrame, checkpoint_every: int = 3,
     e = e.join(sims, ["a", "b"]).filter(F.col("sim") > 0).select("pair_id", "i", "j", "sim")
     e = cut_lineage(e)
     rounds, matched = 0, []
+    e_cached, release = False, None
     while True:
         bi = best_match(e, "i", "j").select("pair_id", "i", "j")
         bj = best_match(e, "j", "i").select("pair_id", "j", "i")
-        m = cut_lineage(bi.join(bj, ["pair_id", "i", "j"]))
+        m = cut_lineage(bi.join(bj, ["pair_id", "i", "j"]))  # materialises e
+        if release is not None:
+            release.unpersist()  # the generation e was derived from
+            release = None
         if m.isEmpty():
             break
         rounds += 1
         matched.append(m)
-        e = e.join(m.select("pair_id", "i"), ["pair_id", "i"], "left_anti").join(
+        nxt = e.join(m.select("pair_id", "i"), ["pair_id", "i"], "left_anti").join(
             m.select("pair_id", "j"), ["pair_id", "j"], "left_anti")
-        e = cut_lineage(e) if rounds % checkpoint_every == 0 else e.persist()
+        if rounds % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)  # written now: the cached generation can go at once
+            if e_cached:
+                e.unpersist()
+            e, e_cached = nxt, False
+        else:
+            release = e if e_cached else None  # still needed until nxt is materialised
+            e, e_cached = nxt.persist(), True
+    if e_cached:
+        e.unpersist()
     greedy = (matched[0] if matched else spark.createDataFrame([], "pair_id long, i int, j int"))
     for m in matched[1:]:
         greedy = greedy.unionByName(m)
