@@ -36,4 +36,4 @@ def test_every_query_has_a_builder():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["system", "score", "pred"]
+    assert df.columns == ["pair_id", "lp", "EXTRA", "MISS", "STOPWORD", "INFL", "DERI", "SENSE", "n_pairs"]
