@@ -102,9 +102,10 @@ def expand_until_connected(word_pairs: DataFrame, word_synsets: DataFrame, edges
     active = word_pairs.select("wp").distinct()
     hits, acc = [], []
     for level in range(0, max_levels + 1):
-        r1 = reach.filter("side = 1").select("wp", "node")
-        r2 = reach.filter("side = 2").select("wp", "node")
-        hit = r1.join(r2, ["wp", "node"]).select("wp").distinct().join(active, "wp", "left_semi")
+        open_reach = reach.join(active, "wp", "left_semi")  # pairs still apart only
+        r1 = open_reach.filter("side = 1").select("wp", "node")
+        r2 = open_reach.filter("side = 2").select("wp", "node")
+        hit = cut_lineage(r1.join(r2, ["wp", "node"]).select("wp").distinct())
         hits.append(hit.withColumn("lstar", F.lit(level)))
         active = cut_lineage(active.join(hit, "wp", "left_anti"))
         if level == max_levels or active.isEmpty():
