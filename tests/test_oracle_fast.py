@@ -13,7 +13,8 @@ from oracle_harness import compare, duck_connect
 FAST = ["PRJ1_assign_batches", "AGG11_system_scores", "AGG12_pearson", "SC1_normalize_en", "TOKEN_tokenize_segments",
         "AGG7_combine_word_text", "SRC3_load_synsets", "PRJ8_synset_lemmas", "AGG3_word_synset_index",
         "AGG14_lookup_stats", "JN7_near_identical_tokens", "WIN4_monotone_ambiguous", "TOP2_best_match",
-        "CLS1_classify_pair", "SRC1_read_segments", "JN13_attach_back_translation"]
+        "CLS1_classify_pair", "SRC1_read_segments", "JN13_attach_back_translation", "PATH7_sense_distance",
+        "AGG9_segment_features", "STR1_incremental_features"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("RTQ_FULL") else FAST
 
 
