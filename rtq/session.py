@@ -1,4 +1,5 @@
-"""Session helpers: one place for the conf this library relies on."""
+"""Session helpers: one place for the conf this library relies on, and for
+intermediate tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,30 +34,48 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables.
 
-    On a cluster the operator sets it to a shared file system; we only pick a
-    scratch folder when it is unset (local tests).
+    A folder given to ``setCheckpointDir`` counts first, then the
+    ``spark.checkpoint.dir`` setting.  Only a local session (one machine) gets a
+    scratch folder of its own; on a cluster an unset folder is an error, since
+    executors could not see each other's local disks.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rtq-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001  (core conf not settable at runtime)
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+        current = sc.getCheckpointDir()
     return current
 
 
-def cut_lineage(df, eager: bool = True):
-    """Cut the lineage of an iterative plan: write the rows once as a parquet
-    table under ``spark.checkpoint.dir`` (shared storage on a cluster, so it
-    survives executor loss) and read them back.  One pass, unlike an uncached
-    ``Dataset.checkpoint`` which computes the plan twice."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
+    return os.path.join(ensure_checkpoint_dir(spark), "rtq-" + spark.sparkContext.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str = "t") -> str:
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.  The owner of a result
+    calls it once the result is written: until then lazy plans read them."""
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
+    """Cut the lineage of a plan: write the rows once as a parquet table in the
+    shared checkpoint folder (it survives executor loss) and read them back.
+    One pass, unlike an uncached ``Dataset.checkpoint`` which computes the plan
+    twice."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "rtq-" + uuid.uuid4().hex)
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rtq.session import scratch_path  # noqa: F401  (re-exported)
+
 SEGMENT_SCHEMA = ("id STRING, lp STRING, system STRING, src STRING, mt STRING, ref STRING, score DOUBLE, "
                   "raw DOUBLE, annotators INT, domain STRING, trg STRING")
 FEATURE_COLUMNS = ["EXTRA", "MISS", "STOPWORD", "INFL", "DERI", "SENSE"]
@@ -56,14 +58,6 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    import os
-    import uuid
-    from rtq.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def with_segment_columns(df: DataFrame) -> DataFrame:
     """Fill the reference segment schema from a (pair_id, lp, src, trg) fixture."""
     return df.select(F.col("pair_id").cast("string").alias("id"), "lp", F.lit(None).cast("string").alias("system"),
