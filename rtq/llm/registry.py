@@ -1,6 +1,6 @@
 """All queries of this subpackage: importing the modules registers them."""
 
-from rtq.llm import language_id, mixing, near_dups, quality, sharding, url_rules  # noqa: F401
+from rtq.llm import language_id, licenses, mixing, near_dups, quality, sharding, url_rules, warc  # noqa: F401
 from rtq.llm.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
