@@ -31,7 +31,7 @@ BROADCAST_WINDOWS = 1_000_000
 NAME = "\x01"
 #: A capitalised word after another word or a comma in the same sentence.
 NAME_RULE = r"([\p{L}\p{N},;:]\s)(\p{Lu}\p{Ll}+)"
-TOKEN = r"\x01?\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,:]\p{N}+)*"
+TOKEN = r"\x01?\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,:][0-9]+)*"
 #: Unit words.
 UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds ml l liter liters "
          "litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
@@ -39,18 +39,19 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton ton
 
 
 def _tokens(text: Column) -> Column:
+    """Lower-cased words and numbers; names keep their mark in front."""
     marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(NAME), F.lit(" ")), NAME_RULE, "$1" + NAME + "$2")
-    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
 def _canonical(token: Column) -> Column:
-    low = F.lower(token)
-    return (F.when(token.startswith(NAME), F.lit("<name>")).when(~token.rlike(r"^\p{L}"), F.lit("<number>"))
-            .when(low.isin(*UNITS), F.lit("<unit>")).otherwise(low))
+    """A token starts with the name mark, a digit or a letter, in this order of bytes."""
+    return (F.when(token < "\x02", F.lit("<name>")).when(token < ":", F.lit("<number>"))
+            .when(token.isin(*UNITS), F.lit("<unit>")).otherwise(token))
 
 
-def _windows(n: Column, item: Column) -> Column:
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), item))
+def _window_hash(hashes: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(hashes, i + j) for j in range(WINDOW)])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -59,15 +60,16 @@ def item_windows(items: DataFrame) -> DataFrame:
     w = t.withColumn("n", F.size("raw")).select("item_id", "n", "form", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - WINDOW))).alias("item_at"))
     part = F.slice("form", F.col("item_at") + 1, WINDOW)
     w = w.where((F.col("n") >= WINDOW) & (F.size(F.filter(part, lambda x: ~x.startswith("<"))) >= LEAST_LITERALS))
-    return w.select("item_id", F.col("n").alias("item_words"), "item_at", F.xxhash64(*[F.get("form", F.col("item_at") + i) for i in range(WINDOW)]).alias("hash"))
+    return w.select("item_id", F.col("n").alias("item_words"), "item_at", _window_hash(F.transform("form", lambda x: F.xxhash64(x)), F.col("item_at")).alias("hash"))
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, item_at, at): a text's windows that are an item's."""
-    form = F.col("form")
-    t = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(_tokens(F.col("text")), _canonical).alias("form"))
-    t = t.withColumn("n", F.size("form")).where(F.col("n") >= WINDOW)
-    t = t.select("doc_id", "text_key", F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*[F.get(form, i + j) for j in range(WINDOW)])).alias("hashes"))
+    t = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(
+        _tokens(F.col("text")), lambda x: F.xxhash64(_canonical(x))).alias("form"))
+    n = F.size("form")
+    t = t.select("doc_id", "text_key", F.when(n >= WINDOW, F.transform(
+        F.sequence(F.lit(0), n - WINDOW), lambda i: _window_hash(F.col("form"), i))).alias("hashes"))
     # The outer form: for the inner one the optimizer adds a filter on the array
     # below, which would make every word anew for each window.
     t = t.select("doc_id", "text_key", F.posexplode_outer("hashes").alias("at", "hash"))
@@ -96,12 +98,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
         "doc_id", "text_key", "item_id", "shift", "lo", "hi", F.slice("raw", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
     slots = items.select("item_id", F.posexplode(_tokens(F.col("text"))).alias("place", "value"))
     slots = slots.withColumn("form", _canonical(F.col("value"))).where(F.col("form").startswith("<")).groupBy("item_id").agg(
-        F.collect_list(F.struct("place", "form", F.lower("value").alias("value"))).alias("slots"))
+        F.collect_list(F.struct("place", "form", "value")).alias("slots"))
     pairs = part.join(slots, "item_id", "left").select("doc_id", "text_key", "item_id", "shift", F.transform(F.filter(
         F.coalesce("slots", F.array().cast("array<struct<place:int,form:string,value:string>>")),
         lambda s: (s["place"] + F.col("shift") >= F.col("lo")) & (s["place"] + F.col("shift") < F.col("hi"))),
         lambda s: F.struct(s["form"].alias("form"), s["value"].alias("mine"),
-                           F.lower(F.get("words", s["place"] + F.col("shift") - F.col("lo"))).alias("theirs"))).alias("met"))
+                           F.get("words", s["place"] + F.col("shift") - F.col("lo")).alias("theirs"))).alias("met"))
     mine = F.transform("met", lambda m: F.struct(m["form"], m["mine"]))
     pairs = pairs.select("doc_id", "text_key", "item_id", "shift",
                          (F.size(F.array_distinct("met")) == F.size(F.array_distinct(mine))).alias("consistent"),
@@ -127,20 +129,20 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 _UNIT_SQL = ", ".join(f"'{u}'" for u in UNITS)
 ORACLE = rf"""
 WITH tok AS (
-       SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(regexp_replace(replace(text, chr(1), ' '),
-              '([\p{{L}}\p{{N}},;:]\s)(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g'), '\x01?\p{{L}}[\p{{L}}\p{{M}}]*|\p{{N}}+(?:[.,:]\p{{N}}+)*') AS w FROM documents
+       SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(lower(regexp_replace(replace(text, chr(1), ' '),
+              '([\p{{L}}\p{{N}},;:]\s)(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g')), '\x01?\p{{L}}[\p{{L}}\p{{M}}]*|[0-9]+(?:[.,:][0-9]+)*') AS w FROM documents
        UNION ALL
-       SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(regexp_replace(replace(text, chr(1), ' '),
-              '([\p{{L}}\p{{N}},;:]\s)(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g'), '\x01?\p{{L}}[\p{{L}}\p{{M}}]*|\p{{N}}+(?:[.,:]\p{{N}}+)*') FROM benchmark),
-     form AS (SELECT *, list_transform(w, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN NOT regexp_matches(x, '^\p{{L}}') THEN '<number>'
-                     WHEN lower(x) IN ({_UNIT_SQL}) THEN '<unit>' ELSE lower(x) END) AS f FROM tok),
+       SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(lower(regexp_replace(replace(text, chr(1), ' '),
+              '([\p{{L}}\p{{N}},;:]\s)(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g')), '\x01?\p{{L}}[\p{{L}}\p{{M}}]*|[0-9]+(?:[.,:][0-9]+)*') FROM benchmark),
+     form AS (SELECT *, list_transform(w, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_matches(x, '^[0-9]') THEN '<number>'
+                     WHEN x IN ({_UNIT_SQL}) THEN '<unit>' ELSE x END) AS f FROM tok),
      win AS (SELECT side, id, r, len(f) AS n, i, array_to_string(f[i+1:i+{WINDOW}], ' ') AS s,
                     len(list_filter(f[i+1:i+{WINDOW}], lambda x: NOT starts_with(x, '<'))) AS literals
              FROM (SELECT *, unnest(range(len(f) - {WINDOW - 1})) AS i FROM form WHERE len(f) >= {WINDOW})),
      hit AS (SELECT DISTINCT d.id AS doc_id, d.r, b.id AS item_id, b.r AS br, b.n, b.i AS item_at, d.i - b.i AS shift
              FROM win d JOIN win b ON d.side = 'd' AND b.side = 'b' AND d.s = b.s AND b.literals >= {LEAST_LITERALS}),
      diag AS (SELECT doc_id, r, item_id, br, shift, min(item_at) AS lo, max(item_at) + {WINDOW} AS hi FROM hit GROUP BY ALL),
-     met AS (SELECT g.doc_id, g.r, g.item_id, g.br, g.shift, b.f[p + 1] AS form, lower(b.w[p + 1]) AS mine, lower(d.w[p + g.shift + 1]) AS theirs
+     met AS (SELECT g.doc_id, g.r, g.item_id, g.br, g.shift, b.f[p + 1] AS form, b.w[p + 1] AS mine, d.w[p + g.shift + 1] AS theirs
              FROM (SELECT *, unnest(range(lo, hi)) AS p FROM diag) g JOIN form b ON b.side = 'b' AND b.r = g.br JOIN form d ON d.side = 'd' AND d.r = g.r
              WHERE starts_with(b.f[p + 1], '<')),
      odd AS (SELECT doc_id, r, item_id, br, shift, count(DISTINCT (form, mine, theirs)) <> count(DISTINCT (form, mine)) AS bad,

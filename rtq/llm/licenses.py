@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from rtq.llm.queries import register, table
 
-#: Words of the lower-cased text, and the same runs in the text as it is.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words: of the lower-cased text, and of the text as it is.
+#: (Splitting at these ASCII sets is several times faster than matching words.)
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Indexed words of a template, and the share of them that must agree on a start.
 RARE_WORDS, AGREE = 4, 0.6
 
@@ -108,17 +109,21 @@ def _same(words: Column, start: Column, phrase: tuple[str, ...]) -> Column:
 def scan(docs: DataFrame, text: str = "text", base: list[tuple[str, str]] = BASE,
          templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    index = build_index(templates)
+    index, df = build_index(templates), _spread(templates)
     phrases = _phrases(base, templates)
     sought = sorted({w for t in index for w, _ in t.rare} | {p[1][p[2]] for p in phrases})
+    # Any label needs the rarest word of its mandatory phrase.
+    needed = sorted({min(t.must, key=lambda w: (df[w], -len(w))) for t in index} | {p[1][p[2]] for p in phrases})
     keep = [c for c in docs.columns if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
     t = F.coalesce(F.col(text), F.lit(""))
-    gate = t.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sought)) + ")(?![a-z0-9])")
+    gate = t.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed)) + ")(?![a-z0-9])")
     # lower() alone would turn two non-ASCII letters into ASCII ones.
-    low = F.lower(F.replace(F.replace(t, F.lit("K"), F.lit("κ")), F.lit("İ"), F.lit("ι")))
+    low = F.lower(F.replace(F.replace(t, F.lit("\u212a"), F.lit("κ")), F.lit("\u0130"), F.lit("ι")))
     words, found = F.col("_w"), F.col("_f")
-    step = docs.select(*keep, F.regexp_count(t, F.lit(RAW_WORD)).cast("long").alias("n_words"),
-                       F.when(gate, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_w"))
+    step = docs.select(*keep, F.split(t, RAW_GAP).alias("_p"), F.when(gate, F.filter(F.split(low, GAP), lambda w: w != "")).otherwise(
+        F.array().cast("array<string>")).alias("_w"))
+    n = F.size("_p")
+    step = step.withColumn("n_words", (n - (F.get("_p", F.lit(0)) == "").cast("int") - ((n > 1) & (F.get("_p", n - 1) == "")).cast("int")).cast("long"))
     step = step.withColumn("_f", F.filter(F.transform(words, lambda w, i: F.when(
         w.isin(*sought), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
 

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from rtq.llm.queries import register, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A word's part from its first letter on: one match per word that has a letter.
-LETTER_WORD = r"\p{L}[^\x20\x09-\x0D]*"
 SYMBOLS = "#*$%&|<>"
 
 #: Frequent function words of the four languages.
@@ -47,7 +45,6 @@ RULES = (
     Rule("dup_line_ratio", high=0.30),
     Rule("bullet_line_ratio", high=0.90),
     Rule("ellipsis_line_ratio", high=0.30),
-    Rule("alpha_word_ratio", low=0.60),
 )
 
 
@@ -104,7 +101,6 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_n_lines": F.size(lines),
         "_n_distinct": F.size(F.array_distinct(lines)),
         "_n_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
-        "_n_alpha": F.regexp_count(t, F.lit(LETTER_WORD)),
         "_n_bullet": F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))),
         "_n_ellipsis": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
     })
@@ -113,11 +109,10 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "mean_word_length": _ratio(F.col("word_chars"), n),
         "symbols_per_word": _ratio(F.col("n_symbols"), n),
         "stop_word_ratio": _ratio(F.col("_n_stop"), n),
-        "alpha_word_ratio": _ratio(F.col("_n_alpha"), n),
         "dup_line_ratio": _ratio(F.col("_n_lines") - F.col("_n_distinct"), F.col("_n_lines")),
         "bullet_line_ratio": _ratio(F.col("_n_bullet"), F.col("_n_lines")),
         "ellipsis_line_ratio": _ratio(F.col("_n_ellipsis"), F.col("_n_lines")),
-    }).drop("_t", "_w", "_n", "_lines", "_win", "_n_lines", "_n_distinct", "_n_stop", "_n_alpha", "_n_bullet", "_n_ellipsis")
+    }).drop("_t", "_w", "_n", "_lines", "_win", "_n_lines", "_n_distinct", "_n_stop", "_n_bullet", "_n_ellipsis")
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
@@ -155,7 +150,6 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                   coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
                   len(list_filter(w, lambda x: list_contains([{', '.join("'" + w + "'" for w in STOP_WORDS)}], lower(x)))) AS n_stop,
-                  len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_alpha,
                   len(list_filter(l, lambda x: left(ltrim(x), 1) IN ('-', '*', '•'))) AS n_bullet,
                   len(list_filter(l, lambda x: (suffix(rtrim(x), '...') OR suffix(rtrim(x), '…')))) AS n_ell
            FROM rows LEFT JOIN cov USING (r))
@@ -169,7 +163,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 16.0
        AND n_symbols / n_words <= 0.25 AND n_stop / n_words >= 0.01
        AND n_dup_lines / n_lines <= 0.30 AND n_bullet / n_lines <= 0.90
-       AND n_ell / n_lines <= 0.30 AND n_alpha / n_words >= 0.60 AS kept
+       AND n_ell / n_lines <= 0.30 AS kept
 FROM m
 """
 
