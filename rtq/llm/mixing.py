@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rtq.llm.queries import register, table
 from rtq.session import cut_lineage
 
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 SEED = 20240607
 MAX_REPEATS = 3
 #: Words a shard holds, and how many shards a source may have.
@@ -131,10 +131,16 @@ def shard_of() -> Column:
     return F.pmod(F.col("id_hash"), F.col("n_shards"))
 
 
+def _n_words(text: Column) -> Column:
+    """Parts between gaps, without the empty ones a leading or trailing gap leaves."""
+    return F.size(F.split(text, GAP)) - text.rlike(r"^[\x20\x09-\x0D]").cast("int") \
+        - text.rlike(r"[\x20\x09-\x0D]\z").cast("int") - (text == "").cast("int")
+
+
 def _sized(rows: DataFrame, key: str, source: str, text: str, seed: int) -> DataFrame:
     return rows.withColumns({
         "skey": source_key(F.col(source)),
-        "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        "size": F.coalesce(_n_words(F.col(text)), F.lit(0)).cast("long"),
         "id_hash": F.xxhash64(F.lit(seed), F.col(key)),
         "row_hash": F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text))})
 
