@@ -44,8 +44,10 @@ REGISTERS = BANDS * BAND_ROWS
 #: A candidate goes on to the exact comparison from so many equal registers on
 #: (at similarity 0.8 fewer than 34 of 64 has a probability below one in a million).
 LEAST_EQUAL = 34
-#: Leaders a bucket compares with in a round after the first.
-LEADERS = 8
+#: Leaders a large bucket compares with in a round after the first.  A bucket of
+#: at most so many nodes compares all that are not yet connected, which bounds
+#: its pairs by half as many per node.
+LEADERS = 64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -211,6 +213,13 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.join(tb, "b").join(ta, "a").mapInArrow(_overlap, "a binary, b binary, similarity double")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(verified links, component per linked node); None where there is no link."""
     spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -220,43 +229,48 @@ def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, DataFram
     sigs = cut_lineage(nodes.join(cand, "node").select("node", "sig"), "candidate-sigs")
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     texts = cut_lineage(texts.join(cand, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    found, comp, salts = [], None, 1
-    open_rows = buckets
+    found, tested, comp = [], None, None
+    open_rows, counted = buckets.withColumn("comp", F.col("node")), None
     while True:
-        salted = open_rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-        leaders = salted.groupBy("band", "key", "_salt").agg(F.min("node").alias("leader")).select("band", "key", "leader")
+        if counted is None:  # first round: the least node of each bucket leads
+            large, salts = open_rows, 1
+            pairs = None
+        else:
+            small = open_rows.join(counted.where(F.col("n") <= LEADERS).select("band", "key"), ["band", "key"])
+            other = small.select("band", "key", F.col("node").alias("leader"), F.col("comp").alias("_lc"))
+            pairs = small.join(other, ["band", "key"]).where((F.col("node") < F.col("leader")) & (F.col("comp") != F.col("_lc"))).select("node", "leader")
+            large, salts = open_rows.join(counted.where(F.col("n") > LEADERS).select("band", "key"), ["band", "key"]), LEADERS
+        salted = large.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
+        leaders = salted.groupBy("band", "key", "_salt").agg(F.min(F.struct("node", "comp")).alias("l")).select(
+            "band", "key", F.col("l.node").alias("leader"), F.col("l.comp").alias("_lc"))
         leaders = cut_lineage(leaders, "leaders")
-        pairs = open_rows.join(leaders, ["band", "key"]).where("node <> leader")
-        if comp is not None:
-            lc = comp.select(F.col("node").alias("leader"), F.col("comp").alias("_lc"))
-            pairs = pairs.join(comp, "node", "left").join(lc, "leader", "left").where(
-                F.coalesce("comp", "node") != F.coalesce("_lc", "leader"))
+        led = large.join(leaders, ["band", "key"]).where((F.col("node") != F.col("leader")) & (F.col("comp") != F.col("_lc"))).select("node", "leader")
+        pairs = led if pairs is None else led.unionByName(pairs)
         pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = cut_lineage(_verified(pairs, sigs, texts), "links")
         if not fresh.isEmpty():
             found.append(fresh)
-            edges = found[0]
-            for more in found[1:]:
-                edges = edges.unionByName(more)
-            comp = components(edges)
-        # What is left: rows that were not leaders, in buckets that still hold several components.
-        rest = open_rows.join(leaders.withColumnRenamed("leader", "node"), ["band", "key", "node"], "left_anti")
-        if comp is not None:
-            labelled = rest.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
+            comp = components(_all(found))
+        # What is left: rows that were not leaders, in large buckets that still hold several components.
+        rest = large.join(leaders.select("band", "key", F.col("leader").alias("node")), ["band", "key", "node"], "left_anti")
+        rest = rest.select("band", "key", "node")
+        if comp is None:
+            rest = rest.withColumn("comp", F.col("node"))
         else:
-            labelled = rest.withColumn("comp", F.col("node"))
-        labelled = cut_lineage(labelled, "labelled")
-        mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y")
-        open_rows = cut_lineage(labelled.select("band", "key", "node").join(mixed.select("band", "key"), ["band", "key"]), "buckets")
-        if open_rows.isEmpty():
+            rest = rest.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
+        rest = cut_lineage(rest, "rest")
+        counted = cut_lineage(rest.groupBy("band", "key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("band", "key", "n"), "mixed")
+        if counted.isEmpty():
             break
-        salts = LEADERS
+        open_rows = rest
     if not found:
         return None, None
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges.dropDuplicates(["a", "b"]), comp
+    return _all(found).dropDuplicates(["a", "b"]), comp
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
