@@ -14,8 +14,6 @@ matches).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,37 +82,32 @@ def monotone_matches(unambiguous: DataFrame) -> DataFrame:
     return unambiguous.withColumn("_m", F.max("j").over(w)).filter(F.col("j") >= F.col("_m")).drop("_m")
 
 
-def _fold_ambiguous(strict: bool):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "j"], kind="stable")
-        src = pdf["i"].to_numpy()
-        trg = pdf["j"].to_numpy()
-        n = len(src)
-        keep = np.zeros(n, dtype=bool)
-        if n:
-            keep[0] = True
-            kept_src = {int(src[0])}
-            max_j = trg[0]
-            last = n if strict else n - 1
-            for k in range(1, last):
-                if int(src[k]) in kept_src or trg[k] <= max_j:
-                    continue
-                keep[k] = True
-                kept_src.add(int(src[k]))
-                max_j = trg[k]
-            if not strict:
-                keep[n - 1] = True  # the shipped loop never tests the last one (Q4)
-        return pdf.loc[keep, ["pair_id", "i", "j"]]
-    return fold
-
-
 def monotone_ambiguous(ambiguous: DataFrame, strict: bool = False) -> DataFrame:
-    """WIN4: of the ambiguous matches (in (i, j) order) keep the first, then one
-    whose source is new and whose target exceeds the last kept; the last one is
-    kept untested unless ``strict``.  A sequential fold per sentence pair over
-    that pair's ambiguous matches only."""
-    return ambiguous.select("pair_id", "i", "j").groupBy("pair_id").applyInPandas(
-        _fold_ambiguous(strict), "pair_id long, i int, j int")
+    """WIN4: each source, in order, takes its least target above the last one
+    taken.  Unless ``strict``, a pair's last match (by source, then target) stands
+    outside this rule and is always kept.
+
+    One array per pair holds the target lists of its sources; an ``aggregate``
+    over it carries the last target taken."""
+    per_source = ambiguous.groupBy("pair_id", "i").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    pairs = per_source.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("i", "js"))).alias("sources"))
+    last = F.element_at("sources", -1)
+    pairs = pairs.withColumn("last", F.struct(last["i"].alias("i"), F.element_at(last["js"], -1).alias("j")))
+    exempt = F.lit(False) if strict else F.lit(True)
+
+    def least_above(acc, x):
+        return F.get(F.filter(x["js"], lambda j: (j > acc["top"]) & ~(
+            exempt & (x["i"] == F.col("last.i")) & (j == F.col("last.j")))), F.lit(0))
+
+    def step(acc, x):
+        j = least_above(acc, x)
+        return F.struct(F.coalesce(j, acc["top"]).alias("top"), F.when(j.isNull(), acc["taken"]).otherwise(
+            F.concat(acc["taken"], F.array(F.struct(x["i"].alias("i"), j.alias("j"))))).alias("taken"))
+
+    start = F.struct(F.lit(-1).alias("top"), F.array().cast("array<struct<i:int,j:int>>").alias("taken"))
+    taken = F.aggregate("sources", start, step)["taken"]
+    kept = pairs.select("pair_id", F.explode(taken if strict else F.concat(taken, F.array("last"))).alias("m"))
+    return kept.select("pair_id", "m.i", "m.j")
 
 
 def union_matches(same: DataFrame, diff: DataFrame) -> DataFrame:

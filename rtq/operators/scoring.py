@@ -89,8 +89,9 @@ def system_scores(df: DataFrame, system: str = "system", score: str = "score", p
 
 
 def pearson(df: DataFrame, a: str = "pred", b: str = "score") -> DataFrame:
-    """AGG12: Pearson correlation (one row)."""
-    return df.agg(F.corr(a, b).alias("pearson"))
+    """AGG12: Pearson correlation (one row); null when either side does not vary."""
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return df.agg((F.covar_pop(a, b) / spread).alias("pearson"))
 
 
 def mse(df: DataFrame, y: str = "score", p: str = "prediction") -> DataFrame:

@@ -9,11 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_INPUT_TOKENS = 512
-MAX_NEW_TOKENS = 512
 
 
 def attach_back_translation(segments: DataFrame, translations: DataFrame, text: str = "mt") -> tuple[DataFrame, DataFrame]:
@@ -55,14 +53,11 @@ def batch_translate(todo: DataFrame, make_translator: Callable[[str, str], Calla
     return clustered.mapInPandas(run, "src_lang string, trg_lang string, text string, translation string")
 
 
-def lexicon_translate(todo: DataFrame, dictionary: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def lexicon_translate(todo: DataFrame, dictionary: DataFrame) -> DataFrame:
     """INF1 test double as a plain join: word-by-word substitution through a
-    ``dictionary(form, lemma)`` table; unknown words are kept.  Whole texts:
-    ``max_tokens`` is the model's input limit and is off by default."""
+    ``dictionary(form, lemma)`` table; unknown words are kept.  Whole texts."""
     words = todo.select("src_lang", "trg_lang", "text",
                         F.posexplode(F.split(F.col("text"), " ")).alias("pos", "w"))
-    if max_tokens is not None:
-        words = words.filter(F.col("pos") < max_tokens)
     d = dictionary.select(F.col("form").alias("w"), F.col("lemma").alias("tw")).dropDuplicates(["w"])
     t = words.join(d, "w", "left").withColumn("tw", F.coalesce("tw", "w"))
     g = t.groupBy("src_lang", "trg_lang", "text").agg(
@@ -79,7 +74,3 @@ def complete_back_translation(segments: DataFrame, store: DataFrame, translate:
     full = store.select("src_lang", "trg_lang", "text", "translation").unionByName(fresh)
     joined, _ = attach_back_translation(segments, full, text)
     return joined
-
-
-def resume_window(df: DataFrame, order_col: str = "id") -> Window:
-    return Window.orderBy(order_col)

@@ -62,18 +62,6 @@ BASE = [DUCK_SEGN, DUCK_TOKS, D_PCLS, D_VECS, D_CNT, D_PADS, D_UNITS]
 MATCH = BASE + [D_PROD, D_MATCH, D_AMB]
 
 
-def recursive_sql(ctes, body, uses):
-    """duck_with plus the recursive fold CTE (WITH RECURSIVE)."""
-    sql = duck_with(ctes, body, uses)
-    head, rest = sql.split("\n", 1) if False else (None, None)
-    del head, rest
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
-def _fold_ctes():
-    return MATCH + [D_SAME, D_FOLD_IN, ("__fold__", "")]
-
-
 def fold_sql(body, extra=()):
     pre = MATCH + [D_SAME, D_FOLD_IN]
     post = [D_DIFF] + list(extra)
