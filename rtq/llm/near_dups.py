@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from rtq.llm.queries import register, table
-from rtq.llm.words import U64, by_text, gram_hashes, mix
+from rtq.llm.words import SLICE_BYTES, U64, buffers, by_text, gram_hashes, mix, slices
 from rtq.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -150,9 +150,16 @@ def _equal_registers(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of pairs whose texts take a few MB together, or one pair."""
+    size = sum(np.diff(buffers(batch.column(c))[1]) for c in ("text_a", "text_b"))
+    for a, b in slices(np.concatenate([[0], np.cumsum(size)]), 4 * SLICE_BYTES):
+        yield batch.slice(a, b - a)
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted Jaccard similarity of the texts of each pair, exactly."""
-    for batch in batches:
+    for batch in (part for b in batches for part in _bounded(b)):
         n = batch.num_rows
         sides = []
         for side in ("text_a", "text_b"):
