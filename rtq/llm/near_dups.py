@@ -305,7 +305,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     # A null text never leaves; other rows stay when they hold the class's doc_id.
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
     keyed = docs.withColumn("_n", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = keyed.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_n") == F.col("_node")))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_node")))
     kept = kept.dropDuplicates(["_id", "_node"])
     return kept.select(*docs.columns).unionByName(docs.where("text IS NULL").select(*docs.columns))
 
