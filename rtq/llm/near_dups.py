@@ -10,12 +10,15 @@ their multisets is at least 0.8; classes are the connected components.
    shingle's weight.  The earliest point per register is its sample, so two
    registers agree with probability equal to the weighted Jaccard similarity.
    Points later than the time by which a text's registers fill are never drawn.
-3. Bands of the signature are bucket keys.  In a bucket all nodes are compared
-   with a few leaders, not with each other; a leader compared with all goes.
-   Buckets whose nodes are in one component need no more comparisons; the
-   others go on until one node or one component is left, so no link between
-   different components that meet in a bucket is lost.
-4. A candidate is compared by registers first, then exactly by multiset overlap.
+3. Bands of the signature are bucket keys.  First all nodes of a bucket are
+   compared with its least node.  Then only buckets that hold nodes of several
+   components are open, and there every two nodes of different components are
+   compared: in small buckets as pairs, in larger ones by blocks.  So no link
+   between different components that meet in a bucket is lost.
+4. A pair is compared by registers first, then exactly by multiset overlap.
+   A block holds at most about ``2 * BLOCK`` texts; the overlaps of all its
+   pairs are taken at once inside the task, and one link per text and component
+   leaves it, so the pairs of a large bucket are never rows.
 
 Defined cases: a null text is a class of its own and never linked; equal texts
 (also empty ones) are one class; a text with fewer than 5 words is linked to
@@ -44,10 +47,11 @@ REGISTERS = BANDS * BAND_ROWS
 #: A candidate goes on to the exact comparison from so many equal registers on
 #: (at similarity 0.8 fewer than 34 of 64 has a probability below one in a million).
 LEAST_EQUAL = 34
-#: Leaders a large bucket compares with in a round after the first.  A bucket of
-#: at most so many nodes compares all that are not yet connected, which bounds
-#: its pairs by half as many per node.
-LEADERS = 64
+#: A bucket of at most so many nodes is compared as pairs, which bounds its pairs
+#: by half as many per node.
+SMALL = 64
+#: Texts a side of a block of a larger bucket, and shingles compared at once.
+BLOCK, COLUMNS = 256, 2048
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +124,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, _, _, _, first, words in by_text(batch, "text", lower=True):
             n = len(first) - 1
             sig = bag_minhash(*_multisets(*_shingles(words, first)), n)
-            keys = np.zeros((n, BANDS), U64)
+            keys = np.tile(np.arange(1, BANDS + 1, dtype=U64), (n, 1))
             for j in range(BAND_ROWS):
                 keys = mix(keys * _GOLD + sig[:, j::BAND_ROWS][:, :BANDS].astype(U64) + U64(1))
             has = np.diff(first) >= SHINGLE
@@ -129,12 +133,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(a, n), batch.column("node").slice(a, n),
-                pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
                 names=["doc_id", "node", "sig", "bands"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (MD5 of the text; unique per row for a null), sig, bands."""
+    """doc_id, node (MD5 of the text; unique per row for a null), sig (low byte of
+    every register: equal registers stay equal), bands."""
     node = F.unhex(F.coalesce(F.md5(F.col("text").cast("binary")), F.md5(F.concat(F.lit("\0null"), F.uuid()).cast("binary"))))
     rows = docs.select("doc_id", node.alias("node"), "text")
     kind = dict(docs.dtypes)["doc_id"]
@@ -145,8 +150,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _equal_registers(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="int32")
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), -1)
+    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
+    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
@@ -212,77 +217,113 @@ def components(edges: DataFrame) -> DataFrame:
             return cut_lineage(labels, "labels")
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """node, text of the given nodes, each once."""
+    rows = docs.where("text IS NOT NULL").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+    return cut_lineage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), name)
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links.  Only texts of pairs that agree by registers are moved."""
     a, b = sigs.select(F.col("node").alias("a"), F.col("sig").alias("_sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("_sb"))
     near = cut_lineage(pairs.join(b, "b").join(a, "a").where(_equal_registers("_sa", "_sb") >= LEAST_EQUAL).select("a", "b"), "candidates")
+    texts = _texts(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-texts")
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return near.join(tb, "b").join(ta, "a").mapInArrow(_overlap, "a binary, b binary, similarity double")
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+def _block_links(block: pa.Table) -> pa.Table:
+    """Links between the two sides of a block, across components: for each text
+    of the left side one per component of the right side."""
+    batch = block.combine_chunks().to_batches()[0]
+    got = [(g, row + a) for a, _, _, _, first, words in by_text(batch, "text", lower=True) for g, row in [_shingles(words, first)]]
+    row, g, w = _multisets(np.concatenate([g for g, _ in got]), np.concatenate([r for _, r in got]))
+    size = np.bincount(row, weights=w, minlength=batch.num_rows)
+    # The k-th copy of a shingle is an element of its own: a multiset's overlap becomes a set's.
+    copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    row, g = np.repeat(row, w), mix(np.repeat(g, w) + copy.astype(U64) * _GOLD)
+    left = np.asarray(batch.column("left"))
+    at = np.zeros(batch.num_rows, np.int64)
+    at[left], at[~left] = np.arange(left.sum()), np.arange((~left).sum())
+    on_left = left[row]
+    both = np.intersect1d(g[on_left], g[~on_left])
+    used = np.isin(g, both)
+    row, column, on_left = row[used], np.searchsorted(both, g[used]), on_left[used]
+    shared = np.zeros((left.sum(), (~left).sum()), np.float32)
+    for c in range(0, len(both), COLUMNS):
+        inside = (column >= c) & (column < c + COLUMNS)
+        x, y = np.zeros((shared.shape[0], COLUMNS), np.float32), np.zeros((shared.shape[1], COLUMNS), np.float32)
+        i, j = inside & on_left, inside & ~on_left
+        x[at[row[i]], column[i] - c] = 1
+        y[at[row[j]], column[j] - c] = 1
+        shared += x @ y.T
+    sim = shared / np.maximum(1, size[left][:, None] + size[~left][None, :] - shared)
+    _, comp = np.unique(np.array(batch.column("comp").to_pylist(), "V16"), return_inverse=True)
+    i, j = np.nonzero((sim >= SIMILARITY) & (comp[left][:, None] != comp[~left][None, :]))
+    _, one = np.unique(np.stack([i, comp[~left][j]]), axis=1, return_index=True)
+    i, j = i[one], j[one]
+    nodes = batch.column("node")
+    return pa.table({"a": nodes.take(pa.array(np.flatnonzero(left)[i])), "b": nodes.take(pa.array(np.flatnonzero(~left)[j])),
+                     "similarity": pa.array(sim[i, j].astype(np.float64))})
+
+
+def _blocked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links across components inside large buckets ``rows (key, node, comp)``.
+
+    Nodes outside the most frequent component of their bucket meet all nodes of
+    the bucket: both sides are dealt by hash to blocks, each block a group."""
+    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    plan = cut_lineage(counts.groupBy("key").agg(F.max_by("comp", "c").alias("top"), F.sum("c").alias("n"), F.max("c").alias("most")).select(
+        "key", "top", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("la"), F.ceil(F.col("n") / BLOCK).cast("int").alias("lb")), "block-plan")
+    rows = rows.join(plan, "key")
+    a, b = F.pmod(F.xxhash64("node"), F.col("la")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("lb")).cast("int")
+    lefts = rows.where("comp <> top").select("key", "node", "comp", F.lit(True).alias("left"), a.alias("x"), F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("y"))
+    rights = rows.select("key", "node", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("la") - 1)).alias("x"), b.alias("y"))
+    texts = _texts(docs, rows.select("node").distinct(), "block-texts")
+    blocks = lefts.unionByName(rights).join(texts, "node")
+    return blocks.groupBy("key", "x", "y").applyInArrow(_block_links, "a binary, b binary, similarity double").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(verified links, component per linked node); None where there is no link."""
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut_lineage(spread.join(shared.select("band", "key"), ["band", "key"]), "buckets")
-    cand = cut_lineage(buckets.select("node").distinct(), "candidate-nodes")
-    sigs = cut_lineage(nodes.join(cand, "node").select("node", "sig"), "candidate-sigs")
-    texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    texts = cut_lineage(texts.join(cand, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    found, tested, comp = [], None, None
-    open_rows, counted = buckets.withColumn("comp", F.col("node")), None
-    while True:
-        if counted is None:  # first round: the least node of each bucket leads
-            large, salts = open_rows, 1
-            pairs = None
-        else:
-            small = open_rows.join(counted.where(F.col("n") <= LEADERS).select("band", "key"), ["band", "key"])
-            other = small.select("band", "key", F.col("node").alias("leader"), F.col("comp").alias("_lc"))
-            pairs = small.join(other, ["band", "key"]).where((F.col("node") < F.col("leader")) & (F.col("comp") != F.col("_lc"))).select("node", "leader")
-            large, salts = open_rows.join(counted.where(F.col("n") > LEADERS).select("band", "key"), ["band", "key"]), LEADERS
-        salted = large.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-        leaders = salted.groupBy("band", "key", "_salt").agg(F.min(F.struct("node", "comp")).alias("l")).select(
-            "band", "key", F.col("l.node").alias("leader"), F.col("l.comp").alias("_lc"))
-        leaders = cut_lineage(leaders, "leaders")
-        led = large.join(leaders, ["band", "key"]).where((F.col("node") != F.col("leader")) & (F.col("comp") != F.col("_lc"))).select("node", "leader")
-        pairs = led if pairs is None else led.unionByName(pairs)
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = cut_lineage(_verified(pairs, sigs, texts), "links")
-        if not fresh.isEmpty():
-            found.append(fresh)
-            comp = components(_all(found))
-        # What is left: rows that were not leaders, in large buckets that still hold several components.
-        rest = large.join(leaders.select("band", "key", F.col("leader").alias("node")), ["band", "key", "node"], "left_anti")
-        rest = rest.select("band", "key", "node")
-        if comp is None:
-            rest = rest.withColumn("comp", F.col("node"))
-        else:
-            rest = rest.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
-        rest = cut_lineage(rest, "rest")
-        counted = cut_lineage(rest.groupBy("band", "key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("band", "key", "n"), "mixed")
-        if counted.isEmpty():
-            break
-        open_rows = rest
-    if not found:
-        return None, None
-    return _all(found).dropDuplicates(["a", "b"]), comp
+    spread = nodes.select("node", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = cut_lineage(spread.join(shared, "key"), "buckets")
+    sigs = cut_lineage(nodes.select("node", "sig").join(buckets.select("node").distinct(), "node"), "candidate-sigs")
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    led = cut_lineage(buckets.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    found = [cut_lineage(_verified(led, sigs, docs), "links")]
+    if found[0].isEmpty():
+        found, open_rows = [], buckets.withColumn("comp", F.col("node"))
+    else:
+        open_rows = buckets.join(components(found[0]), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # What is left: buckets that still hold several components.
+    open_rows = cut_lineage(open_rows.select("key", "node", "n", "comp"), "rows")
+    mixed = open_rows.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key")
+    open_rows = cut_lineage(open_rows.join(mixed, "key"), "mixed")
+    small = open_rows.where(F.col("n") <= SMALL).select("key", "node", "comp")
+    other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("_c"))
+    pairs = small.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("_c"))).select(F.col("node").alias("a"), "b").distinct()
+    found.append(cut_lineage(_verified(cut_lineage(pairs.join(led, ["a", "b"], "left_anti"), "pairs"), sigs, docs), "links"))
+    large = open_rows.where(F.col("n") > SMALL).select("key", "node", "comp")
+    if not large.isEmpty():
+        found.append(cut_lineage(_blocked(large, docs), "links"))
+    edges = cut_lineage(_all(found).dropDuplicates(["a", "b"]), "links")
+    return (None, None) if edges.isEmpty() else (edges, components(edges))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, node, class_id (least doc_id of its
-    class), class_size (rows), n_links (links of its text to different texts)."""
+    class), class_size (rows), n_links (links of its text to different texts that
+    were found on the way; texts already in one class are not compared further)."""
     signed = cut_lineage(signatures(docs), "signatures")
     nodes = cut_lineage(signed.where(F.size("bands") > 0).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     edges, comp = links(nodes, docs)

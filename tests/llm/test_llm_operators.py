@@ -175,9 +175,7 @@ def test_sharding(spark, odd, empty):
     assert sharding.assign_shards(empty, 4000).count() == 0
 
 
-def test_near_duplicates_against_brute_force(spark, docs, odd, empty):
-    texts = {r.doc_id: r.text for r in docs.collect()}
-
+def brute_classes(texts):
     def bag(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
         return Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
@@ -194,13 +192,36 @@ def test_near_duplicates_against_brute_force(spark, docs, odd, empty):
         for b in ids:
             if a < b and (texts[a] == texts[b] or 5 * sum((bags[a] & bags[b]).values()) >= 4 * sum((bags[a] | bags[b]).values()) > 0):
                 up[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+def test_near_duplicates_against_brute_force(spark, docs, odd, empty):
+    texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.class_id for r in near_dups.near_classes(docs).collect()}
-    assert got == {i: top(i) for i in ids}
+    assert got == brute_classes(texts)
     kept = near_dups.dedupe(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "2", "3", "5", "None"]
     assert near_dups.dedupe(empty).count() == 0
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(40)}" for _ in range(150)]
+    texts = {}
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(150)] = f"x{rng.randrange(10 ** 6)}"
+        texts[i] = " ".join(w * (1 + (i % 30 == 7)))
+    monkeypatch.setattr(near_dups, "SMALL", 2)
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.near_classes(rows).collect()}
+    want = brute_classes(texts)
+    assert 1 < len(set(want.values())) < 90 and got == want
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     import numpy as np
     rng = np.random.default_rng(1)
