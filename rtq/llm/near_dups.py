@@ -225,7 +225,11 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """node, text of the given nodes, each once."""
+    """node, text of the given nodes, each once.
+
+    The nodes are written first: from the table's size Spark decides whether to
+    send them to the texts (below its broadcast threshold) or to shuffle both."""
+    nodes = cut_lineage(nodes, "wanted")
     rows = docs.where("text IS NOT NULL").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     return cut_lineage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), name)
 
