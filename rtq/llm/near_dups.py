@@ -50,6 +50,8 @@ LEAST_EQUAL = 34
 #: A bucket of at most so many nodes is compared as pairs, which bounds its pairs
 #: by half as many per node.
 SMALL = 64
+#: Nodes (16 bytes each) whose texts are looked up by a broadcast.
+BROADCAST_NODES = 1_000_000
 #: Texts a side of a block of a larger bucket, and shingles compared at once.
 BLOCK, COLUMNS = 256, 2048
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -227,9 +229,11 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def _texts(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """node, text of the given nodes, each once.
 
-    The nodes are written first: from the table's size Spark decides whether to
-    send them to the texts (below its broadcast threshold) or to shuffle both."""
+    The nodes are written and counted first: up to ``BROADCAST_NODES`` they are
+    sent to the texts, beyond that both sides meet by a shuffle."""
     nodes = cut_lineage(nodes, "wanted")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
     rows = docs.where("text IS NOT NULL").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     return cut_lineage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), name)
 
