@@ -6,10 +6,11 @@ Vectors live in ``vectors(cls, embedding)``.
 
 Keys: everything pair-level is keyed ``(pair_id, i)`` or ``(pair_id, j)``,
 never ``pair_id`` alone, so a long sentence pair spreads over many tasks.
+The token product of a pair before the rounds (JN6, ALN1, ALN2) is joined on
+``pair_id`` and is one task per pair.
 Two steps are sequential by definition and run per pair: the running maximum
-of WIN3 (a window over one pair's unambiguous matches, O(length)) and the
-fold of WIN4 (Arrow-batched ``applyInPandas`` over one pair's ambiguous
-matches).
+of WIN3 (a window over one pair's unambiguous matches, O(length)) and WIN4
+(an ``aggregate`` over the target lists of one pair's ambiguous sources).
 """
 
 from __future__ import annotations

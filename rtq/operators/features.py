@@ -19,12 +19,11 @@ CLASSES = ["SAME", "EXTRA", "MISS", "STOPWORD", "SENSE", "INFL", "DERI", "NONE"]
 
 def stopword_flags(pairs: DataFrame, stopwords: DataFrame, lang: str = "src_lang") -> DataFrame:
     """JN9: are s and t stop words of the pair's language (zh list or English)?
-    The stop-word table has a fixed size, so its broadcast is bounded."""
+    A loaded list may have any size, so the join's form is left to AQE."""
     sw = stopwords.select("lang", "word").distinct()
     p = pairs.withColumn("_sl", stopword_language(F.col(lang)))
     for side in ("s", "t"):
-        flag = F.broadcast(sw.select(F.col("lang").alias("_sl"), F.col("word").alias(side),
-                                     F.lit(True).alias(side + "_stop")))
+        flag = sw.select(F.col("lang").alias("_sl"), F.col("word").alias(side), F.lit(True).alias(side + "_stop"))
         p = p.join(flag, ["_sl", side], "left").withColumn(side + "_stop", F.coalesce(side + "_stop", F.lit(False)))
     return p.drop("_sl")
 
@@ -75,13 +74,18 @@ def distance_requests(classified: DataFrame) -> DataFrame:
 
 def attach_pair_distance(classified: DataFrame, distances: DataFrame, cosines: DataFrame) -> DataFrame:
     """JN11: attach the distance of each distinct word pair, and the surface
-    cosine; then the contribution of every pair."""
-    c = classified.withColumn("_w1", F.when(F.col("measure") == "path_lemma", F.col("s_lemma")).otherwise(F.col("s"))) \
-        .withColumn("_w2", F.when(F.col("measure") == "path_lemma", F.col("t_lemma")).otherwise(F.col("t")))
+    cosine; then the contribution of every pair.
+
+    Only rows whose measure needs a lookup are joined, so equal words and empty
+    sides, the most frequent pairs, are no join keys."""
+    by_path, by_cosine = F.col("measure").isin("path_surface", "path_lemma"), F.col("measure") == "cos_surface"
     d = distances.select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"), "distance", "sense_by_path", "sense_by_cosine")
-    c = c.join(d, ["_w1", "_w2"], "left")
     cs = cosines.select(F.col("w1").alias("s"), F.col("w2").alias("t"), F.col("cos").alias("surface_cos"))
-    c = c.join(cs, ["s", "t"], "left")
+    c = classified.withColumn("_w1", F.when(F.col("measure") == "path_lemma", F.col("s_lemma")).otherwise(F.col("s"))) \
+        .withColumn("_w2", F.when(F.col("measure") == "path_lemma", F.col("t_lemma")).otherwise(F.col("t")))
+    c = c.filter(by_path).join(d, ["_w1", "_w2"], "left").unionByName(
+        c.filter(by_cosine).join(cs, ["s", "t"], "left"), allowMissingColumns=True).unionByName(
+        c.filter(~by_path & ~by_cosine), allowMissingColumns=True)
     contrib = (F.when(F.col("measure") == "one_over_n", F.lit(1.0) / F.col("n"))
                .when(F.col("measure") == "cos_surface", F.col("surface_cos"))
                .when(F.col("measure").isin("path_surface", "path_lemma"), F.col("distance"))

@@ -177,16 +177,29 @@ def synset_edge_join(synsets: DataFrame, edges: DataFrame, synset: str = "synset
 
 
 def lemma_join(words: DataFrame, lemmas: DataFrame, word: str = "word", out: str = "lemma",
-               lang: str | None = None) -> DataFrame:
+               lang: str | None = None, lang_col: str | None = None) -> DataFrame:
     """JN10 / JN12: lemma (or stem) of each word, lower-cased; the word itself
-    when unknown.  Joined over distinct words, so a frequent word costs once."""
-    l = lemmas
-    if lang is not None and "lang" in l.columns:
-        l = l.filter(F.col("lang").isNull() | (F.col("lang") == F.lit(lang)))
-    l = l.select(F.col("form").alias("_form"), F.lower(F.col("lemma")).alias("_lemma")).dropDuplicates(["_form"])
-    d = words.select(word).distinct().join(l, F.col(word) == F.col("_form"), "left").select(
-        word, F.coalesce(F.col("_lemma"), F.lower(F.col(word))).alias(out))
-    return words.join(d, word, "left")
+    when unknown.  The lexicon is joined over distinct words.
+
+    ``lang_col`` names the words' language column: a word then takes the lemma of
+    its own language, else that of a row without language.  ``lang`` fixes one
+    language for all words.  Of several lemmas of a form the least counts."""
+    if "lang" not in lemmas.columns:
+        lemmas = lemmas.withColumn("lang", F.lit(None).cast("string"))
+    if lang is not None:
+        lemmas = lemmas.filter(F.col("lang").isNull() | (F.col("lang") == F.lit(lang)))
+    least = F.min(F.lower("lemma"))
+    keys = [word] if lang_col is None else [word, lang_col]
+    d = words.select(*keys).distinct()
+    if lang_col is None:
+        any_lang = lemmas.groupBy(F.col("form").alias(word)).agg(least.alias("_any"))
+        d = d.join(any_lang, word, "left").withColumn("_own", F.lit(None).cast("string"))
+    else:
+        own = lemmas.filter("lang IS NOT NULL").groupBy(F.col("form").alias(word), F.col("lang").alias(lang_col)).agg(least.alias("_own"))
+        any_lang = lemmas.filter("lang IS NULL").groupBy(F.col("form").alias(word)).agg(least.alias("_any"))
+        d = d.join(own, keys, "left").join(any_lang, word, "left")
+    d = d.select(*keys, F.coalesce("_own", "_any", F.lower(word)).alias(out))
+    return words.join(d, keys, "left").withColumn(out, F.coalesce(out, F.lower(word)))
 
 
 # -------------------------------------------------------- aggregations -----

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Shuffle keys the texts of one language pair are dealt to.
+PAIR_TASKS = 256
 
 
 def attach_back_translation(segments: DataFrame, translations: DataFrame, text: str = "mt") -> tuple[DataFrame, DataFrame]:
@@ -19,7 +21,8 @@ def attach_back_translation(segments: DataFrame, translations: DataFrame, text:
     trg_lang, text).  Returns (segments with ``trg``, distinct untranslated
     remainder ``(src_lang, trg_lang, text)``)."""
     seg = segments.withColumn("src_lang", F.substring("lp", 1, 2)).withColumn("trg_lang", F.expr("right(lp, 2)"))
-    tr = translations.select("src_lang", "trg_lang", F.col("text").alias(text), F.col("translation").alias("trg"))
+    # A text stored more than once has the least of its translations.
+    tr = translations.groupBy("src_lang", "trg_lang", F.col("text").alias(text)).agg(F.min("translation").alias("trg"))
     joined = seg.drop("trg") if "trg" in seg.columns else seg
     joined = joined.join(tr, ["src_lang", "trg_lang", text], "left")
     todo = seg.select("src_lang", "trg_lang", F.col(text).alias("text")).distinct().join(
@@ -30,8 +33,9 @@ def attach_back_translation(segments: DataFrame, translations: DataFrame, text:
 def batch_translate(todo: DataFrame, make_translator: Callable[[str, str], Callable[[list[str]], list[str]]],
                     batch_size: int = 64) -> DataFrame:
     """INF1: translate ``(src_lang, trg_lang, text)`` back into the source
-    language with a user-supplied model.  Rows are clustered by language pair;
-    each task loads the model of a pair once and translates Arrow batches.
+    language with a user-supplied model.  Rows are clustered by language pair,
+    each pair over up to ``PAIR_TASKS`` tasks; a task loads the model of a pair
+    once and translates Arrow batches.
     ``make_translator(from_lang, to_lang)`` returns ``f(list[str]) -> list[str]``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[tuple[str, str], Callable] = {}
@@ -49,7 +53,8 @@ def batch_translate(todo: DataFrame, make_translator: Callable[[str, str], Calla
                 out.append(pd.DataFrame({"src_lang": sl, "trg_lang": tl, "text": texts, "translation": res}))
             if out:
                 yield pd.concat(out, ignore_index=True)
-    clustered = todo.repartition("src_lang", "trg_lang").sortWithinPartitions("src_lang", "trg_lang")
+    salt = F.pmod(F.xxhash64("text"), F.lit(PAIR_TASKS))
+    clustered = todo.repartition("src_lang", "trg_lang", salt).sortWithinPartitions("src_lang", "trg_lang")
     return clustered.mapInPandas(run, "src_lang string, trg_lang string, text string, translation string")
 
 
@@ -58,7 +63,7 @@ def lexicon_translate(todo: DataFrame, dictionary: DataFrame) -> DataFrame:
     ``dictionary(form, lemma)`` table; unknown words are kept.  Whole texts."""
     words = todo.select("src_lang", "trg_lang", "text",
                         F.posexplode(F.split(F.col("text"), " ")).alias("pos", "w"))
-    d = dictionary.select(F.col("form").alias("w"), F.col("lemma").alias("tw")).dropDuplicates(["w"])
+    d = dictionary.groupBy(F.col("form").alias("w")).agg(F.min("lemma").alias("tw"))
     t = words.join(d, "w", "left").withColumn("tw", F.coalesce("tw", "w"))
     g = t.groupBy("src_lang", "trg_lang", "text").agg(
         F.array_sort(F.collect_list(F.struct("pos", "tw"))).alias("ws"))

@@ -49,8 +49,8 @@ def classified_pairs(spark, sf, pairs: DataFrame, segs_norm: DataFrame) -> DataF
     p = pairs.join(segs_norm.select("pair_id", "src_lang", char_length_or_1("nsrc").cast("double").alias("n")), "pair_id")
     p = FE.stopword_flags(p, L.load_stopwords(spark))
     lem = FX.lemmas(spark, sf)
-    p = L.lemma_join(p, lem, word="s", out="s_lemma")
-    p = L.lemma_join(p, lem, word="t", out="t_lemma")
+    p = L.lemma_join(p, lem, word="s", out="s_lemma", lang_col="src_lang")
+    p = L.lemma_join(p, lem, word="t", out="t_lemma", lang_col="src_lang")
     return FE.classify_pair(p)
 
 

@@ -222,7 +222,7 @@ def q_agg5(spark, sf):
 def q_set3(spark, sf):
     ws = FX.word_synsets(spark, sf)
     s = FX.senses(spark, sf)
-    bags = [L.all_synset_words(ws.filter(F.col("ord") == o), s, "EN") for o in (0, 1)]
+    bags = [L.all_synset_words(ws.filter(part), s, "EN") for part in ("ord = 0", "ord > 0")]
     return L.union_lemmas(*bags)
 
 
