@@ -27,6 +27,8 @@ from rtq.session import cut_lineage
 
 WINDOW, LEAST_LITERALS, COVERAGE = 8, 4, 0.5
 BROADCAST_WINDOWS = 1_000_000
+#: Keys (16 bytes each) of texts with a hit that are looked up by a broadcast.
+BROADCAST_TEXTS = 1_000_000
 #: Marks a name; no text word contains it, as the word pattern ends at it.
 NAME = "\x01"
 #: A capitalised word after another word or a comma in the same sentence.
@@ -90,7 +92,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
     diagonals = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "shift").agg(
         F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
     # Slot values along a diagonal: the item's from its table, the text's from its words there.
-    found = diagonals.select("doc_id", "text_key").distinct()
+    # Only texts with a hit are moved: up to BROADCAST_TEXTS keys are sent to the table.
+    found = cut_lineage(diagonals.select("doc_id", "text_key").distinct(), "found")
+    if found.count() <= BROADCAST_TEXTS:
+        found = F.broadcast(found)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     texts = texts.join(found, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     raw = texts.select("doc_id", "text_key", _tokens(F.col("text")).alias("raw"))
