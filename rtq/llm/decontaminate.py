@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question asked again
 with other values keeps its template.  Windows of 8 template words are joined
-by hash; every hit names an item, and a place of the item relative to the text
+by hash, those with too few plain words by their words as written; every hit names an item, and a place of the item relative to the text
 (the diagonal).  Hits of an item are then checked for slot consistency: along a
 diagonal, equal values of the item's slots must meet equal values in the text.
 A text is contaminated by an item when consistent windows cover half of the
@@ -12,7 +12,7 @@ The item side is counted: up to ``BROADCAST_WINDOWS`` windows it is broadcast,
 so that only hits are shuffled; beyond that both sides meet by a shuffled join.
 
 Defined cases: a null or empty text has no windows; items shorter than a window
-(8 words) are never found; equal items are found each; repeated rows of a
+(8 words) have one window of their own length; equal items are found each; repeated rows of a
 document give one set of pairs; empty tables give no pairs; extra columns are
 not carried by ``find_leaks`` and kept by ``clean``.
 """
@@ -26,6 +26,8 @@ from rtq.llm.queries import register, table
 from rtq.session import cut_lineage
 
 WINDOW, LEAST_LITERALS, COVERAGE = 8, 4, 0.5
+#: Kinds of a window's hash, as bits: of its template, of its words as written.
+TEMPLATE, LITERAL = 1, 2
 BROADCAST_WINDOWS = 1_000_000
 #: Keys (16 bytes each) of texts with a hit that are looked up by a broadcast.
 BROADCAST_TEXTS = 1_000_000
@@ -52,31 +54,61 @@ def _canonical(token: Column) -> Column:
             .when(token.isin(*UNITS), F.lit("<unit>")).otherwise(token))
 
 
-def _window_hash(hashes: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(hashes, i + j) for j in range(WINDOW)])
+def _plain(token: Column) -> Column:
+    """The token as written, without the name mark."""
+    return F.ltrim(token, F.lit(NAME))
+
+
+def _window_hash(hashes: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
+
+
+def _forms(raw: Column) -> list[Column]:
+    """Word hashes of the template and of the words as written."""
+    return [F.transform(raw, lambda x: F.xxhash64(_canonical(x))), F.transform(raw, lambda x: F.xxhash64(_plain(x)))]
+
+
+def _windows(width: int) -> Column:
+    """Of columns n, template and literal: (at, hash, kinds) of every window of ``width`` words; a
+    window without slots is both kinds at once."""
+    def at(i):
+        t, w = _window_hash(F.col("template"), i, width), _window_hash(F.col("literal"), i, width)
+        one = lambda h, k: F.struct(i.alias("at"), h.alias("hash"), k.cast("int").alias("kinds"))
+        return F.when(t == w, F.array(one(t, F.lit(TEMPLATE + LITERAL)))).otherwise(F.array(one(t, F.lit(TEMPLATE)), one(w, F.lit(LITERAL))))
+    none = F.array().cast("array<struct<at:int,hash:bigint,kinds:int>>")
+    return F.when(F.col("n") >= width, F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - width), at))).otherwise(none)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_words, item_at (place), hash of every window with enough plain words."""
-    t = items.select("item_id", _tokens(F.col("text")).alias("raw")).withColumn("form", F.transform("raw", _canonical))
-    w = t.withColumn("n", F.size("raw")).select("item_id", "n", "form", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - WINDOW))).alias("item_at"))
-    part = F.slice("form", F.col("item_at") + 1, WINDOW)
-    w = w.where((F.col("n") >= WINDOW) & (F.size(F.filter(part, lambda x: ~x.startswith("<"))) >= LEAST_LITERALS))
-    return w.select("item_id", F.col("n").alias("item_words"), "item_at", _window_hash(F.transform("form", lambda x: F.xxhash64(x)), F.col("item_at")).alias("hash"))
+    """item_id, item_words, item_at (place), hash and kinds of every window; an item
+    shorter than a window has one of its own length.  A window with enough plain
+    words is looked up by its template, any other by its words as written."""
+    t = items.select("item_id", _tokens(F.col("text")).alias("raw"))
+    template, literal = _forms(F.col("raw"))
+    t = t.select("item_id", F.transform("raw", _canonical).alias("form"), F.size("raw").alias("n"), template.alias("template"), literal.alias("literal"))
+    own = F.coalesce(*[F.when(F.col("n") == k, _windows(k)) for k in range(1, WINDOW)], _windows(WINDOW))
+    w = t.select("item_id", "n", "form", F.explode(own).alias("w")).select("item_id", "n", "form", "w.*")
+    enough = F.size(F.filter(F.slice("form", F.col("at") + 1, WINDOW), lambda x: ~x.startswith("<"))) >= LEAST_LITERALS
+    w = w.withColumn("kinds", F.when(enough, F.col("kinds").bitwiseAND(F.lit(TEMPLATE))).otherwise(F.col("kinds").bitwiseAND(F.lit(LITERAL))))
+    return w.where("kinds <> 0").select("item_id", F.col("n").alias("item_words"), F.col("at").alias("item_at"), "hash", "kinds")
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, item_at, at): a text's windows that are an item's."""
-    t = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(
-        _tokens(F.col("text")), lambda x: F.xxhash64(_canonical(x))).alias("form"))
-    n = F.size("form")
-    t = t.select("doc_id", "text_key", F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(0), n - WINDOW), lambda i: _window_hash(F.col("form"), i))).alias("hashes"))
+    """(doc_id, text_key, item_id, item_words, item_at, at, template): a text's windows
+    that are an item's, by template or only as written."""
+    template, literal = _forms(F.col("raw"))
+    t = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), _tokens(F.col("text")).alias("raw"))
+    t = t.select("doc_id", "text_key", F.size("raw").alias("n"), template.alias("template"), literal.alias("literal"))
+    # The lengths of items shorter than a window: at most WINDOW - 1 rows.
+    short = [r.item_words for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
+    t = t.select("doc_id", "text_key", F.concat(*[_windows(k) for k in [WINDOW, *sorted(short)]]).alias("w"))
     # The outer form: for the inner one the optimizer adds a filter on the array
     # below, which would make every word anew for each window.
-    t = t.select("doc_id", "text_key", F.posexplode_outer("hashes").alias("at", "hash"))
+    t = t.select("doc_id", "text_key", F.explode_outer("w").alias("w")).select(
+        "doc_id", "text_key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.kinds").alias("text_kinds"))
     small = windows.count() <= BROADCAST_WINDOWS
-    return t.join(F.broadcast(windows) if small else windows, "hash").select("doc_id", "text_key", "item_id", "item_words", "item_at", "at")
+    hit = t.join(F.broadcast(windows) if small else windows, "hash").withColumn("kinds", F.col("kinds").bitwiseAND(F.col("text_kinds")))
+    return hit.where("kinds <> 0").select("doc_id", "text_key", "item_id", "item_words", "item_at", "at", (F.col("kinds") == TEMPLATE).alias("template"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -84,13 +116,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
     ``covered`` share of the item's words and ``slots_changed``: whether a slot
     has another value than in the item.
 
-    Found windows are counted per diagonal first; a diagonal whose slot values
-    contradict each other does not count."""
+    Found templates are counted per diagonal first; a diagonal whose slot values
+    contradict each other does not count.  Windows found as written always do."""
     windows = cut_lineage(item_windows(items), "item-windows")
     hits = cut_lineage(_hits(docs, windows).distinct(), "hits")
     hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-    diagonals = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "shift").agg(
-        F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+    diagonals = hits.where("template").groupBy("doc_id", "text_key", "item_id", "item_words", "shift").agg(
+        F.min("at").alias("lo"), (F.max("at") + F.least(F.lit(WINDOW), F.col("item_words"))).alias("hi"))
     # Slot values along a diagonal: the item's from its table, the text's from its words there.
     # Only texts with a hit are moved: up to BROADCAST_TEXTS keys are sent to the table.
     found = cut_lineage(diagonals.select("doc_id", "text_key").distinct(), "found")
@@ -113,10 +145,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
     pairs = pairs.select("doc_id", "text_key", "item_id", "shift",
                          (F.size(F.array_distinct("met")) == F.size(F.array_distinct(mine))).alias("consistent"),
                          F.exists("met", lambda m: m["mine"] != m["theirs"]).alias("changed"))
-    good = hits.join(pairs.where("consistent").select("doc_id", "text_key", "item_id", "shift", "changed"), ["doc_id", "text_key", "item_id", "shift"])
+    # A hit by template counts on a consistent diagonal, a hit as written anywhere.
+    key = ["doc_id", "text_key", "item_id", "shift"]
+    counted = [*hits.columns, "changed"]
+    good = hits.where("template").join(pairs.where("consistent").select(*key, "changed"), key).select(*counted).unionByName(
+        hits.where(~F.col("template")).withColumn("changed", F.lit(False)).select(*counted))
     places = good.groupBy("doc_id", "text_key", "item_id", "item_words").agg(
         F.sort_array(F.collect_set("item_at")).alias("places"), F.max("changed").alias("slots_changed"))
-    span = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("places", i + 1) - p, F.lit(WINDOW)))),
+    width = F.least(F.lit(WINDOW), F.col("item_words"))
+    span = F.aggregate(F.transform("places", lambda p, i: F.least(width, F.coalesce(F.get("places", i + 1) - p, width))),
                        F.lit(0), lambda a, x: a + x)
     out = places.select("doc_id", "text_key", "item_id", F.size("places").cast("long").alias("n_windows"),
                         (span / F.col("item_words")).alias("covered"), "slots_changed")

@@ -261,3 +261,18 @@ def test_pipeline_equals_its_stages(spark, docs):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and not ids & dirty and all(classes[i] == i for i in ids) and keep.count() == docs.count()
     assert out.columns[:5] == docs.columns
+
+
+def leaks(spark, items, texts):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(list(texts), "doc_id long, text string")
+    return rows, items, {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(rows, items).collect()}
+
+
+def test_decontamination_of_short_items_and_sparse_windows(spark):
+    short, sparse = "What is 37 + 48 * 12 - 9?", "Compute 12 + 34 + 56 + 78 + 90 and 11 + 22 + 33 + 44 then add 5, 6, 7, 8."
+    texts = [(1, f"so: {short} end"), (2, f"so: {sparse} end"), (3, short.replace("48", "49")), (4, sparse.replace("33", "99").replace("56", "65")), (5, short), (6, "")]
+    rows, items, got = leaks(spark, [short, sparse, ""], texts)
+    assert set(got) == {(1, 0), (5, 0), (2, 1)} and got[1, 0].n_windows == 1
+    assert all(r.covered == 1 and not r.slots_changed for r in got.values())
+    assert sorted(r.doc_id for r in decontaminate.clean(rows, items).collect()) == [3, 4, 6]
