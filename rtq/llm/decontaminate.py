@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question asked again
 with other values keeps its template.  Windows of 8 template words are joined
 by hash, those with too few plain words by their words as written; every hit names an item, and a place of the item relative to the text
 (the diagonal).  Hits of an item are then checked for slot consistency: along a
-diagonal, equal values of the item's slots must meet equal values in the text.
+diagonal, equal values of the item's slots in found windows must meet equal
+values in the text.
 A text is contaminated by an item when consistent windows cover half of the
 item's words.
 
@@ -111,6 +112,10 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return hit.where("kinds <> 0").select("doc_id", "text_key", "item_id", "item_words", "item_at", "at", (F.col("kinds") == TEMPLATE).alias("template"))
 
 
+def _doc(text_key: Column) -> Column:
+    return F.struct("doc_id", text_key.alias("text_key")).alias("doc")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs doc_id, item_id with ``n_windows`` (distinct item windows found), the
     ``covered`` share of the item's words and ``slots_changed``: whether a slot
@@ -119,43 +124,45 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
     Found templates are counted per diagonal first; a diagonal whose slot values
     contradict each other does not count.  Windows found as written always do."""
     windows = cut_lineage(item_windows(items), "item-windows")
-    hits = cut_lineage(_hits(docs, windows).distinct(), "hits")
-    hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-    diagonals = hits.where("template").groupBy("doc_id", "text_key", "item_id", "item_words", "shift").agg(
-        F.min("at").alias("lo"), (F.max("at") + F.least(F.lit(WINDOW), F.col("item_words"))).alias("hi"))
+    # Structs are equal when their null fields are, so rows with a null ID find each other.
+    hits = _hits(docs, windows).select(_doc(F.col("text_key")), F.struct("item_id").alias("item"), "item_words", "item_at", "at", "template")
+    hits = cut_lineage(hits.distinct(), "hits").withColumn("shift", F.col("at") - F.col("item_at"))
+    width = F.least(F.lit(WINDOW), F.col("item_words"))
+    diagonals = hits.where("template").groupBy("doc", "item", "item_words", "shift").agg(
+        F.min("at").alias("lo"), (F.max("at") + width).alias("hi"), F.collect_set("item_at").alias("places"))
     # Slot values along a diagonal: the item's from its table, the text's from its words there.
     # Only texts with a hit are moved: up to BROADCAST_TEXTS keys are sent to the table.
-    found = cut_lineage(diagonals.select("doc_id", "text_key").distinct(), "found")
+    found = cut_lineage(diagonals.select("doc").distinct(), "found")
     if found.count() <= BROADCAST_TEXTS:
         found = F.broadcast(found)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(found, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
-    raw = texts.select("doc_id", "text_key", _tokens(F.col("text")).alias("raw"))
-    part = diagonals.join(raw, ["doc_id", "text_key"]).select(
-        "doc_id", "text_key", "item_id", "shift", "lo", "hi", F.slice("raw", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
-    slots = items.select("item_id", F.posexplode(_tokens(F.col("text"))).alias("place", "value"))
-    slots = slots.withColumn("form", _canonical(F.col("value"))).where(F.col("form").startswith("<")).groupBy("item_id").agg(
+    texts = docs.where(F.col("text").isNotNull()).select(_doc(F.xxhash64("text")), "text")
+    texts = texts.join(found, "doc", "left_semi").dropDuplicates(["doc"])
+    raw = texts.select("doc", _tokens(F.col("text")).alias("raw"))
+    part = diagonals.join(raw, "doc").select(
+        "doc", "item", "shift", "lo", "places", width.alias("width"), F.slice("raw", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
+    slots = items.select(F.struct("item_id").alias("item"), F.posexplode(_tokens(F.col("text"))).alias("place", "value"))
+    slots = slots.withColumn("form", _canonical(F.col("value"))).where(F.col("form").startswith("<")).groupBy("item").agg(
         F.collect_list(F.struct("place", "form", "value")).alias("slots"))
-    pairs = part.join(slots, "item_id", "left").select("doc_id", "text_key", "item_id", "shift", F.transform(F.filter(
+    # Slots met are those inside a found window, not all between the first and the last.
+    pairs = part.join(slots, "item", "left").select("doc", "item", "shift", F.transform(F.filter(
         F.coalesce("slots", F.array().cast("array<struct<place:int,form:string,value:string>>")),
-        lambda s: (s["place"] + F.col("shift") >= F.col("lo")) & (s["place"] + F.col("shift") < F.col("hi"))),
+        lambda s: F.exists("places", lambda p: (s["place"] >= p) & (s["place"] < p + F.col("width")))),
         lambda s: F.struct(s["form"].alias("form"), s["value"].alias("mine"),
                            F.get("words", s["place"] + F.col("shift") - F.col("lo")).alias("theirs"))).alias("met"))
     mine = F.transform("met", lambda m: F.struct(m["form"], m["mine"]))
-    pairs = pairs.select("doc_id", "text_key", "item_id", "shift",
+    pairs = pairs.select("doc", "item", "shift",
                          (F.size(F.array_distinct("met")) == F.size(F.array_distinct(mine))).alias("consistent"),
                          F.exists("met", lambda m: m["mine"] != m["theirs"]).alias("changed"))
     # A hit by template counts on a consistent diagonal, a hit as written anywhere.
-    key = ["doc_id", "text_key", "item_id", "shift"]
+    key = ["doc", "item", "shift"]
     counted = [*hits.columns, "changed"]
     good = hits.where("template").join(pairs.where("consistent").select(*key, "changed"), key).select(*counted).unionByName(
         hits.where(~F.col("template")).withColumn("changed", F.lit(False)).select(*counted))
-    places = good.groupBy("doc_id", "text_key", "item_id", "item_words").agg(
+    places = good.groupBy("doc", "item", "item_words").agg(
         F.sort_array(F.collect_set("item_at")).alias("places"), F.max("changed").alias("slots_changed"))
-    width = F.least(F.lit(WINDOW), F.col("item_words"))
     span = F.aggregate(F.transform("places", lambda p, i: F.least(width, F.coalesce(F.get("places", i + 1) - p, width))),
                        F.lit(0), lambda a, x: a + x)
-    out = places.select("doc_id", "text_key", "item_id", F.size("places").cast("long").alias("n_windows"),
+    out = places.select("doc.doc_id", "doc.text_key", "item.item_id", F.size("places").cast("long").alias("n_windows"),
                         (span / F.col("item_words")).alias("covered"), "slots_changed")
     return out.where(F.col("covered") >= coverage)
 

@@ -276,3 +276,12 @@ def test_decontamination_of_short_items_and_sparse_windows(spark):
     assert set(got) == {(1, 0), (5, 0), (2, 1)} and got[1, 0].n_windows == 1
     assert all(r.covered == 1 and not r.slots_changed for r in got.values())
     assert sorted(r.doc_id for r in decontaminate.clean(rows, items).collect()) == [3, 4, 6]
+
+
+def test_decontamination_of_null_ids_and_edits_between_hits(spark):
+    item = "the old farmer sold 300 eggs at the market in town and later about 300 more were given to the poor people of a small village near by"
+    edited = item.replace("later about 300 more", "afterwards roughly 450 extra")
+    rows, items, got = leaks(spark, [item], [(None, "so " + item), (1, edited), (2, "something else")])
+    assert set(got) == {(None, 0), (1, 0)} and got[None, 0].covered == 1
+    assert got[1, 0].covered == pytest.approx(24 / 28) and not got[1, 0].slots_changed
+    assert [r.doc_id for r in decontaminate.clean(rows, items).collect()] == [2]
