@@ -72,12 +72,14 @@ def _forms(raw: Column) -> list[Column]:
 def _windows(width: int) -> Column:
     """Of columns n, template and literal: (at, hash, kinds) of every window of ``width`` words; a
     window without slots is both kinds at once."""
-    def at(i):
-        t, w = _window_hash(F.col("template"), i, width), _window_hash(F.col("literal"), i, width)
-        one = lambda h, k: F.struct(i.alias("at"), h.alias("hash"), k.cast("int").alias("kinds"))
-        return F.when(t == w, F.array(one(t, F.lit(TEMPLATE + LITERAL)))).otherwise(F.array(one(t, F.lit(TEMPLATE)), one(w, F.lit(LITERAL))))
+    def hashes(i):
+        return F.struct(i.alias("at"), _window_hash(F.col("template"), i, width).alias("t"), _window_hash(F.col("literal"), i, width).alias("w"))
+
+    def kinds(x):
+        one = lambda h, k: F.struct(x["at"].alias("at"), h.alias("hash"), F.lit(k).cast("int").alias("kinds"))
+        return F.when(x["t"] == x["w"], F.array(one(x["t"], TEMPLATE + LITERAL))).otherwise(F.array(one(x["t"], TEMPLATE), one(x["w"], LITERAL)))
     none = F.array().cast("array<struct<at:int,hash:bigint,kinds:int>>")
-    return F.when(F.col("n") >= width, F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - width), at))).otherwise(none)
+    return F.when(F.col("n") >= width, F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.col("n") - width), hashes), kinds))).otherwise(none)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     template, literal = _forms(F.col("raw"))
     t = t.select("item_id", F.transform("raw", _canonical).alias("form"), F.size("raw").alias("n"), template.alias("template"), literal.alias("literal"))
     own = F.coalesce(*[F.when(F.col("n") == k, _windows(k)) for k in range(1, WINDOW)], _windows(WINDOW))
-    w = t.select("item_id", "n", "form", F.explode(own).alias("w")).select("item_id", "n", "form", "w.*")
+    w = t.select("item_id", "n", "form", F.explode_outer(own).alias("w")).select("item_id", "n", "form", "w.*")
     enough = F.size(F.filter(F.slice("form", F.col("at") + 1, WINDOW), lambda x: ~x.startswith("<"))) >= LEAST_LITERALS
     w = w.withColumn("kinds", F.when(enough, F.col("kinds").bitwiseAND(F.lit(TEMPLATE))).otherwise(F.col("kinds").bitwiseAND(F.lit(LITERAL))))
     return w.where("kinds <> 0").select("item_id", F.col("n").alias("item_words"), F.col("at").alias("item_at"), "hash", "kinds")
