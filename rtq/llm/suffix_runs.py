@@ -20,8 +20,11 @@ else, in the same document or another.
    order of the left parts, the smaller is put into the larger, and new
    neighbours give the longest left match for the right match at hand.  Left plus
    right of 200 or more is a repeated string.  That takes g log g steps.
-5. A gram with over ``HOT`` different contexts does not go to one task: each of
-   its windows becomes a suffix of its own, dealt by the hash of all its bytes.
+5. Bounds.  A context that occurs over ``DENSE`` times is known to repeat (gram and
+   context hash, 128 bits): one of its places stands for it in the sort, the others
+   are not dealt.  A gram with over ``HOT`` dealt places does not go to one task:
+   its windows, 128-bit fingerprints, are counted by a plain aggregation instead.
+   So no task holds more than ``HOT`` places of a gram, however frequent it is.
 
 Texts are dealt by key once; runs and result read the same exchange.
 
@@ -48,14 +51,17 @@ from rtq.llm.queries import register, table
 from rtq.llm.words import U64, _INV, _ODD, buffers, mix, slices
 from rtq.session import cut_lineage
 
-#: Different contexts of one gram that a task decides together.
-HOT = 100_000
+#: Places of one context, and of one gram, that are dealt to a task at most.
+DENSE, HOT = 10_000, 200_000
+#: Contexts that hold over 1/MOST of all anchors, so fewer than MOST, are looked up by a broadcast.
+MOST = 1000
 #: Anchors of a bucket (on average) and of a sorted run; window starts hashed together.
 BUCKET, RUN, PIECE = 40_000, 32_768, 1 << 19
 #: Ends a context; no byte of UTF-8.
 END = 0xFF
 
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) | U64(1)
+_BYTE_2 = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) | U64(1)
 _WEIGHT = np.random.default_rng(12).integers(1, 1 << 63, 4096, dtype=np.int64).astype(U64) | U64(1)
 
 
@@ -96,14 +102,24 @@ def _least(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return g, at
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = np.full(n, _ODD, U64), np.full(n, _INV, U64)
+    power[0] = inverse[0] = 1
+    return np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+
+
+def _sums(value: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Prefix sums whose differences hash any run of bytes."""
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(value * power[:len(value)], out=total[1:])
+    return total
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, place, bytes to the left, bytes to the right, gram hash, context hash) of
     all anchors of rows laid end to end, a piece at a time."""
     last = int(offsets[-1]) - shape.window
-    power = np.full(PIECE + shape.window, _ODD, U64)
-    inverse = np.full(PIECE + shape.window, _INV, U64)
-    power[0] = inverse[0] = 1
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    power, inverse = _powers(PIECE + shape.window)
     for c in range(int(offsets[0]), last + 1, PIECE):
         part = data[c: min(c + PIECE, last + 1) + shape.window - 1]
         g = _grams(part, shape.gram)
@@ -119,26 +135,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> Iterator[tup
         b = np.minimum(b, offsets[row + 1] - c - shape.window)
         good = a <= b
         a, b, row, p = a[good], b[good], row[good], at[a[good]].astype(np.int64)
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTE[part] * power[:len(part)], out=total[1:])
+        total = _sums(_BYTE[part], power)
         whole = (total[b + shape.window] - total[a]) * inverse[a]
         yield row, p + c, p - a, b + shape.window - p, g[p], mix(whole ^ mix(((p - a) << 20 | (b - a)).astype(U64)))
 
 
-_ANCHORS = "h long, ctx long, u1 long, pos int, l short, r short"
+_ANCHORS = "h long, ctx long, u1 long, u2 long, pos int, l short, r short"
 
 
 def _anchor_rows(shape: Shape):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            u1 = batch.column("u1").to_numpy()
+            u1, u2 = batch.column("u1").to_numpy(), batch.column("u2").to_numpy()
             for a, b in slices(offsets, 1 << 22):
                 off = offsets[a: b + 1]
                 for row, p, left, right, h, ctx in anchors(data, off, shape):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(u1[a + row]), pa.array((p - off[row]).astype(np.int32)),
-                         pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], ["h", "ctx", "u1", "pos", "l", "r"])
+                        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(u1[a + row]), pa.array(u2[a + row]),
+                         pa.array((p - off[row]).astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
+                        ["h", "ctx", "u1", "u2", "pos", "l", "r"])
     return apply
 
 
@@ -193,47 +209,72 @@ def _spread(prefix: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(weighted) % U64(buckets)).astype(np.int64)
 
 
+class _Places(NamedTuple):
+    """Chosen anchors of a batch of texts: row, place, bytes to the left and right."""
+    owner: np.ndarray
+    p: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def _places(batch: pa.RecordBatch) -> _Places:
+    found = batch.column("found")
+    at = found.offsets.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    u2, pos, left, right = (found.values.field(i).to_numpy(zero_copy_only=False)[at[0]: at[-1]].astype(np.int64) for i in range(4))
+    mine = u2 == batch.column("u2").to_numpy()[owner]
+    return _Places(owner[mine], pos[mine], left[mine], right[mine])
+
+
 def _run_rows(shape: Shape, buckets: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            out = _front_coded(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held.clear()
-            return out
-
+        size = 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            found = batch.column("found")
-            at = found.offsets.to_numpy().astype(np.int64)
-            pos, left, right, hot = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             u1, u2 = batch.column("u1").to_numpy(), batch.column("u2").to_numpy()
-            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            pos, left, right, hot = (x[at[0]: at[-1]] for x in (pos, left, right, hot))
-            p, left, right = pos.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
-            fits = (p >= left) & (p + right <= offsets[owner + 1] - offsets[owner])  # u1 alone may name two texts
-            owner, p, left, right, hot = (x[fits] for x in (owner, p, left, right, hot))
-            start = np.searchsorted(owner, np.arange(len(at)))
+            places = _places(batch)
+            start = np.searchsorted(places.owner, np.arange(batch.num_rows + 1))
             for a, b in slices(offsets, 1 << 22):
-                low, high = start[a], start[b]
-                step = RUN // (1 + shape.left) + 1 if hot[low:high].any() else RUN
-                for i in range(low, high, step):
-                    sel = np.arange(i, min(i + step, high))
-                    o, q, x, y, burning = owner[sel], p[sel], left[sel], right[sel], hot[sel]
-                    keep, many = ~burning, (x + y - shape.window + 1)[burning]
-                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    windows = np.repeat((q - x)[burning], many) + nth  # every window of a hot anchor
-                    o = np.concatenate([o[keep], np.repeat(o[burning], many)])
-                    q = np.concatenate([q[keep], windows])
-                    x = np.concatenate([x[keep], np.zeros(len(windows), np.int64)])
-                    y = np.concatenate([y[keep], np.full(len(windows), shape.window)])
-                    ctx = _contexts(data[offsets[a]: offsets[b]], q + offsets[o] - offsets[a], x, y, shape)
-                    deal = np.concatenate([_spread(ctx[:keep.sum(), :shape.gram], buckets), _spread(ctx[keep.sum():, :shape.window], buckets)])
-                    held.append((ctx, deal, u1[o], u2[o], q.astype(np.int32)))
-                    if sum(len(h[0]) for h in held) >= RUN:
-                        yield flush()
+                for i in range(start[a], start[b], RUN):
+                    o, p, left, right = (x[i: min(i + RUN, start[b])] for x in places)
+                    ctx = _contexts(data[offsets[a]: offsets[b]], p + offsets[o] - offsets[a], left, right, shape)
+                    held.append((ctx, _spread(ctx[:, :shape.gram], buckets), u1[o], u2[o], p.astype(np.int32)))
+                    size += len(ctx)
+                    if size >= RUN:
+                        yield _front_coded(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield _front_coded(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    return apply
+
+
+_WINDOWS = "w1 long, w2 long, u1 long, u2 long, lo int"
+
+
+def _window_rows(shape: Shape):
+    """Fingerprints of all windows of anchors, for grams that no one task may hold."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            u1, u2 = batch.column("u1").to_numpy(), batch.column("u2").to_numpy()
+            places = _places(batch)
+            start = np.searchsorted(places.owner, np.arange(batch.num_rows + 1))
+            for row in np.unique(places.owner):
+                o, p, left, right = (x[start[row]: start[row + 1]] for x in places)
+                for i in range(0, len(o), RUN):
+                    first, many = (p - left)[i: i + RUN], (left + right - shape.window + 1)[i: i + RUN]
+                    lo = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    low, high = int(lo.min()), int(lo.max()) + shape.window
+                    part = data[offsets[row] + low: offsets[row] + high]
+                    power, inverse = _powers(len(part) + 1)
+                    prints = []
+                    for value in (_BYTE[part], _BYTE_2[part]):
+                        total = _sums(value, power)
+                        prints.append(mix((total[lo - low + shape.window] - total[lo - low]) * inverse[lo - low]).view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, prints), pa.array(np.full(len(lo), u1[row])), pa.array(np.full(len(lo), u2[row])), pa.array(lo.astype(np.int32))],
+                        ["w1", "w2", "u1", "u2", "lo"])
     return apply
 
 
@@ -421,16 +462,33 @@ def _merge_rows(shape: Shape):
 def repeated_spans(texts: DataFrame, dealt: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Spans (u1, u2, lo, hi; may overlap) of repeated strings around the anchors of
     ``texts`` (u1, u2, text, ...); ``dealt`` holds the same rows by u1."""
-    found = cut_lineage(texts.select("u1", "text").mapInArrow(_anchor_rows(shape), _ANCHORS), "suffix-anchors")
-    kinds = found.groupBy("h", "ctx").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    shared = kinds.where("n > 1").select("h", (F.col("kinds") > HOT).alias("hot"))
-    anchor = F.struct("pos", "l", "r", "hot")
-    chosen = found.join(shared, "h").groupBy("u1").agg(F.collect_list(anchor).alias("found"))
-    chosen = cut_lineage(chosen, "suffix-chosen")
-    suffixes = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + F.when(x["hot"], x["l"] + x["r"] - shape.window + 1).otherwise(1))
-    total = chosen.agg(F.sum(suffixes)).first()[0] or 0
-    runs = dealt.join(chosen, "u1").mapInArrow(_run_rows(shape, max(1, -(-total // BUCKET))), _RUNS)
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_rows(shape), _SPANS)
+    found = cut_lineage(texts.select("u1", "u2", "text").mapInArrow(_anchor_rows(shape), _ANCHORS), "suffix-anchors")
+    place = F.xxhash64("u1", "u2", "pos")
+    kinds = found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    dealt_places = F.sum(F.when(F.col("n") > DENSE, 1).otherwise(F.col("n")))
+    grams = kinds.groupBy("h").agg(F.sum("n").alias("all"), dealt_places.alias("dealt")).where(F.col("all") > 1)
+    shared = cut_lineage(kinds.join(grams, "h").select("h", "ctx", "n", "first", (F.col("dealt") > HOT).alias("hot")), "suffix-shared")
+
+    total = found.count()
+    many = F.broadcast(shared.where(F.col("n") * MOST > total))  # fewer than MOST rows
+    on = ["h", "ctx"]
+    repeats = found.join(many, on).unionByName(found.join(many, on, "left_anti").join(shared.where(F.col("n") * MOST <= total), on))
+    repeats = repeats.withColumn("dense", F.col("n") > DENSE).withColumn("dealt", (F.col("n") <= DENSE) | (F.col("first") == place))
+    repeats = cut_lineage(repeats.select("u1", "u2", "pos", "l", "r", "hot", "dense", "dealt"), "suffix-chosen")
+
+    def with_places(rows: DataFrame) -> DataFrame:
+        return dealt.join(rows.groupBy("u1").agg(F.collect_set(F.struct("u2", "pos", "l", "r")).alias("found")), "u1")
+
+    sums = repeats.agg(F.count_if(F.expr("dealt and not hot")), F.count_if(F.expr("dealt and hot"))).first()
+    runs = with_places(repeats.where("dealt and not hot")).mapInArrow(_run_rows(shape, max(1, -(-sums[0] // BUCKET))), _RUNS)
+    spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_rows(shape), _SPANS)
+    known = repeats.where("dense").select("u1", "u2", (F.col("pos") - F.col("l")).cast("int").alias("lo"), (F.col("pos") + F.col("r")).cast("int").alias("hi"))
+    spans = spans.unionByName(known)
+    if sums[1]:
+        windows = cut_lineage(with_places(repeats.where("dealt and hot")).mapInArrow(_window_rows(shape), _WINDOWS), "suffix-windows")
+        twice = windows.groupBy("w1", "w2").count().where("count > 1").drop("count")
+        spans = spans.unionByName(windows.join(twice, ["w1", "w2"]).select("u1", "u2", "lo", (F.col("lo") + shape.window).cast("int").alias("hi")))
+    return spans
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -483,7 +541,7 @@ def dedupe(docs: DataFrame, text: str = "text", shape: Shape = Shape()) -> DataF
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     long = rows.where(size >= shape.window)
     dealt = long.repartition("u1")
-    spans = repeated_spans(long, dealt, shape).groupBy("u1").agg(F.collect_list(F.struct("u2", "lo", "hi")).alias("found"))
+    spans = repeated_spans(long, dealt, shape).groupBy("u1").agg(F.collect_set(F.struct("u2", "lo", "hi")).alias("found"))
     nothing = F.array().cast("array<struct<u2:bigint,lo:int,hi:int>>")
     cleaned = dealt.join(spans, "u1", "left").withColumn("found", F.coalesce("found", nothing)).mapInArrow(_apply_spans(list(inner.values())), flat)
     short = rows.where(size < shape.window).select(

@@ -95,13 +95,15 @@ def test_whole_table(spark):
     assert got == expected(rows, 200)
 
 
-@pytest.mark.parametrize("hot,piece", [(100_000, 1 << 19), (0, 1 << 19), (100_000, 64)])
-def test_small_windows(spark, monkeypatch, hot, piece):
-    """Repeats of every kind; the same through window suffixes (all grams hot) and with one bucket an anchor."""
-    rng = random.Random(hot + piece)
+@pytest.mark.parametrize("dense,hot,bucket", [(10_000, 200_000, 40_000), (1, 200_000, 40_000), (10_000, 0, 40_000), (3, 20, 5)])
+def test_small_windows(spark, monkeypatch, dense, hot, bucket):
+    """Repeats of every kind; the same with frequent contexts kept back, with all
+    grams as windows, and with few anchors to a bucket."""
+    rng = random.Random(dense + hot)
     rows = mixed(rng, 150) + [(1000, "a" * 300), (1001, "ab" * 100), (1002, "é" * 40)]
+    monkeypatch.setattr(suffix_runs, "DENSE", dense)
     monkeypatch.setattr(suffix_runs, "HOT", hot)
-    monkeypatch.setattr(suffix_runs, "BUCKET", 5 if piece == 64 else 40_000)
+    monkeypatch.setattr(suffix_runs, "BUCKET", bucket)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(dedupe(frame, shape=SMALL)) == expected(rows, 12)
 
