@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,16 +60,34 @@ def scratch_root(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "rtq-" + spark.sparkContext.applicationId)
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str = "t") -> str:
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_root(spark), *_SCOPES[-1:], f"{name}-{uuid.uuid4().hex}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "scope") -> Iterator[None]:
+    """Intermediate tables made inside go to a folder of their own, deleted at the
+    end.  What is to stay must be written elsewhere before that."""
+    _SCOPES.append(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, os.path.join(scratch_root(spark), _SCOPES.pop()))
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables.  The owner of a result
     calls it once the result is written: until then lazy plans read them."""
-    jvm, jsc = spark._jvm, spark.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
