@@ -8,8 +8,15 @@ character costs, and the language with the least wins.
 Texts are lower-cased letter codes, everything else is one blank per run.  They
 are parsed in blocks of ``BLOCK`` codes (a phrase ends at a block's end), so
 many blocks advance together by table look-ups and a very long text costs no
-more than many short ones.  The sample is the only thing sent to the tasks; the
-automata are built once per Python worker.
+more than many short ones; it is encoded a slice at a time.  The driver builds
+the automata and broadcasts their edges, a few bytes per sample character; a
+worker only lays them out for look-ups.
+
+``accepted`` rejects texts without a letter, and texts that cost far more bits a
+character than labelled texts do that were not in the sample (another script,
+junk).  That limit is learned per language and is not applied to texts of under
+``LEAST_CODES`` codes, whose cost says little; without labelled rows nothing is
+known, so nothing is rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 letter that no sample has is a phrase of its own; ties go to the first language
@@ -20,13 +27,18 @@ rows; ``identify`` keeps other columns, its own replace those of the same name.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from rtq.llm.queries import register, table
+from rtq.llm.queries import free_name, register, table
 
 #: The sample: so many rows per language, so many characters of each.
 TRAIN_ROWS, TRAIN_CHARS = 40, 1500
@@ -35,11 +47,15 @@ BLOCK = 256
 #: Characters parsed together.
 SLICE_CHARS = 1 << 21
 UND = "und"
-#: A text that costs more bits a character than this in its best language is in
-#: none of them (another script); prose costs about 2.5, single words up to 7.8.
-MAX_BITS = 8.0
+#: A text may cost so many times the bits of the costliest labelled text of its language,
+HEADROOM = 2.0
+#: unless it has fewer codes than this.
+LEAST_CODES = 200
+#: Automata with more cells than this are searched by key instead of laid out as a table.
+DENSE_CELLS = 1 << 25
 
-RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())])
+RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType()),
+                     StructField("codes", LongType())])
 
 
 def fold(key: Column) -> Column:
@@ -47,8 +63,8 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """At most ``rows`` rows per language, chosen by key hash, ``chars`` characters
+def labelled_rows(docs: DataFrame, rows: int, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
+    """At most ``rows`` texts per language, chosen by key hash, ``chars`` characters
     of each, from labelled rows outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
     labelled = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, chars).alias("piece"))
@@ -57,12 +73,35 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_
     out: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], []).append(r["piece"])
-    return {k: "\n".join(v) for k, v in out.items()}
+    return out
+
+
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, str]:
+    """The sample text of every language."""
+    return {k: "\n".join(v) for k, v in labelled_rows(docs, rows, chars).items()}
+
+
+class Learned(NamedTuple):
+    sample: dict[str, str]
+    limits: dict[str, float]  # bits a character, by language
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transition table (states x alphabet, 0: none) of the automaton of all
-    substrings of ``codes``; state 0 is the start."""
+def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Learned:
+    """A sample per language, and from as many further labelled rows the bits a text may cost."""
+    got = labelled_rows(docs, 2 * rows, chars)
+    sample = {k: "\n".join(v[:rows]) for k, v in got.items()}
+    parser, limits = Parser(sample), {}
+    for lang, texts in got.items():
+        costs = [bits for _, _, bits, codes in parser.predict_all(texts[rows:]) if codes >= LEAST_CODES]
+        if costs:
+            limits[lang] = HEADROOM * max(costs)
+    widest = max(limits.values(), default=float("inf"))  # for languages without further rows
+    return Learned(sample, {lang: limits.get(lang, widest) for lang in sample})
+
+
+def suffix_automaton(codes: list[int], alphabet: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges (state * alphabet + code, ascending, and target state) of the automaton
+    of all substrings of ``codes``, and its number of states; state 0 is the start."""
     length, link, step, last = [0], [-1], [{}], 0
     for c in codes:
         new = len(length)
@@ -87,50 +126,78 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.zeros((len(step), alphabet), np.int32)
-    for s, d in enumerate(step):
-        for c, t in d.items():
-            out[s, c] = t
-    return out
+    edges = np.fromiter((x for s, d in enumerate(step) for c, t in d.items() for x in (s * alphabet + c, t)), np.int64).reshape(-1, 2)
+    edges = edges[np.argsort(edges[:, 0])]
+    return edges[:, 0].copy(), edges[:, 1].astype(np.int32), len(step)
+
+
+class Automata(NamedTuple):
+    """What the driver sends: edges of all languages in one state space."""
+    langs: list[str]
+    size: int  # codes: 0 unknown letter, 1 blank, letters from 2 on
+    code: np.ndarray  # of every code point
+    start: list[int]  # first state times size, by language
+    log: list[float]
+    keys: np.ndarray  # state * size + code, ascending
+    targets: np.ndarray  # target state * size; 0: none
+    states: int
+
+
+def _codes(text: str, code: np.ndarray) -> np.ndarray:
+    c = code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 1) | (c[:-1] != 1)
+    return c[keep]
+
+
+def automata(sample: dict[str, str]) -> Automata:
+    langs = sorted(sample)
+    letters = sorted({c for t in sample.values() for c in t.lower() if c.isalpha()})[:0xFFF0]
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    code = np.where(is_letter, 0, 1).astype(np.uint16)
+    known = {c: i + 2 for i, c in enumerate(letters)}
+    for i in np.flatnonzero(is_letter):
+        c = known.get(chr(i).lower())
+        if c:
+            code[i] = c
+    size, start, log, keys, targets, base = len(letters) + 2, [], [], [], [], 0
+    for lang in langs:
+        codes = _codes(sample[lang], code)
+        # An unknown letter cannot occur in the sample itself.
+        k, t, n = suffix_automaton(codes.tolist(), size)
+        keys.append(k + base * size)
+        targets.append((t.astype(np.int64) + base) * size)
+        start.append(base * size)
+        log.append(float(np.log2(max(2, len(codes)))))
+        base += n
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    keys, targets = join(keys), join(targets)
+    small = np.int32 if base * size < 1 << 31 else np.int64
+    return Automata(langs, size, code, start, log, keys.astype(small), targets.astype(small), base)
 
 
 class Parser:
-    """Automata of all languages and the code of every character."""
-
-    def __init__(self, sample: dict[str, str]):
-        self.langs = sorted(sample)
-        letters = sorted({c for t in sample.values() for c in t.lower() if c.isalpha()})
-        points = [chr(c) for c in range(0x110000)]
-        is_letter = np.array([c.isalpha() for c in points])
-        self.size = min(len(letters), 0xFFF0) + 2
-        self.code = np.where(is_letter, 0, 1).astype(np.uint16)  # 0: unknown letter, 1: blank
-        known = {c: i + 2 for i, c in enumerate(letters)}
-        for i in np.flatnonzero(is_letter):
-            c = known.get(points[i].lower())
-            if c:
-                self.code[i] = c
-        self.start, tables, self.log = [], [], []
-        base = 0
-        for lang in self.langs:
-            codes = self.codes(sample[lang])
-            # An unknown letter cannot occur in the sample itself.
-            t = suffix_automaton(codes.tolist(), self.size)
-            tables.append(np.where(t > 0, (t + base) * self.size, 0).astype(np.int32))
-            self.start.append(base * self.size)
-            self.log.append(float(np.log2(max(2, len(codes)))))
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(1, np.int32)
-
-    def codes(self, text: str) -> np.ndarray:
-        c = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 1) | (c[:-1] != 1)
-        return c[keep]
+    """Look-ups over the automata of all languages."""
+
+    def __init__(self, model: dict[str, str] | Automata):
+        self.model = model = model if isinstance(model, Automata) else automata(model)
+        self.langs, self.table = model.langs, None
+        if model.states * model.size <= DENSE_CELLS:
+            self.table = np.zeros(max(1, model.states * model.size), np.int32)
+            self.table[model.keys] = model.targets
+
+    def step(self, at: np.ndarray) -> np.ndarray:
+        """Target of each state * size + code, 0 for none."""
+        if self.table is not None:
+            return self.table[at]
+        keys = self.model.keys
+        i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        return np.where(keys[i] == at, self.model.targets[i], 0)
 
     def phrases(self, blocks: np.ndarray, lengths: np.ndarray, lang: int) -> np.ndarray:
         """Phrases of each block; ``blocks`` is position x block, lengths descending."""
-        start = np.int32(self.start[lang])
-        state = np.full(blocks.shape[1], start, np.int32)
+        start = self.model.keys.dtype.type(self.model.start[lang])
+        state = np.full(blocks.shape[1], start)
         count = np.zeros(blocks.shape[1], np.int32)
         active = np.searchsorted(-lengths, -np.arange(1, len(blocks) + 1), "right")
         for pos in range(len(blocks)):
@@ -138,87 +205,123 @@ class Parser:
             if not n:
                 break
             s, c = state[:n], blocks[pos, :n]
-            nxt = self.table[s + c]
+            nxt = self.step(s + c)
             fail = np.flatnonzero(nxt == 0)
             if len(fail):
-                again = self.table[start + c[fail].astype(np.int32)]
+                again = self.step(start + c[fail].astype(state.dtype))
                 count[fail] += (s[fail] != start).astype(np.int32) + (again == 0)
                 nxt[fail] = np.where(again == 0, start, again)
             state[:n] = nxt
         return count + (state != start)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        out: list[tuple[str, float, float]] = [(UND, 0.0, 0.0)] * len(texts)
-        at, pieces, total = [], [], 0
+    def pieces(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, codes); a long text comes in whole blocks, a slice at a time."""
         for i, t in enumerate(texts):
-            c = self.codes(t) if t else np.zeros(0, np.uint16)
-            if (c != 1).any() and self.langs:
-                at.append(i)
-                pieces.append(c)
+            rest = np.zeros(0, np.uint16)
+            for a in range(0, len(t or ""), SLICE_CHARS):
+                c = _codes(t[a: a + SLICE_CHARS], self.model.code)
+                if len(rest) and len(c) and rest[-1] == 1 and c[0] == 1:
+                    c = c[1:]
+                c = np.concatenate([rest, c]) if len(rest) else c
+                whole = len(c) if a + SLICE_CHARS >= len(t) else (len(c) - 1) // BLOCK * BLOCK
+                if whole:
+                    yield i, c[:whole]
+                rest = c[whole:]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, lead over the second one, bits a character)"""
+        return [r[:3] for r in self.predict_all(texts)]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """As ``predict``, and the number of codes."""
+        n, lettered = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        count = np.zeros((len(self.langs), len(texts)))
+        held: list[tuple[int, np.ndarray]] = []
+        total = 0
+        for i, c in self.pieces(texts):
+            n[i] += len(c)
+            lettered[i] |= bool((c != 1).any())
+            if self.langs:
+                held.append((i, c))
                 total += len(c)
-            if total >= SLICE_CHARS or (pieces and i == len(texts) - 1):
-                for j, r in zip(at, self._predict(pieces), strict=True):
-                    out[j] = r
-                at, pieces, total = [], [], 0
-        if pieces:
-            for j, r in zip(at, self._predict(pieces), strict=True):
-                out[j] = r
-        return out
-
-    def _predict(self, pieces: list[np.ndarray]) -> list[tuple[str, float, float]]:
-        size = np.array([len(p) for p in pieces])
+            if total >= SLICE_CHARS:
+                self._add(held, count)
+                held, total = [], 0
+        if held:
+            self._add(held, count)
+        if not self.langs:
+            return [(UND, 0.0, 0.0, int(x)) for x in n]
+        bits = count * np.array(self.model.log)[:, None] / np.maximum(n, 1)
+        best = bits.argmin(axis=0)
+        low = bits[best, np.arange(len(texts))]
+        score = np.ones(len(texts))
+        if len(self.langs) > 1:
+            second = np.partition(bits, 1, axis=0)[1]
+            score = np.where(second > 0, (second - low) / np.maximum(second, 1e-12), 0.0)
+        return [(self.langs[b], float(s), float(x), int(k)) if yes else (UND, 0.0, 0.0, int(k))
+                for b, s, x, k, yes in zip(best, score, low, n, lettered, strict=True)]
+
+    def _add(self, held: list[tuple[int, np.ndarray]], count: np.ndarray) -> None:
+        """Adds the phrases of pieces to the count of their texts, by language."""
+        text = np.array([i for i, _ in held])
+        size = np.array([len(p) for _, p in held])
         n_blocks = (size + BLOCK - 1) // BLOCK
-        owner = np.repeat(np.arange(len(pieces)), n_blocks)
+        owner = np.repeat(np.arange(len(held)), n_blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         lengths = np.minimum(BLOCK, size[owner] - nth * BLOCK)
         flat = np.zeros(len(owner) * BLOCK, np.uint16)
         offset = (np.cumsum(n_blocks) - n_blocks) * BLOCK
-        for p, o in zip(pieces, offset, strict=True):
+        for (_, p), o in zip(held, offset, strict=True):
             flat[o: o + len(p)] = p
         order = np.argsort(-lengths, kind="stable")
         blocks = np.ascontiguousarray(flat.reshape(-1, BLOCK)[order].T)
-        bits = np.empty((len(self.langs), len(pieces)))
         for k in range(len(self.langs)):
-            n = np.bincount(owner[order], weights=self.phrases(blocks, lengths[order], k), minlength=len(pieces))
-            bits[k] = n * self.log[k] / size
-        best = bits.argmin(axis=0)
-        low = bits[best, np.arange(len(pieces))]
-        if len(self.langs) > 1:
-            second = np.partition(bits, 1, axis=0)[1]
-            score = np.where(second > 0, (second - low) / np.maximum(second, 1e-12), 0.0)
-        else:
-            score = np.ones(len(pieces))
-        return [(self.langs[b], float(s), float(x)) for b, s, x in zip(best, score, low, strict=True)]
+            count[k] += np.bincount(text[owner[order]], weights=self.phrases(blocks, lengths[order], k), minlength=count.shape[1])
 
 
-_PARSERS: dict[int, Parser] = {}
+_PARSERS: dict[str, Parser] = {}
 
 
-def _parser(sample: dict[str, str]) -> Parser:
-    """The parser of a sample, built once per Python worker (one is kept)."""
-    key = hash(tuple(sorted(sample.items())))
+def _parser(key: str, sent: Broadcast) -> Parser:
+    """The laid-out automata of a broadcast, once per Python worker (one is kept)."""
     if key not in _PARSERS:
         _PARSERS.clear()
-        _PARSERS[key] = Parser(sample)
+        _PARSERS[key] = Parser(sent.value)
     return _PARSERS[key]
 
 
-def identify(docs: DataFrame, sample: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (lead over the second language, 0 to 1)
-    and ``bits`` (estimated cost of a character)."""
+OWN = ("lang_pred", "score", "bits", "codes")
+
+
+def _predicted(docs: DataFrame, sample: dict[str, str], text: str) -> tuple[DataFrame, str]:
+    """``docs`` with one struct column of results whose name is free."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(automata(sample)), uuid.uuid4().hex
+
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_parser(sample).predict(texts.tolist()), columns=["lang_pred", "score", "bits"])
+        return pd.DataFrame(_parser(key, sent).predict_all(texts.tolist()), columns=list(OWN))
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
-    out = docs.select(*keep, predict(F.col(text)).alias("_p"))
-    return out.select(*keep, "_p.lang_pred", "_p.score", "_p.bits")
+    name = free_name(docs.columns)
+    return docs.withColumn(name, predict(F.col(text))), name
 
 
-def accepted(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
-    """Rows in one of the learned languages: not ``und`` and at most ``MAX_BITS`` a character."""
-    out = identify(docs, sample).where((F.col("lang_pred") != UND) & (F.col("bits") <= MAX_BITS))
-    return out.select(*docs.columns)
+def identify(docs: DataFrame, sample: dict[str, str], text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (lead over the second language, 0 to 1)
+    and ``bits`` (estimated cost of a character)."""
+    out, name = _predicted(docs, sample, text)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in OWN[:3]), *(F.col(name)[c].alias(c) for c in OWN[:3]))
+
+
+def accepted(docs: DataFrame, learned: Learned, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a letter that cost no more than their language's limit."""
+    if not learned.sample:
+        return docs
+    out, name = _predicted(docs, learned.sample, text)
+    p = F.col(name)
+    limit = F.lit(float("inf"))
+    for lang, bits in learned.limits.items():
+        limit = F.when(p["lang_pred"] == lang, F.lit(bits)).otherwise(limit)
+    return out.where((p["lang_pred"] != UND) & ((p["codes"] < LEAST_CODES) | (p["bits"] <= limit))).drop(name)
 
 
 @register("op7_language_id")

@@ -22,3 +22,11 @@ def register(key: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(taken: list[str]) -> str:
+    """A column name that none of ``taken`` equals, whatever its case."""
+    low, name = {c.lower() for c in taken}, "_own"
+    while name in low:
+        name += "_"
+    return name
