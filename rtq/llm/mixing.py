@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rtq.llm.queries import free_name, register, table
+from rtq.llm.queries import register, table
 from rtq.session import cut_lineage
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -190,12 +190,8 @@ def _n_words(text: Column) -> Column:
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
-def mix_rows(rows: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-             max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """Every row with its ``size``, ``source_size``, ``target``, the words the mix
-    takes from it (``taken``) and how often it is part of the mix as a whole
-    (``copies``: a part counts from half its words on)."""
-    keep = [c for c in rows.columns if c not in ADDED]
+def _mixed(rows: DataFrame, keep: list[str], key: str, source: str, text: str, max_repeats: int, seed: int) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``) and the added columns."""
     own = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0))
     sized = rows.select(own.alias("row"), F.col(key).alias("key"), source_key(F.col(source)).alias("skey"),
                         F.coalesce(_n_words(F.col(text)), F.lit(0)).cast("long").alias("size"),
@@ -219,16 +215,24 @@ def mix_rows(rows: DataFrame, key: str = "doc_id", source: str = "source", text:
     most = (F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))
     taken = (F.col("full") * F.col("size") + F.col("part")).cast("long")
     copies = F.when(F.col("size") > 0, F.col("full") + most.cast("int")).otherwise(F.lit(0)).cast("int")
-    return placed.select(*(F.col("row")[c].alias(c) for c in keep), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return placed.select("row", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def mix_rows(rows: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+             max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """Every row with its ``size``, ``source_size``, ``target``, the words the mix
+    takes from it (``taken``) and how often it is part of the mix as a whole
+    (``copies``: a part counts from half its words on)."""
+    keep = [c for c in rows.columns if c not in ADDED]
+    return _mixed(rows, keep, key, source, text, max_repeats, seed).select(*(F.col("row")[c].alias(c) for c in keep), *ADDED)
 
 
-def mix_documents(docs: DataFrame, **kw) -> DataFrame:
+def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+                  max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix as whole documents: each row ``copies`` times."""
-    own = free_name(docs.columns)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own), *(F.col(kw.get(k, k)).alias(k) for k in ("doc_id", "source", "text")))
-    out = mix_rows(rows, **{k: v for k, v in kw.items() if k in ("max_repeats", "seed")}).where("copies > 0")
-    out = out.withColumn("text", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(*(F.col(own)[c].alias(c) for c in docs.columns))
+    out = _mixed(docs, docs.columns, key, source, text, max_repeats, seed).where("copies > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 @register("op10_mixing")
