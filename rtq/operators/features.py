@@ -60,8 +60,8 @@ def classify_pair(pairs: DataFrame, lang: str = "src_lang") -> DataFrame:
 
 
 def pair_key(a, b):
-    """Stable 64-bit id of a word pair (no global numbering needed)."""
-    return F.xxhash64(F.col(a), F.lit("\u0001"), F.col(b))
+    """Id of a word pair: both words, the length of the first one ahead, so no two pairs share it."""
+    return F.concat(F.char_length(a).cast("string"), F.lit(":"), F.col(a), F.lit(" "), F.col(b))
 
 
 def distance_requests(classified: DataFrame) -> DataFrame:

@@ -6,11 +6,18 @@ words, ``s:<id>`` for synsets.
 
 Expansion (PATH2) carries a multiplicity per frontier node instead of
 duplicate rows: a node reached by m walks adds each of its edges m times,
-which is what the repeated frontier list of the reference does.  Expansion
-stops per pair at the first level where both words reach a common node
-(PATH3/PATH4); pairs that connect drop out of later levels.  Every loop is
-bounded (7 expansion levels, 16 search hops) and cut with reliable
-checkpoints.
+which is what the repeated frontier list of the reference does.
+
+Levels come from an index that all word pairs share (``ancestor_index``): the
+synsets reachable from each synset, by level, with the number of walks, built
+in semi-naive rounds over the edge table.  The first level at which two words
+meet (PATH3/PATH4) is the least, over their common ancestors, of the larger of
+the two levels: one join, nothing is expanded per pair.  Only then the edges
+below that level are read off the index for the pairs that connect.
+
+A breadth-first search over an undirected graph meets no node older than two
+layers, so each hop reads two layer tables, whatever the hop.  Every loop is
+bounded (7 expansion levels, 16 search hops) and writes what it carries.
 """
 
 from __future__ import annotations
@@ -22,11 +29,11 @@ from rtq.session import cut_lineage
 
 MAX_LEVELS = 7
 MAX_HOPS = 2 * (MAX_LEVELS + 1)
-# Edge weights of the typed graph and the degree formula bounds.
+# Weights of antonym edges and of edges between a word and a synset.
 ANTONYM_WEIGHT = 2.5
-BABEL_WEIGHT = 0.0
-MAX_R, MIN_R = 2.0, 1.0
-TYPE_ORDER = {"babel": 0, "ANTONYM": 1, "HYPONYM": 2, "HYPERNYM": 3, "OTHER": 4}
+WORD_EDGE_WEIGHT = 0.0
+WORD_EDGE = "word"
+TYPE_ORDER = {WORD_EDGE: 0, "ANTONYM": 1, "HYPONYM": 2, "HYPERNYM": 3, "OTHER": 4}
 
 
 def wnode(c) -> Column:
@@ -38,9 +45,9 @@ def snode(c) -> Column:
 
 
 def path_transform(t) -> Column:
-    """SC10: total weight T -> 0 if T = 0 else 2 * (0.5 - 1/T)."""
+    """SC10: total weight T -> 1 - 2/T, 0 without weight."""
     t = F.col(t) if isinstance(t, str) else t
-    return F.when(t == 0, F.lit(0.0)).otherwise(F.lit(2.0) * (F.lit(0.5) - F.lit(1.0) / t))
+    return F.when(t == 0, F.lit(0.0)).otherwise(1 - 2 / t)
 
 
 # ---------------------------------------------------------------- PATH1 ----
@@ -84,48 +91,64 @@ def expand_frontier_typed(frontier: DataFrame, edges: DataFrame, lang: str) -> t
 
 # ---------------------------------------------------------------- PATH3 ----
 
+def ancestor_index(edges: DataFrame, starts: DataFrame | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Up-closure of an edge table: ``(start, node, level, walks)``, the number of
+    walks of ``level`` edges from ``start`` to ``node``, level 0 to ``max_levels``.
+
+    Built once and shared by all word pairs; ``starts(node)`` restricts it to the
+    synsets of interest (default: every synset with an edge).  One round per level
+    extends the last level's rows only."""
+    e = cut_lineage(_edge_nodes(edges, False).groupBy("node", "tgt").agg(F.count(F.lit(1)).alias("n")), "closure-edges")
+    starts = e.select("node") if starts is None else starts.select("node")
+    last = cut_lineage(starts.distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("level"),
+                                                F.lit(1).cast("long").alias("walks")), "closure-0")
+    out = last
+    for level in range(1, max_levels + 1):
+        step = last.join(e, "node").groupBy("start", F.col("tgt").alias("node")).agg(F.sum(F.col("walks") * F.col("n")).alias("walks"))
+        last = cut_lineage(step.select("start", "node", F.lit(level).alias("level"), "walks"), f"closure-{level}")
+        if last.isEmpty():
+            break
+        out = out.unionByName(last)
+    return out
+
+
+def word_ancestors(seeds: DataFrame, index: DataFrame) -> DataFrame:
+    """``(word, node, level, walks)``: the closure of all synsets of each distinct word."""
+    senses = seeds.select("word", F.col("node").alias("start")).distinct()
+    return senses.join(index, "start").groupBy("word", "node", "level").agg(F.sum("walks").alias("walks"))
+
+
+def meeting_level(word_pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """``(wp, lstar)`` of the pairs that connect: the least, over common ancestors,
+    of the larger of the two levels at which they are first reached."""
+    least = ancestors.groupBy("word", "node").agg(F.min("level").alias("level"))
+    up = word_pairs.select("wp", F.lower("w1").alias("word"), F.lower("w2").alias("other"))
+    up = up.join(least, "word").select("wp", F.col("other").alias("word"), "node", F.col("level").alias("l1"))
+    return up.join(least, ["word", "node"]).groupBy("wp").agg(F.min(F.greatest("l1", "level")).alias("lstar"))
+
+
 def expand_until_connected(word_pairs: DataFrame, word_synsets: DataFrame, edges: DataFrame,
-                           max_levels: int = MAX_LEVELS, typed: bool = False) -> dict:
+                           max_levels: int = MAX_LEVELS, typed: bool = False, index: DataFrame | None = None) -> dict:
     """PATH3/PATH4: expand both words level by level until they share a node,
-    at most ``max_levels`` levels, all pairs at once.
-
-    Per level one table is written (the new edges of the pairs still apart)
-    and one small one (those pairs); frontier, reach and the connection test
-    are derived lazily from what was written.
+    at most ``max_levels`` levels; all pairs at once, over the ancestor index
+    (built here for the words' synsets if not given).
 
     Returns a dict of DataFrames: ``seeds``, ``lstar(wp, lstar)`` (connected
     pairs only) and ``edges(wp, side, x, y, mult, level[, type])`` (the
     expansion edges of connected pairs, levels <= L*)."""
-    seeds = cut_lineage(seed_graph(word_pairs, word_synsets))
-    frontier = seeds.groupBy("wp", "side", "node").agg(F.count(F.lit(1)).alias("mult"))
-    reach = frontier.select("wp", "side", "node")
-    active = word_pairs.select("wp").distinct()
-    hits, acc = [], []
-    for level in range(0, max_levels + 1):
-        open_reach = reach.join(active, "wp", "left_semi")  # pairs still apart only
-        r1 = open_reach.filter("side = 1").select("wp", "node")
-        r2 = open_reach.filter("side = 2").select("wp", "node")
-        hit = cut_lineage(r1.join(r2, ["wp", "node"]).select("wp").distinct())
-        hits.append(hit.withColumn("lstar", F.lit(level)))
-        active = cut_lineage(active.join(hit, "wp", "left_anti"))
-        if level == max_levels or active.isEmpty():
-            break
-        new, nxt = expand_frontier(frontier.join(active, "wp", "left_semi"), edges, typed)
-        new = cut_lineage(new.withColumn("level", F.lit(level + 1)))
-        acc.append(new)
-        frontier = new.groupBy("wp", "side", F.col("y").alias("node")).agg(F.sum("mult").alias("mult"))
-        reach = reach.unionByName(new.select("wp", "side", F.col("y").alias("node")))
-    lstar = hits[0]
-    for h in hits[1:]:
-        lstar = lstar.unionByName(h)
-    lstar = cut_lineage(lstar)
-    spark = word_pairs.sparkSession
-    schema = "wp long, side int, x string, y string, mult long, level int" + (", type string" if typed else "")
-    edges_out = spark.createDataFrame([], schema)
-    for a in acc:
-        edges_out = edges_out.unionByName(a.select(*[c.split()[0] for c in schema.split(", ")]))
-    edges_out = edges_out.join(lstar.select("wp"), "wp", "left_semi")
-    return {"seeds": seeds, "lstar": lstar, "edges": edges_out}
+    seeds = cut_lineage(seed_graph(word_pairs, word_synsets), "seeds")
+    index = ancestor_index(edges, seeds.select("node"), max_levels) if index is None else index.where(F.col("level") <= max_levels)
+    ancestors = cut_lineage(word_ancestors(seeds, index), "word-ancestors")
+    lstar = cut_lineage(meeting_level(word_pairs, ancestors), "lstar")
+    sides = word_pairs.select("wp", F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.lower("w1").alias("word")), F.struct(F.lit(2).alias("side"), F.lower("w2").alias("word")))).alias("s"))
+    sides = sides.select("wp", "s.side", "s.word").join(lstar.where("lstar > 0"), "wp")
+    below = sides.join(ancestors, "word").where(F.col("level") < F.col("lstar"))
+    keys = ["node", "tgt"] + (["type"] if typed else [])
+    steps = _edge_nodes(edges, typed).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    out = below.join(steps, "node").select("wp", "side", F.col("node").alias("x"), F.col("tgt").alias("y"), (F.col("walks") * F.col("n")).alias("mult"),
+                                           (F.col("level") + 1).alias("level"), *(["type"] if typed else []))
+    return {"seeds": seeds, "lstar": lstar, "edges": out}
 
 
 def has_path(word_pairs: DataFrame, lstar: DataFrame) -> DataFrame:
@@ -140,12 +163,12 @@ def graph_edges(g: dict, typed: bool = False) -> DataFrame:
     ``(wp, u, v, mult[, type])`` with u <= v: word-synset edges plus expansion
     edges, parallel edges summed."""
     seeds = g["seeds"].join(g["lstar"].select("wp"), "wp", "left_semi")
-    babel = seeds.select("wp", wnode(F.col("word")).alias("x"), F.col("node").alias("y"),
+    words = seeds.select("wp", wnode(F.col("word")).alias("x"), F.col("node").alias("y"),
                          F.lit(1).cast("long").alias("mult"), F.lit(0).alias("level"))
     exp = g["edges"].select("wp", "x", "y", "mult", "level", *(["type"] if typed else []))
     if typed:
-        babel = babel.withColumn("type", F.lit("babel"))
-    allg = babel.unionByName(exp)
+        words = words.withColumn("type", F.lit(WORD_EDGE))
+    allg = words.unionByName(exp)
     u = F.least("x", "y")
     v = F.greatest("x", "y")
     if not typed:
@@ -174,10 +197,10 @@ def edge_weight(graph: DataFrame, typed: bool = False) -> DataFrame:
     du = deg.select(*[F.col(k).alias("u" if k == "node" else k) for k in keys], F.col("deg").alias("du"))
     dv = deg.select(*[F.col(k).alias("v" if k == "node" else k) for k in keys], F.col("deg").alias("dv"))
     j = graph.join(du, ["wp", "u"] + (["type"] if typed else [])).join(dv, ["wp", "v"] + (["type"] if typed else []))
-    formula = ((F.lit(MAX_R) - F.lit(MAX_R - MIN_R) / F.col("du")) + (F.lit(MAX_R) - F.lit(MAX_R - MIN_R) / F.col("dv"))) / 2.0
+    formula = ((2 - 1 / F.col("du")) + (2 - 1 / F.col("dv"))) / 2
     if typed:
         w = (F.when(F.col("type") == "ANTONYM", F.lit(ANTONYM_WEIGHT))
-             .when(F.col("type") == "babel", F.lit(BABEL_WEIGHT)).otherwise(formula))
+             .when(F.col("type") == WORD_EDGE, F.lit(WORD_EDGE_WEIGHT)).otherwise(formula))
     else:
         w = formula
     return j.select("wp", "u", "v", "mult", *(["type"] if typed else []), w.alias("weight"))
@@ -188,33 +211,30 @@ def edge_weight(graph: DataFrame, typed: bool = False) -> DataFrame:
 def shortest_hops(word_pairs: DataFrame, weighted: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """PATH5 / PATH5p: breadth-first search from word 1 to word 2 on the
     undirected graph of each pair; among hop-shortest paths the one of least
-    total weight, then the smallest node sequence (Q7).  One frontier table is
-    written per hop; visited nodes and hits are unions of those tables.
+    total weight, then the smallest node sequence (Q7).  Each hop reads the last
+    two layers and writes the next one; a pair leaves once its word 2 is reached.
     Returns ``(wp, hops, total_weight, path)``."""
     adj = weighted.filter(F.col("u") != F.col("v")).select("wp", "u", "v", "weight")
     adj = adj.unionByName(adj.select("wp", F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    adj = cut_lineage(adj)
-    pairs = cut_lineage(word_pairs.select("wp", wnode(F.lower("w1")).alias("src"), wnode(F.lower("w2")).alias("dst"))
-                        .join(adj.select("wp").distinct(), "wp", "left_semi"))
-    frontier = pairs.select("wp", F.col("src").alias("node"), F.lit(0).alias("hops"), F.lit(0.0).alias("cost"),
-                            F.array(F.col("src")).alias("path"))
-    layers = [frontier]
-    visited = frontier.select("wp", "node")
-    found = frontier.join(pairs.select("wp", F.col("dst").alias("node")), ["wp", "node"], "left_semi")
+    adj = cut_lineage(adj.withColumnsRenamed({"u": "node", "v": "next"}), "adjacent")
+    ends = word_pairs.select("wp", wnode(F.lower("w1")).alias("src"), wnode(F.lower("w2")).alias("dst"))
+    ends = ends.join(adj.select("wp").distinct(), "wp", "left_semi")
+    layer = cut_lineage(ends.select("wp", "dst", F.col("src").alias("node"), F.lit(0).alias("hops"), F.lit(0.0).alias("cost"),
+                                    F.array(F.col("src")).alias("path"), (F.col("src") == F.col("dst")).alias("done")), "hop-0")
+    before, found = None, layer.where("done")
     for h in range(1, max_hops + 1):
-        open_pairs = pairs.select("wp").join(found.select("wp"), "wp", "left_anti")
-        cand = frontier.join(open_pairs, "wp", "left_semi").join(adj.withColumnRenamed("u", "node"), ["wp", "node"])
-        cand = cand.select("wp", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
-                           F.concat("path", F.array("v")).alias("path"))
-        cand = cand.join(visited, ["wp", "node"], "left_anti")
-        best = cand.groupBy("wp", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select(
-            "wp", "node", F.lit(h).alias("hops"), F.col("b.cost").alias("cost"), F.col("b.path").alias("path"))
-        frontier = cut_lineage(best)
-        if frontier.isEmpty():
+        last = layer.where(~F.col("done"))
+        if h > 1:  # pairs whose word 2 is in this layer are settled
+            last = last.join(layer.where("done").select("wp"), "wp", "left_anti")
+        cand = last.join(adj, ["wp", "node"]).select("wp", "dst", F.col("next").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
+                                                     F.concat("path", F.array("next")).alias("path"))
+        seen = layer.select("wp", "node") if before is None else layer.select("wp", "node").unionByName(before.select("wp", "node"))
+        best = cand.join(seen, ["wp", "node"], "left_anti").groupBy("wp", "dst", "node").agg(F.min(F.struct("cost", "path")).alias("b"))
+        best = best.select("wp", "dst", "node", F.lit(h).alias("hops"), "b.cost", "b.path", (F.col("node") == F.col("dst")).alias("done"))
+        before, layer = layer, cut_lineage(best, f"hop-{h}")
+        if layer.isEmpty():
             break
-        layers.append(frontier)
-        visited = visited.unionByName(frontier.select("wp", "node"))
-        found = found.unionByName(frontier.join(pairs.select("wp", F.col("dst").alias("node")), ["wp", "node"], "left_semi"))
+        found = found.unionByName(layer.where("done"))
     return found.select("wp", F.col("hops").cast("int"), F.col("cost").alias("total_weight"), "path")
 
 
@@ -236,16 +256,16 @@ def node_depth(word_pairs: DataFrame, graph: DataFrame, max_hops: int = MAX_HOPS
     adj = cut_lineage(adj.unionByName(adj.select("wp", F.col("v").alias("u"), F.col("u").alias("v"))))
     roots = word_pairs.select("wp", wnode(F.lower("w1")).alias("node")).unionByName(
         word_pairs.select("wp", wnode(F.lower("w2")).alias("node"))).join(adj.select("wp").distinct(), "wp", "left_semi")
-    frontier = cut_lineage(roots.distinct())
-    visited = frontier.withColumn("depth", F.lit(0))
+    layer = cut_lineage(roots.distinct().withColumn("depth", F.lit(0)))
+    before, found = None, layer
     for h in range(1, max_hops + 1):
-        nxt = frontier.join(adj.withColumnRenamed("u", "node"), ["wp", "node"]).select("wp", F.col("v").alias("node"))
-        nxt = cut_lineage(nxt.distinct().join(visited.select("wp", "node"), ["wp", "node"], "left_anti"))
-        if nxt.isEmpty():
+        seen = layer.select("wp", "node") if before is None else layer.select("wp", "node").unionByName(before.select("wp", "node"))
+        nxt = layer.join(adj.withColumnRenamed("u", "node"), ["wp", "node"]).select("wp", F.col("v").alias("node")).distinct()
+        before, layer = layer, cut_lineage(nxt.join(seen, ["wp", "node"], "left_anti").withColumn("depth", F.lit(h)))
+        if layer.isEmpty():
             break
-        visited = visited.unionByName(nxt.withColumn("depth", F.lit(h)))
-        frontier = nxt
-    return visited
+        found = found.unionByName(layer)
+    return found
 
 
 def root_nodes(g: dict) -> DataFrame:
@@ -263,8 +283,7 @@ def root_nodes(g: dict) -> DataFrame:
 def sense_distance(word_pairs: DataFrame, word_synsets: DataFrame, edges: DataFrame,
                    first_piece_vectors: DataFrame | None = None, typed: bool = False,
                    max_levels: int = MAX_LEVELS) -> DataFrame:
-    """PATH7: per distinct word pair: path weight T -> 0 if T = 0 else
-    2*(0.5 - 1/T); no path within the level limit -> cosine of the first
+    """PATH7: per distinct word pair: path weight T -> SC10; no path within the level limit -> cosine of the first
     pieces of the two words (SC9).  Output ``(wp, w1, w2, has_path, total_weight,
     sense_by_path, sense_by_cosine, distance)``."""
     from rtq.functions.vectors import word_cosine

@@ -41,7 +41,7 @@ def q_src3(spark, sf):
 def q_src4(spark, sf):
     s = FX.senses(spark, sf)
     body = F.to_json(F.struct(F.collect_list(F.struct(
-        F.lit("BabelSense").alias("type"),
+        F.lit("LexiconSense").alias("type"),
         F.struct(F.col("full_lemma").alias("fullLemma"), F.col("language").alias("language"),
                  F.col("pos").alias("pos")).alias("properties"))).alias("senses")))
     resp = s.groupBy("synset_id").agg(body.alias("body"))

@@ -54,3 +54,39 @@ def test_swap_symmetry_and_unrelated_edge(spark):
     d2 = {r.wp: r.distance for r in P.sense_distance(wp, ws, e2).collect()}
     assert d1[1] == pytest.approx(d1[2])
     assert d1 == pytest.approx(d2)
+
+
+def test_ancestor_index_against_expansion_per_pair(spark):
+    """Levels, walk counts and the meeting level of random graphs (cycles, parallel
+    edges, words without a synset) against expanding every pair on its own."""
+    import random
+    from collections import Counter
+    rng = random.Random(7)
+    e = [(rng.randrange(25), rng.randrange(25)) for _ in range(30)]
+    ws = [(f"w{k}", rng.randrange(25)) for k in range(12) for _ in range(rng.randint(0, 3))]
+    pairs = [(f"{a}-{b}", f"W{a}", f"w{b}") for a in range(12) for b in range(0, 12, 2)]
+    edges = spark.createDataFrame([(x, y, "HYPERNYM", "EN") for x, y in e], "synset_id long, target long, relation_group string, language string")
+    g = P.expand_until_connected(spark.createDataFrame(pairs, "wp string, w1 string, w2 string"),
+                                 spark.createDataFrame(ws, "lemma string, id long"), edges)
+    want_level, want_edges = {}, Counter()
+    for wp, *words in pairs:
+        front = [Counter({i: 1 for w, i in set(ws) if w == word.lower()}) for word in words]
+        seen, taken = [set(f) for f in front], Counter()
+        for level in range(P.MAX_LEVELS + 1):
+            if seen[0] & seen[1]:
+                want_level[wp] = level
+                want_edges.update(taken)
+                break
+            for side in (0, 1):
+                nxt = Counter()
+                for x, y in e:
+                    if front[side][x]:
+                        taken[wp, side + 1, f"s:{x}", f"s:{y}", level + 1] += front[side][x]
+                        nxt[y] += front[side][x]
+                front[side] = nxt
+                seen[side] |= set(nxt)
+    assert {r.wp: r.lstar for r in g["lstar"].collect()} == want_level
+    got = Counter()
+    for r in g["edges"].collect():
+        got[r.wp, r.side, r.x, r.y, r.level] += r.mult
+    assert got == want_edges and want_edges
