@@ -6,15 +6,17 @@ Vectors live in ``vectors(cls, embedding)``.
 
 Keys: everything pair-level is keyed ``(pair_id, i)`` or ``(pair_id, j)``,
 never ``pair_id`` alone, so a long sentence pair spreads over many tasks.
-The token product of a pair before the rounds (JN6, ALN1, ALN2) is joined on
-``pair_id`` and is one task per pair.
-Two steps are sequential by definition and run per pair: the running maximum
-of WIN3 (a window over one pair's unambiguous matches, O(length)) and WIN4
-(an ``aggregate`` over the target lists of one pair's ambiguous sources).
+Its token product (JN6, ALN1, ALN2) is dealt in tiles of ``TILE`` x ``TILE``
+positions, its running maximum (WIN3) in blocks of ``BLOCK`` positions.  WIN4
+folds the target lists of one pair's ambiguous sources, up to ``FOLD`` of them;
+a longer pair finds each match's successor by block maxima and marks what the
+first one reaches by pointer doubling.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ from rtq.functions import vectors as V
 from rtq.session import cut_lineage
 
 TECHNIQUES = ("TOK", "AVG", "MAX", "FIRST")
+#: Positions a side of a tile, positions of a block, sources that one fold takes.
+TILE, BLOCK, FOLD = 512, 4096, 4096
+#: Sources under one node of the maxima WIN4 searches (a power of two).
+FAN = 64
+#: Units a side up to which one task runs a pair's auction.
+AUCTION_UNITS = 1024
 
 
 # ------------------------------------------------------------- padding -----
@@ -48,16 +56,36 @@ def _side(units: DataFrame, side: str, pos: str, cls: str) -> DataFrame:
 
 # --------------------------------------------------------- similarities -----
 
+def tiles(s: DataFrame, t: DataFrame) -> DataFrame:
+    """Product of ``s(pair_id, i, ...)`` and ``t(pair_id, j, ...)`` within each pair:
+    every row goes to each of the pair's tiles it is part of, and tiles are
+    joined, so a pair of n x m tokens spreads over n m / TILE^2 groups."""
+    def blocks(side: DataFrame, pos: str, name: str) -> DataFrame:
+        return side.groupBy("pair_id").agg(F.floor(F.max(pos) / TILE).cast("int").alias(name))
+
+    def dealt(side: DataFrame, pos: str, own: str, other: str, last: DataFrame) -> DataFrame:
+        return side.join(last, "pair_id").withColumn(own, F.floor(F.col(pos) / TILE).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), "_last"))).drop("_last")
+
+    s2 = dealt(s, "i", "_bi", "_bj", blocks(t, "j", "_last"))
+    t2 = dealt(t, "j", "_bj", "_bi", blocks(s, "i", "_last"))
+    return s2.join(t2, ["pair_id", "_bi", "_bj"]).drop("_bi", "_bj")
+
+
+def scored(s: DataFrame, t: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(pair_id, i, j, sim)`` for ``s(pair_id, i, a)`` and ``t(pair_id, j, b)``:
+    unit vectors travel with the tokens, the dot product is taken where a tile's
+    rows meet; without a vector it is 0."""
+    cv = V.class_vectors(vectors).select("cls", "unit")
+    s = s.join(cv.select(F.col("cls").alias("a"), F.col("unit").alias("_ua")), "a", "left").drop("a")
+    t = t.join(cv.select(F.col("cls").alias("b"), F.col("unit").alias("_ub")), "b", "left").drop("b")
+    sim = F.when(F.col("_ua").isNotNull() & F.col("_ub").isNotNull(), V.dot("_ua", "_ub")).otherwise(F.lit(0.0))
+    return tiles(s, t).select("pair_id", "i", "j", sim.alias("sim"))
+
+
 def pairwise_similarity(units: DataFrame, vectors: DataFrame) -> DataFrame:
-    """JN6: every source unit x every target unit of the same pair, cosine.
-    The product is per sentence pair; cosines are computed once per distinct
-    class pair and joined back."""
-    s = _side(units, "src", "i", "a")
-    t = _side(units, "trg", "j", "b")
-    e = s.join(t, "pair_id")
-    sims = V.class_similarity(e.filter(F.col("a").isNotNull() & F.col("b").isNotNull()), vectors)
-    return e.join(sims, ["a", "b"], "left").select(
-        "pair_id", "i", "j", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    """JN6: every source unit x every target unit of the same pair, cosine."""
+    return scored(_side(units, "src", "i", "a"), _side(units, "trg", "j", "b"), vectors)
 
 
 def near_identical_tokens(units: DataFrame, vectors: DataFrame, ni: DataFrame | None = None) -> DataFrame:
@@ -78,19 +106,35 @@ def ambiguous_matches(matches: DataFrame) -> DataFrame:
 
 
 def monotone_matches(unambiguous: DataFrame) -> DataFrame:
-    """WIN3: drop unambiguous matches whose target lies below the running maximum."""
-    w = Window.partitionBy("pair_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return unambiguous.withColumn("_m", F.max("j").over(w)).filter(F.col("j") >= F.col("_m")).drop("_m")
+    """WIN3: drop unambiguous matches whose target lies below the running maximum.
+
+    Two passes: the maxima of blocks of ``BLOCK`` positions run over a pair's
+    blocks, then positions run within a block above what came before it."""
+    m = unambiguous.withColumn("_b", F.floor(F.col("i") / BLOCK))
+    ahead = Window.partitionBy("pair_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = m.groupBy("pair_id", "_b").agg(F.max("j").alias("_top")).select("pair_id", "_b", F.max("_top").over(ahead).alias("_before"))
+    within = Window.partitionBy("pair_id", "_b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = m.join(before, ["pair_id", "_b"]).withColumn("_m", F.greatest(F.max("j").over(within), "_before"))
+    return m.filter(F.col("j") >= F.col("_m")).drop("_b", "_m", "_before")
 
 
 def monotone_ambiguous(ambiguous: DataFrame, strict: bool = False) -> DataFrame:
     """WIN4: each source, in order, takes its least target above the last one
     taken.  Unless ``strict``, a pair's last match (by source, then target) stands
-    outside this rule and is always kept.
+    outside this rule and is always kept.  Pairs of up to ``FOLD`` ambiguous
+    sources are folded, longer ones searched; both give the same rows."""
+    per_source = ambiguous.groupBy("pair_id", "i").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    size = per_source.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"))
+    long_pairs = cut_lineage(size.filter(F.col("_n") > FOLD).select("pair_id"), "long-pairs")
+    if long_pairs.isEmpty():
+        return _fold(per_source, strict)
+    short = per_source.join(long_pairs, "pair_id", "left_anti")
+    return _fold(short, strict).unionByName(_search(per_source.join(long_pairs, "pair_id", "left_semi"), strict))
+
 
-    One array per pair holds the target lists of its sources; an ``aggregate``
+def _fold(per_source: DataFrame, strict: bool) -> DataFrame:
+    """One array per pair holds the target lists of its sources; an ``aggregate``
     over it carries the last target taken."""
-    per_source = ambiguous.groupBy("pair_id", "i").agg(F.sort_array(F.collect_set("j")).alias("js"))
     pairs = per_source.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("i", "js"))).alias("sources"))
     last = F.element_at("sources", -1)
     pairs = pairs.withColumn("last", F.struct(last["i"].alias("i"), F.element_at(last["js"], -1).alias("j")))
@@ -111,6 +155,61 @@ def monotone_ambiguous(ambiguous: DataFrame, strict: bool = False) -> DataFrame:
     return kept.select("pair_id", "m.i", "m.j")
 
 
+def _search(per_source: DataFrame, strict: bool) -> DataFrame:
+    """WIN4 without a fold.  The match taken after (i, j) is, at the first later
+    source with a target above j, the least such target.  A tree of block maxima
+    (``FAN`` sources a node) finds that source for all matches at once: up until
+    a later sibling has a greater maximum, then down to it.  What the first match
+    reaches along these successors is marked by pointer doubling."""
+    rank = Window.partitionBy("pair_id").orderBy("i")  # numbers only: one row per source
+    src = per_source.withColumn("at", (F.row_number().over(rank) - 1).cast("long"))
+    match = src.select("pair_id", "i", "at", F.explode("js").alias("j"))
+    last = match.groupBy("pair_id").agg(F.max(F.struct("i", "j")).alias("l")).select("pair_id", "l.i", "l.j")
+    open_ = match if strict else match.join(last, ["pair_id", "i", "j"], "left_anti")
+    open_ = cut_lineage(open_.groupBy("pair_id", "i", "at").agg(F.sort_array(F.collect_list("j")).alias("js")), "open-sources")
+    bits = FAN.bit_length() - 1
+    levels = [cut_lineage(open_.select("pair_id", F.shiftright("at", bits).alias("node"), F.struct(
+        (F.col("at") % FAN).cast("int").alias("c"), F.array_max("js").alias("top")).alias("child")).groupBy("pair_id", "node").agg(
+        F.sort_array(F.collect_list("child")).alias("children")), "maxima")]
+    while levels[-1].filter("node > 0").head(1):
+        up = levels[-1].select("pair_id", F.shiftright("node", bits).alias("up"), F.struct(
+            (F.col("node") % FAN).cast("int").alias("c"), F.array_max("children.top").alias("top")).alias("child"))
+        levels.append(cut_lineage(up.groupBy("pair_id", F.col("up").alias("node")).agg(F.sort_array(F.collect_list("child")).alias("children")), "maxima"))
+
+    def first_above(children, j, after):
+        return F.get(F.filter(children, lambda x: (x["c"] > after) & (x["top"] > j)), F.lit(0))["c"]
+
+    # A start below every target precedes the first source.
+    state = open_.select("pair_id", F.col("at"), F.explode("js").alias("j")).unionByName(
+        open_.select("pair_id").distinct().select("pair_id", F.lit(-1).cast("long").alias("at"), F.lit(-1).alias("j")))
+    todo = state.select("pair_id", "at", "j", F.shiftright("at", bits).alias("node"), F.pmod("at", F.lit(FAN)).cast("int").alias("after"))
+    todo = todo.withColumn("after", F.when(F.col("at") < 0, -1).otherwise(F.col("after"))).withColumn("node", F.greatest("node", F.lit(0)))
+    found = []  # by the level of the node below which the successor lies
+    for level in levels:
+        seen = todo.join(level, ["pair_id", "node"]).withColumn("c", first_above(F.col("children"), F.col("j"), F.col("after"))).drop("children")
+        seen = cut_lineage(seen, "ascent")
+        found.append(seen.filter("c IS NOT NULL").select("pair_id", "at", "j", (F.col("node") * FAN + F.col("c")).alias("node")))
+        todo = seen.filter("c IS NULL").select("pair_id", "at", "j", (F.col("node") % FAN).cast("int").alias("after"),
+                                               F.shiftright("node", bits).alias("node"))
+    down = found[-1]
+    for k in range(len(levels) - 2, -1, -1):
+        step = down.join(levels[k], ["pair_id", "node"]).select(
+            "pair_id", "at", "j", (F.col("node") * FAN + first_above(F.col("children"), F.col("j"), F.lit(-1))).alias("node"))
+        down = step.unionByName(found[k])
+    targets = open_.select("pair_id", F.col("at").alias("node"), "js")
+    link = down.join(targets, ["pair_id", "node"]).select(
+        "pair_id", "at", "j", F.col("node").alias("at2"), F.get(F.filter("js", lambda x: x > F.col("j")), F.lit(0)).alias("j2"))
+    link = cut_lineage(link, "successors")
+    reached = cut_lineage(open_.select("pair_id").distinct().select("pair_id", F.lit(-1).cast("long").alias("at"), F.lit(-1).alias("j")), "reached")
+    while not link.isEmpty():
+        nxt = reached.join(link, ["pair_id", "at", "j"]).select("pair_id", F.col("at2").alias("at"), F.col("j2").alias("j"))
+        reached = cut_lineage(reached.unionByName(nxt), "reached")
+        far = link.select("pair_id", F.col("at").alias("at2"), F.col("j").alias("j2"), F.col("at2").alias("at3"), F.col("j2").alias("j3"))
+        link = cut_lineage(link.join(far, ["pair_id", "at2", "j2"]).select("pair_id", "at", "j", F.col("at3").alias("at2"), F.col("j3").alias("j2")), "doubled")
+    kept = reached.filter("at >= 0").join(open_.select("pair_id", "at", "i"), ["pair_id", "at"]).select("pair_id", "i", "j")
+    return kept if strict else kept.unionByName(last)
+
+
 def union_matches(same: DataFrame, diff: DataFrame) -> DataFrame:
     """SET2."""
     return same.select("pair_id", "i", "j").unionByName(diff.select("pair_id", "i", "j"))
@@ -155,52 +254,71 @@ def best_match(edges: DataFrame, node: str = "i", other: str = "j") -> DataFrame
     return b.select("pair_id", node, F.col("_b")[other].alias(other), (-F.col("_b.ns")).alias("sim"))
 
 
-def align_greedy(res: DataFrame, vectors: DataFrame, checkpoint_every: int = 3, stats: dict | None = None) -> DataFrame:
+def _residual(res: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = res.filter(F.col("side") == "src").select("pair_id", F.col("rpos").alias("i"), F.col("cls").alias("a"))
+    t = res.filter(F.col("side") == "trg").select("pair_id", F.col("rpos").alias("j"), F.col("cls").alias("b"))
+    return s, t
+
+
+def residual_edges(res: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(pair_id, i, j, sim)`` of the residual units with a similarity above 0."""
+    s, t = _residual(res)
+    return scored(s.filter("a IS NOT NULL"), t.filter("b IS NOT NULL"), vectors).filter(F.col("sim") > 0)
+
+
+def align_greedy(res: DataFrame, vectors: DataFrame, stats: dict | None = None) -> DataFrame:
     """ALN1: one-to-one matching of the residual units (re-aim of the exact
     assignment solver).  Greedy matching in the order (sim desc, i, j) over
-    edges with sim > 0, computed as rounds of locally dominant edges (an edge
-    that is the best for both of its ends); rounds run until no edge is left,
-    so the result is the full greedy matching.  Units left without a positive
-    edge (padding included) are then paired by rank of position.
+    edges with sim > 0, as rounds of locally dominant edges.  Units left without
+    a positive edge (padding included) are then paired by rank of position.
+
+    Every unit points to its best free partner; edges pointed to from both ends
+    are matched.  Only units whose partner was taken look at their edges again,
+    so a round reads the edges of that frontier and aggregates nothing else.
 
     ``res`` = reindexed residual units (``rpos``).  Returns (pair_id, i, j, how).
     """
-    spark = res.sparkSession
-    s = res.filter(F.col("side") == "src").select("pair_id", F.col("rpos").alias("i"), F.col("cls").alias("a"))
-    t = res.filter(F.col("side") == "trg").select("pair_id", F.col("rpos").alias("j"), F.col("cls").alias("b"))
-    e = s.filter(F.col("a").isNotNull()).join(t.filter(F.col("b").isNotNull()), "pair_id")
-    sims = V.class_similarity(e, vectors)
-    e = e.join(sims, ["a", "b"]).filter(F.col("sim") > 0).select("pair_id", "i", "j", "sim")
-    e = cut_lineage(e)
-    rounds, matched = 0, []
-    e_cached, release = False, None
+    e = residual_edges(res, vectors)
+    unit = ["pair_id", "side", "u"]
+    both = e.select("pair_id", F.explode(F.array(
+        F.struct(F.lit("src").alias("side"), F.col("i").alias("u"), F.col("j").alias("v")),
+        F.struct(F.lit("trg").alias("side"), F.col("j").alias("u"), F.col("i").alias("v")))).alias("d"), "sim")
+    ends = cut_lineage(both.select("pair_id", "d.side", "d.u", "d.v", "sim"), "edge-ends")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*unit).agg(F.min(F.struct((-F.col("sim")).alias("ns"), "v")).alias("b")).select(*unit, "b.v")
+
+    def as_units(m: DataFrame) -> DataFrame:
+        """Both ends of matches as units."""
+        return m.select("pair_id", F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("i").alias("u")),
+                                                     F.struct(F.lit("trg").alias("side"), F.col("j").alias("u")))).alias("d")).select("pair_id", "d.side", "d.u")
+
+    def pointed(units: DataFrame) -> DataFrame:
+        """The units as they are pointed to: by the other side."""
+        return units.select("pair_id", F.when(F.col("side") == "src", "trg").otherwise("src").alias("side"), F.col("u").alias("v"))
+
+    point = cut_lineage(best(ends), "pointers")
+    rounds, greedy = 0, None
     while True:
-        bi = best_match(e, "i", "j").select("pair_id", "i", "j")
-        bj = best_match(e, "j", "i").select("pair_id", "j", "i")
-        m = cut_lineage(bi.join(bj, ["pair_id", "i", "j"]))  # materialises e
-        if release is not None:
-            release.unpersist()  # the generation e was derived from
-            release = None
+        there = point.filter("side = 'src'").select("pair_id", F.col("u").alias("i"), F.col("v").alias("j"))
+        back = point.filter("side = 'trg'").select("pair_id", F.col("v").alias("i"), F.col("u").alias("j"))
+        m = cut_lineage(there.join(back, ["pair_id", "i", "j"]), "matched")
         if m.isEmpty():
             break
         rounds += 1
-        matched.append(m)
-        nxt = e.join(m.select("pair_id", "i"), ["pair_id", "i"], "left_anti").join(
-            m.select("pair_id", "j"), ["pair_id", "j"], "left_anti")
-        if rounds % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)  # written now: the cached generation can go at once
-            if e_cached:
-                e.unpersist()
-            e, e_cached = nxt, False
-        else:
-            release = e if e_cached else None  # still needed until nxt is materialised
-            e, e_cached = nxt.persist(), True
-    if e_cached:
-        e.unpersist()
-    greedy = (matched[0] if matched else spark.createDataFrame([], "pair_id long, i int, j int"))
-    for m in matched[1:]:
-        greedy = greedy.unionByName(m)
-    greedy = cut_lineage(greedy.select("pair_id", "i", "j"))
+        greedy = m if greedy is None else greedy.unionByName(m)
+        if rounds % 8 == 0:
+            greedy = cut_lineage(greedy, "matched-all")
+        taken = as_units(m)
+        rest = point.join(taken, unit, "left_anti")
+        target = ["pair_id", "side", "v"]
+        frontier = rest.join(pointed(taken), target, "left_semi").select(*unit)
+        again = ends.join(frontier, unit, "left_semi").join(pointed(as_units(greedy)), target, "left_anti")
+        point = cut_lineage(rest.join(pointed(taken), target, "left_anti").unionByName(best(again)), "pointers")
+    if greedy is None:
+        greedy = e.select("pair_id", "i", "j").limit(0)
+    s, t = _residual(res)
+    greedy = cut_lineage(greedy, "greedy")
     free_s = s.join(greedy.select("pair_id", "i"), ["pair_id", "i"], "left_anti")
     free_t = t.join(greedy.select("pair_id", "j"), ["pair_id", "j"], "left_anti")
     ws = Window.partitionBy("pair_id").orderBy("i")
@@ -297,55 +415,127 @@ def word_alignment(pieces: DataFrame, piece_vectors: DataFrame, technique: str =
 
 # ---------------------------------------------------------------- ALN2 -----
 
-def align_auction(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, max_rounds: int | None = None,
-                  stats: dict | None = None) -> DataFrame:
-    """ALN2: one-to-one matching of the residual units by auction (Bertsekas):
-    every unassigned source unit bids for its best target (value = similarity
-    - price) raising the price by best - second best + eps; each target goes
-    to its highest bidder (ties to the smaller i).  All sentence pairs advance
-    together; the residual is padded to a square with similarity 0.  The
-    total similarity is within n*eps of the optimum.  Returns (pair_id, i, j).
-
-    Each round is a few small jobs; on real residuals the synchronous
-    auction needs many rounds (price wars), so it is not used by the
-    pipeline or registered as a driver query yet (eps-scaling is next)."""
-    spark = res.sparkSession
-    s = res.filter(F.col("side") == "src").select("pair_id", F.col("rpos").alias("i"), F.col("cls").alias("a"))
-    t = res.filter(F.col("side") == "trg").select("pair_id", F.col("rpos").alias("j"), F.col("cls").alias("b"))
-    real = s.select("pair_id", "i")
-    n = s.groupBy("pair_id").agg(F.count(F.lit(1)).alias("ns")).join(
-        t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("nt")), "pair_id")
-    n = n.withColumn("n", F.greatest("ns", "nt"))
-    # square: extra rows/columns with similarity 0 (null class)
-    pad_s = n.filter("ns < n").select("pair_id", F.explode(F.sequence(F.col("ns").cast("int"), (F.col("n") - 1).cast("int"))).alias("i"))
-    pad_t = n.filter("nt < n").select("pair_id", F.explode(F.sequence(F.col("nt").cast("int"), (F.col("n") - 1).cast("int"))).alias("j"))
-    s = s.unionByName(pad_s.withColumn("a", F.lit(None).cast(s.schema["a"].dataType)))
-    t = t.unionByName(pad_t.withColumn("b", F.lit(None).cast(t.schema["b"].dataType)))
-    e = s.join(t, "pair_id")
-    sims = V.class_similarity(e.filter(F.col("a").isNotNull() & F.col("b").isNotNull()), vectors)
-    e = cut_lineage(e.join(sims, ["a", "b"], "left").select("pair_id", "i", "j", F.coalesce("sim", F.lit(0.0)).alias("v")))
-    owner = spark.createDataFrame([], "pair_id long, j int, i int")
-    price = t.select("pair_id", "j", F.lit(0.0).alias("p"))
-    price = cut_lineage(price)
+def scaling(top: float, eps: float) -> list[float]:
+    """Falling increments, the last one ``eps``."""
+    out, e = [eps], eps * 5
+    while e < top / 2:
+        out.append(e)
+        e *= 5
+    return out[::-1]
+
+
+def auction(value: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner of each column, price of each column) of a square matrix.  Free rows
+    bid for their best column what it is worth to them above the second best, plus
+    the increment; prices carry over from one increment to the next smaller one."""
+    n = len(value)
+    price, owner = np.zeros(n), np.full(n, -1)
+    for e in scaling(float(value.max(initial=0.0)), eps):
+        owner, mine = np.full(n, -1), np.full(n, -1)
+        free = np.arange(n)
+        while len(free):
+            net = value[free] - price
+            j = net.argmax(axis=1)
+            first = net[np.arange(len(free)), j]
+            net[np.arange(len(free)), j] = -np.inf
+            second = net.max(axis=1) if n > 1 else first
+            bid = price[j] + first - second + e
+            order = np.lexsort((free, -bid, j))
+            win = order[np.concatenate([[True], j[order][1:] != j[order][:-1]])]
+            lost = owner[j[win]]
+            mine[lost[lost >= 0]] = -1
+            owner[j[win]], mine[free[win]], price[j[win]] = free[win], j[win], bid[win]
+            free = np.flatnonzero(mine < 0)
+    return owner, price
+
+
+def auction_prices(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, stats: dict | None = None) -> DataFrame:
+    """ALN2: matching of the residual units by auction with falling increments
+    (Bertsekas); each pair is padded to a square with similarity 0.  Returns
+    ``(pair_id, i, j, price)``, one row per column j with its owner i; the total
+    similarity is within n * eps of the optimum, which ``auction_certificate``
+    proves from the prices.  Pairs of up to ``AUCTION_UNITS`` units a side run in
+    one task each; longer ones as rounds over tables, all pairs together."""
+    s, t = _residual(res)
+    n = s.groupBy("pair_id").agg(F.count(F.lit(1)).alias("ns")).join(t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("nt")), "pair_id")
+    n = cut_lineage(n.withColumn("n", F.greatest("ns", "nt").cast("int")), "auction-sizes")
+    edges = cut_lineage(residual_edges(res, vectors), "auction-edges")
+    small = n.filter(F.col("n") <= AUCTION_UNITS).select("pair_id", "n")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = int(pdf["n"].iloc[0])
+        value = np.zeros((size, size))
+        real = pdf[pdf["sim"].notna()]
+        value[real["i"].astype(int), real["j"].astype(int)] = real["sim"]
+        owner, price = auction(value, eps)
+        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "i": owner, "j": np.arange(size), "price": price})
+
+    out = small.join(edges, "pair_id", "left").groupBy("pair_id").applyInPandas(solve, "pair_id long, i int, j int, price double")
+    large = n.filter(F.col("n") > AUCTION_UNITS).select("pair_id", "n")
+    if not large.isEmpty():
+        out = out.unionByName(_auction_rounds(large, edges, eps, stats))
+    return out
+
+
+def _auction_rounds(sizes: DataFrame, edges: DataFrame, eps: float, stats: dict | None) -> DataFrame:
+    """The same auction as rounds over tables.  Columns without an edge to a row
+    are worth 0 to it, so only the two cheapest of each pair can matter there."""
+    every = sizes.select("pair_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
+    rows = cut_lineage(every.withColumnRenamed("x", "i"), "auction-rows")
+    cols = cut_lineage(every.select("pair_id", F.col("x").alias("j"), F.lit(0.0).alias("price"), F.lit(None).cast("int").alias("i")), "auction-columns")
+    edges = cut_lineage(edges.join(sizes.select("pair_id"), "pair_id", "left_semi"), "auction-large")
+    top = edges.agg(F.max("sim")).first()[0] or 0.0
     rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        free = s.select("pair_id", "i").join(owner.select("pair_id", "i"), ["pair_id", "i"], "left_anti")
-        net = e.join(free, ["pair_id", "i"], "left_semi").join(price, ["pair_id", "j"]).withColumn("w", F.col("v") - F.col("p"))
-        best = net.groupBy("pair_id", "i").agg(F.max(F.struct("w", (-F.col("j")).alias("nj"))).alias("b1"))
-        best = best.select("pair_id", "i", F.col("b1.w").alias("w1"), (-F.col("b1.nj")).alias("j"))
-        second = net.join(best.select("pair_id", "i", F.col("j").alias("bj")), ["pair_id", "i"]).filter(
-            F.col("j") != F.col("bj")).groupBy("pair_id", "i").agg(F.max("w").alias("w2"))
-        bids = best.join(second, ["pair_id", "i"], "left").join(price, ["pair_id", "j"]).withColumn(
-            "bid", F.col("p") + F.col("w1") - F.coalesce("w2", F.col("w1") - F.lit(1.0)) + F.lit(eps))
-        win = bids.groupBy("pair_id", "j").agg(F.max(F.struct("bid", (-F.col("i")).alias("ni"))).alias("m"))
-        win = cut_lineage(win.select("pair_id", "j", (-F.col("m.ni")).cast("int").alias("i"), F.col("m.bid").alias("bid")))
-        if win.isEmpty():
-            break
-        rounds += 1
-        owner = cut_lineage(owner.join(win.select("pair_id", "j"), ["pair_id", "j"], "left_anti").unionByName(
-            win.select("pair_id", "j", "i")))
-        price = cut_lineage(price.join(win.select("pair_id", "j", "bid"), ["pair_id", "j"], "left").select(
-            "pair_id", "j", F.coalesce("bid", "p").alias("p")))
+    for e in scaling(top, eps):
+        cols = cols.withColumn("i", F.lit(None).cast("int"))
+        while True:
+            free = rows.join(cols.filter("i IS NOT NULL").select("pair_id", "i"), ["pair_id", "i"], "left_anti")
+            linked = edges.join(free, ["pair_id", "i"], "left_semi").join(cols.select("pair_id", "j", "price"), ["pair_id", "j"])
+            # Of columns without an edge, the two of least price; at most two more than a row has edges must be looked at.
+            degree = edges.groupBy("pair_id", "i").agg(F.count(F.lit(1)).alias("d"), F.collect_set("j").alias("known"))
+            deepest = degree.groupBy("pair_id").agg(F.max("d").alias("d"))
+            order = Window.partitionBy("pair_id").orderBy("price", "j")
+            cheap = cols.withColumn("r", F.row_number().over(order)).join(deepest, "pair_id", "left").filter(F.col("r") <= F.coalesce("d", F.lit(0)) + 2)
+            cheap = cheap.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("price", "j"))).alias("cheap"))
+            plain = free.join(cheap, "pair_id").join(degree.select("pair_id", "i", "known"), ["pair_id", "i"], "left")
+            unknown = F.slice(F.filter("cheap", lambda x: F.col("known").isNull() | ~F.array_contains("known", x["j"])), 1, 2)
+            plain = plain.select("pair_id", "i", F.explode(unknown).alias("x")).select("pair_id", "i", "x.j", "x.price", F.lit(0.0).alias("sim"))
+            offers = linked.select("pair_id", "i", "j", "price", "sim").unionByName(plain).withColumn("w", F.col("sim") - F.col("price"))
+            two = offers.groupBy("pair_id", "i").agg(F.max(F.struct("w", (-F.col("j")).alias("nj"), "price")).alias("b"), F.max_by("j", F.struct("w", (-F.col("j")).alias("nj"))).alias("j"))
+            second = offers.join(two.select("pair_id", "i", F.col("j").alias("best")), ["pair_id", "i"]).filter("j <> best").groupBy("pair_id", "i").agg(F.max("w").alias("w2"))
+            bids = two.join(second, ["pair_id", "i"], "left").select(
+                "pair_id", "i", "j", (F.col("b.price") + F.col("b.w") - F.coalesce("w2", F.col("b.w")) + F.lit(e)).alias("bid"))
+            won = bids.groupBy("pair_id", "j").agg(F.max(F.struct("bid", (-F.col("i")).alias("ni"))).alias("m"))
+            won = cut_lineage(won.select("pair_id", "j", F.col("m.bid").alias("bid"), (-F.col("m.ni")).cast("int").alias("winner")), "auction-won")
+            if won.isEmpty():
+                break
+            rounds += 1
+            cols = cut_lineage(cols.join(won, ["pair_id", "j"], "left").select(
+                "pair_id", "j", F.coalesce("bid", "price").alias("price"), F.coalesce("winner", "i").alias("i")), "auction-columns")
     if stats is not None:
         stats["rounds"] = rounds
-    return owner.join(real, ["pair_id", "i"], "left_semi").select("pair_id", "i", "j")
+    return cols.select("pair_id", "i", "j", "price")
+
+
+def auction_certificate(res: DataFrame, vectors: DataFrame, prices: DataFrame) -> DataFrame:
+    """Proof of a matching: ``(pair_id, n, total, bound, one_to_one)``.  No matching
+    of a pair has a greater total similarity than ``bound``, the sum of the prices
+    and of every row's best similarity less price (linear programming duality)."""
+    prices = cut_lineage(prices, "auction-prices")
+    edges = cut_lineage(residual_edges(res, vectors), "certificate-edges")
+    total = prices.join(edges, ["pair_id", "i", "j"], "left").groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("sim", F.lit(0.0))).alias("total"), F.sum("price").alias("paid"),
+        F.min("price").alias("least"), F.countDistinct("i").alias("rows"), F.countDistinct("j").alias("columns"))
+    # A row gains at least the negative of the least price from a column without an edge (similarity 0 or more).
+    gain = edges.join(prices.select("pair_id", "j", "price"), ["pair_id", "j"]).groupBy("pair_id", "i").agg(F.max(F.col("sim") - F.col("price")).alias("gain"))
+    every = prices.select("pair_id", "i").join(total.select("pair_id", "least"), "pair_id").join(gain, ["pair_id", "i"], "left")
+    gains = every.groupBy("pair_id").agg(F.sum(F.greatest(F.coalesce("gain", -F.col("least")), -F.col("least"))).alias("gains"))
+    return total.join(gains, "pair_id").select("pair_id", "n", "total", (F.col("paid") + F.col("gains")).alias("bound"),
+                                               ((F.col("rows") == F.col("n")) & (F.col("columns") == F.col("n"))).alias("one_to_one"))
+
+
+def align_auction(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, stats: dict | None = None) -> DataFrame:
+    """ALN2: the matching alone, without padding: ``(pair_id, i, j)``."""
+    s, t = _residual(res)
+    out = auction_prices(res, vectors, eps, stats).select("pair_id", "i", "j")
+    return out.join(s.select("pair_id", "i"), ["pair_id", "i"], "left_semi").join(t.select("pair_id", "j"), ["pair_id", "j"], "left_semi")

@@ -44,3 +44,73 @@ def test_auction_small_instance(spark):
         "pair_id long, side string, pos int, piece string, cls long, rpos int")
     out = sorted((r.pair_id, r.i, r.j) for r in A.align_auction(res, vecs, eps=0.01).collect())
     assert out == [(1, 0, 0), (1, 1, 1), (2, 0, 0)]
+
+
+def _random_residual(spark, seed, pairs=6, size=9):
+    import random
+    rng = random.Random(seed)
+    vecs = [(c, [rng.uniform(-1, 1) for _ in range(4)]) for c in range(12)]
+    rows = []
+    for p in range(pairs):
+        for side in ("src", "trg"):
+            for pos in range(rng.randint(1, size)):
+                rows.append((p, side, pos, f"▁{pos}", rng.choice([None, *range(12)]), pos))
+    return (spark.createDataFrame(rows, "pair_id long, side string, pos int, piece string, cls long, rpos int"),
+            spark.createDataFrame(vecs, "cls long, embedding array<float>"))
+
+
+def test_greedy_takes_edges_in_order(spark, monkeypatch):
+    """The rounds equal taking edges by (similarity, i, j), also over several tiles."""
+    res, vecs = _random_residual(spark, 1, size=12)
+    want, used = set(), set()
+    edges = sorted(A.residual_edges(res, vecs).collect(), key=lambda r: (-r.sim, r.i, r.j))
+    for r in edges:
+        if not {(r.pair_id, "s", r.i), (r.pair_id, "t", r.j)} & used:
+            used |= {(r.pair_id, "s", r.i), (r.pair_id, "t", r.j)}
+            want.add((r.pair_id, r.i, r.j))
+    monkeypatch.setattr(A, "TILE", 4)
+    tiled = A.residual_edges(res, vecs).collect()
+    assert len(tiled) == len(edges) and {(r.pair_id, r.i, r.j) for r in tiled} == {(r.pair_id, r.i, r.j) for r in edges}
+    got = {(r.pair_id, r.i, r.j) for r in A.align_greedy(res, vecs).filter("how = 'greedy'").collect()}
+    assert got == want and len(want) > 10
+
+
+def test_auction_is_certified_and_optimal(spark, monkeypatch):
+    """Whole fixture certified; small pairs equal the best permutation, by both ways."""
+    import itertools
+    res, vecs = _random_residual(spark, 2, pairs=4, size=5)
+    sims = {(r.pair_id, r.i, r.j): r.sim for r in A.residual_edges(res, vecs).collect()}
+    for limit in (A.AUCTION_UNITS, 0):
+        monkeypatch.setattr(A, "AUCTION_UNITS", limit)
+        eps = 0.02
+        for r in A.auction_certificate(res, vecs, A.auction_prices(res, vecs, eps)).collect():
+            best = max(sum(sims.get((r.pair_id, i, j), 0.0) for i, j in enumerate(p)) for p in itertools.permutations(range(r.n)))
+            assert r.one_to_one and r.total <= best + 1e-9 <= r.bound + 2e-9 and r.bound - r.total <= r.n * eps + 1e-9
+    monkeypatch.undo()
+
+
+def test_running_maximum_over_blocks(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    rows = [(p, i, rng.randrange(40)) for p in range(3) for i in rng.sample(range(60), 30)]
+    m = spark.createDataFrame(rows, "pair_id long, i int, j int")
+    monkeypatch.setattr(A, "BLOCK", 7)
+    want, top = [], {}
+    for p, i, j in sorted(rows):
+        top[p] = max(top.get(p, -1), j)
+        want += [(p, i, j)] if j >= top[p] else []
+    assert sorted(map(tuple, A.monotone_matches(m).select("pair_id", "i", "j").collect())) == want
+
+
+def test_search_equals_fold(spark, monkeypatch):
+    """Long pairs (successors and pointer doubling) keep what the fold keeps."""
+    import random
+    rng = random.Random(4)
+    rows = [(p, i, j) for p in range(4) for i in range(0, 40, 1 + p) for j in rng.sample(range(45), rng.randint(1, 4))]
+    m = spark.createDataFrame(rows, "pair_id long, i int, j int")
+    for strict in (False, True):
+        monkeypatch.setattr(A, "FOLD", 4096)
+        fold = sorted(map(tuple, A.monotone_ambiguous(m, strict).collect()))
+        monkeypatch.setattr(A, "FOLD", 3)
+        monkeypatch.setattr(A, "FAN", 4)
+        assert sorted(map(tuple, A.monotone_ambiguous(m, strict).select("pair_id", "i", "j").collect())) == fold
