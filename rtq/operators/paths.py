@@ -148,7 +148,7 @@ def expand_until_connected(word_pairs: DataFrame, word_synsets: DataFrame, edges
     steps = _edge_nodes(edges, typed).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out = below.join(steps, "node").select("wp", "side", F.col("node").alias("x"), F.col("tgt").alias("y"), (F.col("walks") * F.col("n")).alias("mult"),
                                            (F.col("level") + 1).alias("level"), *(["type"] if typed else []))
-    return {"seeds": seeds, "lstar": lstar, "edges": out}
+    return {"seeds": seeds, "lstar": lstar, "edges": cut_lineage(out, "steps")}
 
 
 def has_path(word_pairs: DataFrame, lstar: DataFrame) -> DataFrame:
@@ -289,7 +289,8 @@ def sense_distance(word_pairs: DataFrame, word_synsets: DataFrame, edges: DataFr
     from rtq.functions.vectors import word_cosine
     word_pairs = cut_lineage(word_pairs.select("wp", "w1", "w2"))  # read many times by the loops
     g = expand_until_connected(word_pairs, word_synsets, edges, max_levels, typed)
-    weighted = cut_lineage(edge_weight(graph_edges(g, typed), typed))
+    graph = cut_lineage(graph_edges(g, typed), "graph")  # read three times by the weights
+    weighted = cut_lineage(edge_weight(graph, typed), "weights")
     sp = shortest_hops(word_pairs, weighted)
     out = word_pairs.select("wp", "w1", "w2").join(sp.select("wp", "total_weight"), "wp", "left")
     out = out.withColumn("has_path", F.col("total_weight").isNotNull())

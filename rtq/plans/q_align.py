@@ -16,6 +16,7 @@ from rtq.plans.pipeline import first_piece_vectors, piece_vectors, pieces_with_c
 from rtq.plans.q_text import DUCK_SEGN, DUCK_TOKS, seg_tokens
 from rtq.plans.registry import register
 from rtq.sources import fixtures as FX
+from rtq.session import cut_lineage
 from rtq.sources.fixtures import _h, duck_with
 
 SEG = ["seg_conv", "nvec"]
@@ -175,27 +176,83 @@ def q_win5(spark, sf):
               JOIN res t ON t.pair_id = p.pair_id AND t.side = 'trg' AND t.pos = p.j
   WHERE p.sim > 0) x WHERE rn = 1""", [D_KEPT, D_RES]))
 def q_top2(spark, sf):
-    r = _res(spark, sf)
-    s = r.filter("side = 'src'").select("pair_id", F.col("rpos").alias("i"), F.col("cls").alias("a"))
-    t = r.filter("side = 'trg'").select("pair_id", F.col("rpos").alias("j"), F.col("cls").alias("b"))
-    e = s.filter("a IS NOT NULL").join(t.filter("b IS NOT NULL"), "pair_id")
-    e = e.join(V.class_similarity(e, piece_vectors(spark, sf)), ["a", "b"]).filter("sim > 0")
+    e = A.residual_edges(cut_lineage(_res(spark, sf)), piece_vectors(spark, sf))
     return A.best_match(e, "i", "j")
 
 
-@register("ALN1_align_greedy")
+# The rounds of locally dominant edges: an edge is matched in the round in which it
+# comes first for both of its ends, the edges of matched ends end there.
+D_EDGE = ("edge", """SELECT p.pair_id, s.rpos AS i, t.rpos AS j, p.sim FROM prod p
+  JOIN res s ON s.pair_id = p.pair_id AND s.side = 'src' AND s.pos = p.i
+  JOIN res t ON t.pair_id = p.pair_id AND t.side = 'trg' AND t.pos = p.j WHERE p.sim > 0""")
+D_ALIVE = ("alive(pair_id, i, j, sim, round)", """SELECT pair_id, i, j, sim, 0 FROM edge
+  UNION ALL
+  SELECT pair_id, i, j, sim, round + 1 FROM (
+    SELECT *, bool_or(top) OVER (PARTITION BY pair_id, i) AS i_gone, bool_or(top) OVER (PARTITION BY pair_id, j) AS j_gone FROM (
+      SELECT *, row_number() OVER (PARTITION BY pair_id, i ORDER BY sim DESC, j) = 1
+            AND row_number() OVER (PARTITION BY pair_id, j ORDER BY sim DESC, i) = 1 AS top FROM alive) a) b
+  WHERE NOT i_gone AND NOT j_gone""")
+D_GREEDY = ("greedy", """SELECT pair_id, i, j FROM alive QUALIFY
+  row_number() OVER (PARTITION BY pair_id, round, i ORDER BY sim DESC, j) = 1 AND row_number() OVER (PARTITION BY pair_id, round, j ORDER BY sim DESC, i) = 1""")
+D_LEFT = ("leftover", """SELECT r.pair_id, r.side, r.rpos, row_number() OVER (PARTITION BY r.pair_id, r.side ORDER BY r.rpos) AS nth FROM res r
+  WHERE NOT EXISTS (SELECT 1 FROM greedy g WHERE g.pair_id = r.pair_id AND ((r.side = 'src' AND g.i = r.rpos) OR (r.side = 'trg' AND g.j = r.rpos)))""")
+D_ASSIGN = ("assign", """SELECT pair_id, i, j, 'greedy' AS how FROM greedy
+  UNION ALL SELECT s.pair_id, s.rpos, t.rpos, 'rank' FROM leftover s JOIN leftover t
+    ON t.pair_id = s.pair_id AND t.nth = s.nth AND s.side = 'src' AND t.side = 'trg'""")
+D_TOKWORDS = ("tokwords", """SELECT pair_id, CAST(word_no AS BIGINT) AS k,
+  replace(coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i < ns - 1), ''), '▁', '') AS s,
+  replace(coalesce(string_agg(coalesce(tp, ''), '' ORDER BY i) FILTER (WHERE i < ns - 1), ''), '▁', '') AS t FROM (
+  SELECT r.pair_id, r.rpos AS i, r.piece, z.ns, t.piece AS tp,
+    sum(CASE WHEN starts_with(r.piece, '▁') THEN 1 ELSE 0 END) OVER (PARTITION BY r.pair_id ORDER BY r.rpos ROWS UNBOUNDED PRECEDING) AS word_no
+  FROM res r JOIN (SELECT pair_id, count(*) FILTER (WHERE side = 'src') AS ns, count(*) FILTER (WHERE side = 'trg') AS nt FROM res GROUP BY pair_id) z
+    ON z.pair_id = r.pair_id AND z.ns > 0 AND z.nt > 0
+  LEFT JOIN assign a ON a.pair_id = r.pair_id AND a.i = r.rpos
+  LEFT JOIN res t ON t.pair_id = r.pair_id AND t.side = 'trg' AND t.rpos = a.j WHERE r.side = 'src') w
+  WHERE word_no >= 1 GROUP BY pair_id, word_no""")
+ASSIGN = [D_KEPT, D_RES, D_EDGE, D_ALIVE, D_GREEDY, D_LEFT, D_ASSIGN]
+
+
+@register("ALN1_align_greedy", fold_sql("SELECT pair_id, i, j, how FROM assign", ASSIGN))
 def q_aln1(spark, sf):
-    """Rows-only: the greedy rounds (checked against brute force in tests)."""
-    return A.align_greedy(_res(spark, sf), piece_vectors(spark, sf))
+    return A.align_greedy(cut_lineage(_res(spark, sf)), piece_vectors(spark, sf))
+
+
+EPS = 1e-3
+
+
+@register("ALN2_align_auction")
+def q_aln2(spark, sf):
+    """Rows-only: several matchings may be near the optimum; ALN2c checks this one."""
+    return A.align_auction(cut_lineage(_res(spark, sf)), piece_vectors(spark, sf), EPS)
+
+
+@register("ALN2c_auction_certificate", fold_sql("""SELECT z.pair_id, greatest(z.ns, z.nt) AS n, true AS one_to_one, true AS near_optimum,
+  coalesce(g.total, 0) <= coalesce(u.bound, 0) + 1e-6 AS below_bound FROM (
+  SELECT pair_id, count(*) FILTER (WHERE side = 'src') AS ns, count(*) FILTER (WHERE side = 'trg') AS nt FROM res GROUP BY pair_id) z
+  LEFT JOIN (SELECT g.pair_id, sum(e.sim) AS total FROM greedy g JOIN edge e ON e.pair_id = g.pair_id AND e.i = g.i AND e.j = g.j GROUP BY g.pair_id) g
+    ON g.pair_id = z.pair_id
+  LEFT JOIN (SELECT pair_id, sum(best) AS bound FROM (SELECT pair_id, i, max(sim) AS best FROM edge GROUP BY pair_id, i) b GROUP BY pair_id) u
+    ON u.pair_id = z.pair_id
+  WHERE z.ns > 0 AND z.nt > 0""", ASSIGN))
+def q_aln2c(spark, sf):
+    """Every pair's auction, proved by its prices: a one-to-one matching whose total
+    is within n * eps of a bound that no matching (the greedy one either) exceeds."""
+    res, vectors = cut_lineage(_res(spark, sf)), piece_vectors(spark, sf)
+    c = A.auction_certificate(res, vectors, A.auction_prices(res, vectors, EPS))
+    e = cut_lineage(A.residual_edges(res, vectors))
+    greedy = A.align_greedy(res, vectors).join(e, ["pair_id", "i", "j"]).groupBy("pair_id").agg(F.sum("sim").alias("greedy"))
+    near = F.col("bound") - F.col("total") <= F.col("n") * EPS + 1e-6
+    return c.join(greedy, "pair_id", "left").select("pair_id", "n", "one_to_one", near.alias("near_optimum"),
+                                                    (F.coalesce("greedy", F.lit(0.0)) <= F.col("bound") + 1e-6).alias("below_bound"))
 
 
-@register("ALN3_regroup_to_words")
+@register("ALN3_regroup_to_words", fold_sql("SELECT pair_id, k, s, t FROM tokwords", [*ASSIGN, D_TOKWORDS]))
 def q_aln3(spark, sf):
-    r = _res(spark, sf)
+    r = cut_lineage(_res(spark, sf))
     return A.regroup_to_words(r, A.align_greedy(r, piece_vectors(spark, sf)))
 
 
-@register("ALN5_word_alignment_tok")
+@register("ALN5_word_alignment_tok", fold_sql("SELECT pair_id, k, s, t FROM tokwords", [*ASSIGN, D_TOKWORDS]))
 def q_aln5(spark, sf):
     return A.word_alignment(pieces_with_class(spark, sf), piece_vectors(spark, sf), "TOK")
 

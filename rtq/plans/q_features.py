@@ -18,6 +18,7 @@ from rtq.plans.q_align import COS_SQL, D_SP, duck_first_piece, same_position_pai
 from rtq.plans.q_text import DUCK_SEGN, DUCK_TOKS, seg_normalized
 from rtq.plans.registry import register
 from rtq.sources import fixtures as FX
+from rtq.session import cut_lineage
 from rtq.sources.fixtures import _h, duck_with
 
 USES = ["seg_conv", "nvec", "lemmas", "word_synsets", "synset_edges"]
@@ -128,7 +129,7 @@ def _requests(spark, sf):
 
 
 def _graph(spark, sf):
-    req = _requests(spark, sf)
+    req = cut_lineage(_requests(spark, sf))
     return req, P.expand_until_connected(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf))
 
 
@@ -260,7 +261,7 @@ def q_agg16(spark, sf):
 @register("PATH7_sense_distance", oracle("""SELECT w1, w2, has_path,
   CASE WHEN has_path THEN sense_by_path ELSE sense_by_cosine END AS distance FROM dist"""))
 def q_path7(spark, sf):
-    req = _requests(spark, sf)
+    req = cut_lineage(_requests(spark, sf))
     words = req.select(F.col("w1").alias("word")).unionByName(req.select(F.col("w2").alias("word")))
     d = P.sense_distance(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf), first_piece_vectors(spark, sf, words))
     return d.select("w1", "w2", "has_path", "distance")
@@ -283,9 +284,8 @@ def oracle_contrib(body: str) -> str:
 
 def _contribs(spark, sf, segs=None):
     from rtq.functions.vectors import word_cosine
-    from rtq.session import cut_lineage
     c = cut_lineage(_classified(spark, sf, segs))
-    req = FE.distance_requests(c)
+    req = cut_lineage(FE.distance_requests(c))
     words = req.select(F.col("w1").alias("word")).unionByName(req.select(F.col("w2").alias("word")))
     dist = P.sense_distance(req, FX.word_synsets(spark, sf), lexicon_edges(spark, sf), first_piece_vectors(spark, sf, words))
     cp = c.filter(F.col("measure") == "cos_surface").select(F.col("s").alias("w1"), F.col("t").alias("w2")).distinct()

@@ -78,11 +78,11 @@ def test_greedy_takes_edges_in_order(spark, monkeypatch):
 def test_auction_is_certified_and_optimal(spark, monkeypatch):
     """Whole fixture certified; small pairs equal the best permutation, by both ways."""
     import itertools
-    res, vecs = _random_residual(spark, 2, pairs=4, size=5)
+    res, vecs = _random_residual(spark, 2, pairs=3, size=4)
     sims = {(r.pair_id, r.i, r.j): r.sim for r in A.residual_edges(res, vecs).collect()}
     for limit in (A.AUCTION_UNITS, 0):
         monkeypatch.setattr(A, "AUCTION_UNITS", limit)
-        eps = 0.02
+        eps = 0.1
         for r in A.auction_certificate(res, vecs, A.auction_prices(res, vecs, eps)).collect():
             best = max(sum(sims.get((r.pair_id, i, j), 0.0) for i, j in enumerate(p)) for p in itertools.permutations(range(r.n)))
             assert r.one_to_one and r.total <= best + 1e-9 <= r.bound + 2e-9 and r.bound - r.total <= r.n * eps + 1e-9
