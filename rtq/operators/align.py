@@ -74,13 +74,11 @@ def tiles(s: DataFrame, t: DataFrame) -> DataFrame:
 
 def scored(s: DataFrame, t: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(pair_id, i, j, sim)`` for ``s(pair_id, i, a)`` and ``t(pair_id, j, b)``:
-    unit vectors travel with the tokens, the dot product is taken where a tile's
-    rows meet; without a vector it is 0."""
-    cv = V.class_vectors(vectors).select("cls", "unit")
-    s = s.join(cv.select(F.col("cls").alias("a"), F.col("unit").alias("_ua")), "a", "left").drop("a")
-    t = t.join(cv.select(F.col("cls").alias("b"), F.col("unit").alias("_ub")), "b", "left").drop("b")
-    sim = F.when(F.col("_ua").isNotNull() & F.col("_ub").isNotNull(), V.dot("_ua", "_ub")).otherwise(F.lit(0.0))
-    return tiles(s, t).select("pair_id", "i", "j", sim.alias("sim"))
+    the tiles carry vector classes; a cosine is computed once per distinct pair of
+    classes and joined back.  Without a vector it is 0."""
+    e = tiles(s, t)
+    sims = V.class_similarity(e.filter(F.col("a").isNotNull() & F.col("b").isNotNull()), vectors)
+    return e.join(sims, ["a", "b"], "left").select("pair_id", "i", "j", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def pairwise_similarity(units: DataFrame, vectors: DataFrame) -> DataFrame:
