@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ TECHNIQUES = ("TOK", "AVG", "MAX", "FIRST")
 TILE, BLOCK, FOLD = 512, 4096, 4096
 #: Sources under one node of the maxima WIN4 searches (a power of two).
 FAN = 64
-#: Units a side up to which one task runs a pair's auction.
-AUCTION_UNITS = 1024
+#: Units a side up to which one task matches a pair (ALN1, ALN2).
+PAIR_UNITS = 1024
 
 
 # ------------------------------------------------------------- padding -----
@@ -216,7 +217,7 @@ def union_matches(same: DataFrame, diff: DataFrame) -> DataFrame:
 def match_same_tokens(units: DataFrame, vectors: DataFrame, strict: bool = False,
                       ni: DataFrame | None = None) -> DataFrame:
     """ALN0: near-identical matches cleaned to a mostly monotone set."""
-    m = ambiguous_matches(near_identical_tokens(units, vectors, ni))
+    m = cut_lineage(ambiguous_matches(near_identical_tokens(units, vectors, ni)), "same-tokens")
     same = monotone_matches(m.filter(~F.col("ambiguous")))
     diff = monotone_ambiguous(m.filter(F.col("ambiguous")), strict)
     return union_matches(same, diff)
@@ -264,18 +265,78 @@ def residual_edges(res: DataFrame, vectors: DataFrame) -> DataFrame:
     return scored(s.filter("a IS NOT NULL"), t.filter("b IS NOT NULL"), vectors).filter(F.col("sim") > 0)
 
 
+def dominant_edges(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching of a similarity matrix over its positive entries, as rounds
+    of entries that come first in their row and in their column (ties: the smaller
+    index); matched rows and columns leave the matrix."""
+    rows, cols = np.arange(sim.shape[0]), np.arange(sim.shape[1])
+    left, right = [rows[:0]], [cols[:0]]
+    while len(rows) and len(cols):
+        there, back = sim.argmax(axis=1), sim.argmax(axis=0)
+        at = np.arange(len(rows))
+        hit = np.flatnonzero((back[there] == at) & (sim[at, there] > 0))
+        if not len(hit):
+            break
+        left.append(rows[hit])
+        right.append(cols[there[hit]])
+        free_rows = np.delete(at, hit)
+        free_cols = np.delete(np.arange(len(cols)), there[hit])
+        rows, cols, sim = rows[free_rows], cols[free_cols], sim[np.ix_(free_rows, free_cols)]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _match_pair(t: pa.Table) -> pa.Table:
+    """Greedy matches of one pair's units ``(pair_id, side, rpos, unit)``, then its
+    leftovers by rank of position.  Products are summed dimension by dimension, so
+    equal vectors have equal similarities wherever they stand."""
+    t = t.sort_by([("side", "ascending"), ("rpos", "ascending")])
+    source = t["side"].to_numpy(zero_copy_only=False) == "src"
+    pos, known = t["rpos"].to_numpy(), t["unit"].is_valid().to_numpy(zero_copy_only=False)
+    flat = t["unit"].combine_chunks().drop_null().flatten().to_numpy()
+    unit = flat.reshape(known.sum(), len(flat) // max(1, known.sum()))
+    us, ut = unit[source[known]], unit[~source[known]]
+    sim = np.zeros((len(us), len(ut)))
+    for d in range(unit.shape[1]):
+        sim += us[:, d, None] * ut[None, :, d]
+    a, b = dominant_edges(sim)
+    i, j = pos[source & known][a], pos[~source & known][b]
+    rest_i, rest_j = np.setdiff1d(pos[source], i), np.setdiff1d(pos[~source], j)
+    n = min(len(rest_i), len(rest_j))
+    return pa.table({
+        "pair_id": pa.array([t["pair_id"][0].as_py()] * (len(i) + n), pa.int64()),
+        "i": pa.array(np.concatenate([i, rest_i[:n]]), pa.int32()), "j": pa.array(np.concatenate([j, rest_j[:n]]), pa.int32()),
+        "how": pa.array(["greedy"] * len(i) + ["rank"] * n, pa.string())})
+
+
 def align_greedy(res: DataFrame, vectors: DataFrame, stats: dict | None = None) -> DataFrame:
     """ALN1: one-to-one matching of the residual units (re-aim of the exact
     assignment solver).  Greedy matching in the order (sim desc, i, j) over
     edges with sim > 0, as rounds of locally dominant edges.  Units left without
     a positive edge (padding included) are then paired by rank of position.
 
-    Every unit points to its best free partner; edges pointed to from both ends
-    are matched.  Only units whose partner was taken look at their edges again,
-    so a round reads the edges of that frontier and aggregates nothing else.
+    Pairs of up to ``PAIR_UNITS`` units a side are matched in one task each, from
+    their units' vectors (no edge is shuffled); longer ones as rounds over tiled
+    edge tables.  Both give the same rows.
 
     ``res`` = reindexed residual units (``rpos``).  Returns (pair_id, i, j, how).
     """
+    size = res.groupBy("pair_id").agg(F.max("rpos").alias("_top"))
+    long_pairs = cut_lineage(size.filter(F.col("_top") >= PAIR_UNITS).select("pair_id"), "long-pairs")
+    has_long = not long_pairs.isEmpty()
+    short = res.join(long_pairs, "pair_id", "left_anti") if has_long else res
+    unit = V.class_vectors(vectors).filter(F.col("unit").isNotNull()).select("cls", "unit")
+    short = short.select(F.col("pair_id").cast("long"), "side", F.col("rpos").cast("int"), "cls").join(unit, "cls", "left").drop("cls")
+    out = short.groupBy("pair_id").applyInArrow(_match_pair, "pair_id long, i int, j int, how string")
+    if stats is not None:
+        stats["rounds"] = 0
+    return out.unionByName(_greedy_rounds(res.join(long_pairs, "pair_id", "left_semi"), vectors, stats)) if has_long else out
+
+
+def _greedy_rounds(res: DataFrame, vectors: DataFrame, stats: dict | None) -> DataFrame:
+    """ALN1 over tables.  Every unit points to its best free partner; edges pointed
+    to from both ends are matched.  Only units whose partner was taken look at their
+    edges again, so a round reads the edges of that frontier and aggregates nothing
+    else."""
     e = residual_edges(res, vectors)
     unit = ["pair_id", "side", "u"]
     both = e.select("pair_id", F.explode(F.array(
@@ -452,13 +513,13 @@ def auction_prices(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, stats:
     (Bertsekas); each pair is padded to a square with similarity 0.  Returns
     ``(pair_id, i, j, price)``, one row per column j with its owner i; the total
     similarity is within n * eps of the optimum, which ``auction_certificate``
-    proves from the prices.  Pairs of up to ``AUCTION_UNITS`` units a side run in
+    proves from the prices.  Pairs of up to ``PAIR_UNITS`` units a side run in
     one task each; longer ones as rounds over tables, all pairs together."""
     s, t = _residual(res)
     n = s.groupBy("pair_id").agg(F.count(F.lit(1)).alias("ns")).join(t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("nt")), "pair_id")
     n = cut_lineage(n.withColumn("n", F.greatest("ns", "nt").cast("int")), "auction-sizes")
     edges = cut_lineage(residual_edges(res, vectors), "auction-edges")
-    small = n.filter(F.col("n") <= AUCTION_UNITS).select("pair_id", "n")
+    small = n.filter(F.col("n") <= PAIR_UNITS).select("pair_id", "n")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         size = int(pdf["n"].iloc[0])
@@ -469,7 +530,7 @@ def auction_prices(res: DataFrame, vectors: DataFrame, eps: float = 1e-3, stats:
         return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "i": owner, "j": np.arange(size), "price": price})
 
     out = small.join(edges, "pair_id", "left").groupBy("pair_id").applyInPandas(solve, "pair_id long, i int, j int, price double")
-    large = n.filter(F.col("n") > AUCTION_UNITS).select("pair_id", "n")
+    large = n.filter(F.col("n") > PAIR_UNITS).select("pair_id", "n")
     if not large.isEmpty():
         out = out.unionByName(_auction_rounds(large, edges, eps, stats))
     return out

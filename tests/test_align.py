@@ -60,7 +60,8 @@ def _random_residual(spark, seed, pairs=6, size=9):
 
 
 def test_greedy_takes_edges_in_order(spark, monkeypatch):
-    """The rounds equal taking edges by (similarity, i, j), also over several tiles."""
+    """One task per pair and rounds over tables (several tiles) both equal taking
+    edges by (similarity, i, j)."""
     res, vecs = _random_residual(spark, 1, size=12)
     want, used = set(), set()
     edges = sorted(A.residual_edges(res, vecs).collect(), key=lambda r: (-r.sim, r.i, r.j))
@@ -71,8 +72,25 @@ def test_greedy_takes_edges_in_order(spark, monkeypatch):
     monkeypatch.setattr(A, "TILE", 4)
     tiled = A.residual_edges(res, vecs).collect()
     assert len(tiled) == len(edges) and {(r.pair_id, r.i, r.j) for r in tiled} == {(r.pair_id, r.i, r.j) for r in edges}
-    got = {(r.pair_id, r.i, r.j) for r in A.align_greedy(res, vecs).filter("how = 'greedy'").collect()}
-    assert got == want and len(want) > 10
+    both = []
+    for limit in (1024, 5, 0):
+        monkeypatch.setattr(A, "PAIR_UNITS", limit)
+        rows = A.align_greedy(res, vecs).collect()
+        assert {(r.pair_id, r.i, r.j) for r in rows if r.how == "greedy"} == want and len(want) > 10
+        both.append(sorted(map(tuple, rows)))
+    assert both[0] == both[1] == both[2]
+
+
+def test_greedy_without_edges(spark):
+    """No vector at all: paired by rank; a side without units pairs nothing."""
+    res = spark.createDataFrame([
+        (1, "src", 0, "▁a", None, 0), (1, "src", 1, "▁b", None, 1), (1, "trg", 0, "▁c", None, 0),
+        (2, "src", 0, "▁a", 0, 0), (3, "trg", 0, "▁a", 0, 0),
+        (4, "src", 0, "▁a", 1, 0), (4, "trg", 0, "▁a", 0, 0)],
+        "pair_id long, side string, pos int, piece string, cls long, rpos int")
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0])], "cls long, embedding array<float>")
+    assert sorted(map(tuple, A.align_greedy(res, vecs).collect())) == [(1, 0, 0, "rank"), (4, 0, 0, "rank")]
+    assert A.align_greedy(res.limit(0), vecs).count() == 0
 
 
 def test_auction_is_certified_and_optimal(spark, monkeypatch):
@@ -80,8 +98,8 @@ def test_auction_is_certified_and_optimal(spark, monkeypatch):
     import itertools
     res, vecs = _random_residual(spark, 2, pairs=3, size=4)
     sims = {(r.pair_id, r.i, r.j): r.sim for r in A.residual_edges(res, vecs).collect()}
-    for limit in (A.AUCTION_UNITS, 0):
-        monkeypatch.setattr(A, "AUCTION_UNITS", limit)
+    for limit in (A.PAIR_UNITS, 0):
+        monkeypatch.setattr(A, "PAIR_UNITS", limit)
         eps = 0.1
         for r in A.auction_certificate(res, vecs, A.auction_prices(res, vecs, eps)).collect():
             best = max(sum(sims.get((r.pair_id, i, j), 0.0) for i, j in enumerate(p)) for p in itertools.permutations(range(r.n)))
