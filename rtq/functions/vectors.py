@@ -89,11 +89,17 @@ def combine_word_vectors(units: DataFrame, key_cols: list[str], agg: str, vec: s
     keys = list(key_cols) + ([word] if word else [])
     if agg == "FIRST":
         return units.groupBy(*keys).agg(F.min_by(F.col(vec), F.col(order)).alias("vector"))
-    e = units.select(*keys, F.posexplode(vec).alias("dim", "v"))
-    f = F.avg("v") if agg == "AVG" else F.max(F.col("v").cast("double"))
-    g = e.groupBy(*keys, "dim").agg(f.alias("v"))
-    return g.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vector"))
+    return _summary(units, keys, agg, vec, "vector")
+
+
+def _summary(rows: DataFrame, keys: list[str], agg: str, vec: str, out: str) -> DataFrame:
+    """Mean or maximum of a vector column per key, position by position: one
+    vector a key leaves the map side.  Null vectors do not count."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    whole = (Summarizer.mean if agg == "AVG" else Summarizer.max)(v)
+    return rows.filter(F.col(vec).isNotNull()).groupBy(*keys).agg(whole.alias(out)).withColumn(out, vector_to_array(out))
 
 
 def word_cosine(word_pairs: DataFrame, first_piece_vectors: DataFrame, s: str = "s", t: str = "t",
@@ -108,10 +114,7 @@ def word_cosine(word_pairs: DataFrame, first_piece_vectors: DataFrame, s: str =
 
 def sentence_vectors(tokens_with_vectors: DataFrame, key_cols: list[str], vec: str = "embedding") -> DataFrame:
     """Mean of the token vectors of a sentence (fixture sentence encoder)."""
-    e = tokens_with_vectors.filter(F.col(vec).isNotNull()).select(*key_cols, F.posexplode(vec).alias("dim", "v"))
-    g = e.groupBy(*key_cols, "dim").agg(F.avg("v").alias("v"))
-    return g.groupBy(*key_cols).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))),
-                                                lambda s: s["v"]).alias("svec"))
+    return _summary(tokens_with_vectors, key_cols, "AVG", vec, "svec")
 
 
 def round_trip_similarity(src_vectors: DataFrame, trg_vectors: DataFrame, key: str = "pair_id") -> DataFrame:

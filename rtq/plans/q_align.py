@@ -269,15 +269,35 @@ D_WORDVEC = ("wv", """SELECT pair_id, side, word_no, idx, avg(x) AS v FROM (
   JOIN embeddings e ON e.vec_id = p.cls WHERE p.word_no >= 1) z GROUP BY pair_id, side, word_no, idx""")
 
 
-@register("AGG6_combine_word_vectors", duck_with([DUCK_SEGN, DUCK_TOKS, D_PCLS, D_WORDVEC], """SELECT pair_id, side, word_no,
-  CAST(count(*) AS INTEGER) AS dims, sum(v) AS vsum, max(CASE WHEN idx = 0 THEN v END) AS v0 FROM wv GROUP BY pair_id, side, word_no""", SEG))
-def q_agg6(spark, sf):
+AGG6_SQL = """SELECT pair_id, side, word_no,
+  CAST(count(*) AS INTEGER) AS dims, sum(v) AS vsum, max(CASE WHEN idx = 0 THEN v END) AS v0 FROM wv GROUP BY pair_id, side, word_no"""
+D_WORDMAX = ("wv", D_WORDVEC[1].replace("avg(x)", "max(x)"))
+D_WORDFIRST = ("wv", D_WORDVEC[1].replace("avg(x)", "arg_min(x, pos)").replace("p.word_no, unnest", "p.word_no, p.pos, unnest", 1))
+
+
+def _word_vectors(spark, sf, technique):
     from rtq.functions.text import word_index
     p = word_index(pieces_with_class(spark, sf), ["pair_id", "side"], combine_breaks=True)
     p = p.join(piece_vectors(spark, sf), "cls")
-    wv = V.combine_word_vectors(p, ["pair_id", "side"], "AVG")
+    wv = V.combine_word_vectors(p, ["pair_id", "side"], technique)
+    v = F.transform("vector", lambda x: x.cast("double"))
     return wv.select("pair_id", "side", "word_no", F.size("vector").cast("int").alias("dims"),
-                     F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("vsum"), F.col("vector")[0].alias("v0"))
+                     F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("vsum"), v[0].alias("v0"))
+
+
+@register("AGG6_combine_word_vectors", duck_with([DUCK_SEGN, DUCK_TOKS, D_PCLS, D_WORDVEC], AGG6_SQL, SEG))
+def q_agg6(spark, sf):
+    return _word_vectors(spark, sf, "AVG")
+
+
+@register("AGG6b_word_vectors_max", duck_with([DUCK_SEGN, DUCK_TOKS, D_PCLS, D_WORDMAX], AGG6_SQL, SEG))
+def q_agg6b(spark, sf):
+    return _word_vectors(spark, sf, "MAX")
+
+
+@register("AGG6c_word_vectors_first", duck_with([DUCK_SEGN, DUCK_TOKS, D_PCLS, D_WORDFIRST], AGG6_SQL, SEG))
+def q_agg6c(spark, sf):
+    return _word_vectors(spark, sf, "FIRST")
 
 
 D_SP = ("sp", """SELECT s.pair_id, s.pos AS k, replace(s.piece, '▁', '') AS s, coalesce(replace(t.piece, '▁', ''), '') AS t

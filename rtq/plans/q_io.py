@@ -50,6 +50,19 @@ def q_snk3(spark, sf):
     return IO.materialize_lexicon(FX.word_synsets(spark, sf), path, "lemma").select("lemma", "ord", "id", "pos")
 
 
+@register("SNK3b_bucketed_lookup", duck_with(None, """SELECT v.tok AS word, w.ord, w.id, e.target, e.relation_group
+FROM vocab v JOIN word_synsets w ON w.lemma = v.tok JOIN synset_edges e ON e.synset_id = w.id""",
+                                             ["vocab", "word_synsets", "synset_edges"]))
+def q_snk3b(spark, sf):
+    """JN1 then JN4 over a bucketed lexicon: only the looked-up keys are shuffled."""
+    from rtq.operators import lexicon as L
+    words = FX.vocab(spark, sf).withColumnRenamed("tok", "word")
+    synsets = IO.materialize_lexicon(FX.word_synsets(spark, sf), IO.scratch_path(spark, "synsets"), "lemma")
+    edges = IO.materialize_lexicon(FX.synset_edges(spark, sf), IO.scratch_path(spark, "edges"), "synset_id")
+    found = L.word_synset_join(words, synsets).select("word", "ord", "id", F.col("id").alias("synset_id"))
+    return L.synset_edge_join(found, edges).select("word", "ord", "id", "target", "relation_group")
+
+
 def _store(spark, sf):
     """Finished translations for half of the texts (the rest is the remainder)."""
     seg = FX.seg_conv(spark, sf)
@@ -106,15 +119,20 @@ def _str1_oracle():
 
 @register("STR1_incremental_features", _str1_oracle())
 def q_str1(spark, sf):
-    """Two files arrive in two runs; the output equals the batch feature table."""
+    """Files arrive in three runs: half of the segments, a third of them with the
+    sides exchanged; the other half beside repeated ones; the corrected ones.  The
+    current features equal the batch feature table."""
     from rtq.plans.q_features import same_position_features
-    from rtq.streaming.incremental import incremental_features
+    from rtq.streaming.incremental import current_features, incremental_features
     inp, out, ck = (IO.scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
     seg = FX.seg_conv(spark, sf)
     schema = "pair_id BIGINT, lp STRING, src STRING, trg STRING"
     feats = lambda b: same_position_features(spark, sf, b).select("pair_id", "EXTRA", "MISS", "STOPWORD", "INFL", "DERI", "SENSE")
-    seg.filter("pair_id % 2 = 0").write.parquet(inp + "/part=0")
-    incremental_features(spark, inp, schema, out, ck, feats)
-    seg.filter("pair_id % 2 = 1").write.parquet(inp + "/part=1")
-    incremental_features(spark, inp, schema, out, ck, feats)
-    return spark.read.parquet(out).drop("stream_batch")
+    wrong = seg.filter("pair_id % 6 = 0").select("pair_id", "lp", F.col("trg").alias("src"), F.col("src").alias("trg"))
+    runs = [seg.filter("pair_id % 2 = 0 AND pair_id % 6 <> 0").unionByName(wrong),
+            seg.filter("pair_id % 2 = 1 OR pair_id % 6 = 2"),
+            seg.filter("pair_id % 6 = 0")]
+    for n, rows in enumerate(runs):
+        rows.write.parquet(f"{inp}/part={n}")
+        incremental_features(spark, inp, schema, out, ck, feats)
+    return current_features(spark, out)

@@ -5,6 +5,8 @@ Explicit schemas (no inference); Parquet by default for results.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,26 @@ def write_batches(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ("
      .partitionBy(*partition_cols).parquet(path))
 
 
-def materialize_lexicon(df: DataFrame, path: str, key: str, num_files: int | None = None) -> DataFrame:
-    """SNK3: persist looked-up lexicon rows for later runs, range-clustered and
-    sorted by key so that a lookup prunes row groups by min/max; re-read."""
+def materialize_lexicon(df: DataFrame, path: str, key: str, num_buckets: int | None = None,
+                        table: str | None = None) -> DataFrame:
+    """SNK3: persist looked-up lexicon rows for later runs, bucketed and sorted by
+    the lookup key, and read them back as a table of the session's catalog: a join
+    on ``key`` shuffles the looked-up side only.  One task writes one bucket."""
     spark = df.sparkSession
-    n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = table or "lexicon_" + uuid.uuid4().hex
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").mode("overwrite")
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def attach_lexicon(spark: SparkSession, path: str, schema: str, key: str, num_buckets: int, table: str | None = None) -> DataFrame:
+    """SNK3: the bucketed table that an earlier run wrote to ``path``, in this
+    session's catalog (``schema`` and ``num_buckets`` as written)."""
+    table = table or "lexicon_" + uuid.uuid4().hex
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+              f"INTO {num_buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:

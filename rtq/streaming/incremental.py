@@ -2,10 +2,15 @@
 
 The reference restarts its batch loop from a hand-set batch number.  Here a
 file-source stream with a checkpoint remembers which input files were done;
-``trigger(availableNow=True)`` processes everything new and stops.  Each
-micro-batch runs the feature plan and overwrites only its own output
-partition, so a replayed batch is idempotent.  Every group of the plan stays
-inside one segment: no streaming state, no watermark.
+``trigger(availableNow=True)`` processes everything new and stops.
+
+State by segment key: every micro-batch appends to its own output partition the
+segments that are new or changed, with a fingerprint of their input.  A segment
+that arrives again unchanged is not computed again; a corrected one gets a new
+row, which ``current_features`` prefers.  A replayed batch sees the partitions
+before its own only and overwrites its own, so it is idempotent.  A batch scans
+the key, fingerprint and batch columns of the output and shuffles none of it but
+the rows of its own keys.
 """
 
 from __future__ import annotations
@@ -14,23 +19,82 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+LOG_COLUMNS = ("fingerprint", "stream_batch")
+
+
+def latest_versions(batch: DataFrame, key: str) -> DataFrame:
+    """One row per key of ``batch(_row, _arrived)`` with its ``fingerprint``: of
+    several versions that of the newest file (then the greatest file name, then
+    the greatest fingerprint).  A partial aggregate, so a key repeated in many
+    files costs one row after the map side.  A null key is a key like any other."""
+    rows = batch.withColumn("fingerprint", F.sha2(F.to_json("_row"), 256))
+    best = rows.groupBy(F.col(f"_row.{key}").alias("_key")).agg(
+        F.max_by(F.struct("_row", "fingerprint"), F.struct("_arrived.*", "fingerprint")).alias("_best"))
+    return best.select("_key", "_best._row", "_best.fingerprint")
+
+
+def unknown_versions(versions: DataFrame, log: DataFrame | None, key: str) -> DataFrame:
+    """The versions that differ from the last one of their key in ``log``."""
+    if log is None:
+        return versions
+    keys = versions.select(F.col("_key").alias("_k"))
+    old = log.select(F.col(key).alias("_old"), *LOG_COLUMNS)
+    old = old.join(keys, F.col("_old").eqNullSafe(F.col("_k")), "left_semi")
+    last = old.groupBy("_old").agg(F.max_by("fingerprint", "stream_batch").alias("_last"))
+    same = F.col("_key").eqNullSafe(F.col("_old")) & (F.col("fingerprint") == F.col("_last"))
+    return versions.join(last, same, "left_anti")
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame | None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target) or not any(s.getPath().getName().startswith("stream_batch=") for s in fs.listStatus(target)):
+        return None
+    return spark.read.parquet(path)
 
 
 def incremental_features(spark: SparkSession, input_path: str, schema: str, output_path: str,
                          checkpoint_path: str, features: Callable[[DataFrame], DataFrame],
-                         fmt: str = "parquet", max_files_per_trigger: int | None = None):
-    """Process files that arrived since the last run; returns the finished query."""
+                         fmt: str = "parquet", max_files_per_trigger: int | None = None, key: str = "pair_id"):
+    """Process files that arrived since the last run; returns the finished query.
+
+    ``features`` maps new or corrected segments to at most one row per ``key``
+    (a segment without one gets nulls).  Read the result with
+    ``current_features``."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(input_path)
+    # Only the stated columns make a version: not one that a folder name adds.
+    declared = [f"`{c}`" for c in StructType.fromDDL(schema).fieldNames()]
+    stream = stream.select(F.struct(*declared).alias("_row"), F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file")).alias("_arrived"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        out = features(batch).withColumn("stream_batch", F.lit(batch_id))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("stream_batch").parquet(output_path))
+        # foreachBatch hands over a session of its own: it has the session's settings.
+        log = _log(batch.sparkSession, output_path)
+        log = None if log is None else log.filter(F.col("stream_batch") < batch_id)
+        todo = unknown_versions(latest_versions(batch, key), log, key).persist()
+        try:
+            found = features(todo.select("_row.*")).withColumnRenamed(key, "_found")
+            out = todo.select("_key", "fingerprint").join(found, F.col("_key").eqNullSafe(F.col("_found")), "left")
+            out = out.drop("_found").withColumnRenamed("_key", key).withColumn("stream_batch", F.lit(batch_id))
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("stream_batch").parquet(output_path))
+        finally:
+            todo.unpersist()
 
     q = (stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def current_features(spark: SparkSession, output_path: str, key: str = "pair_id") -> DataFrame:
+    """The features of every segment's last version."""
+    log = spark.read.parquet(output_path)
+    values = [c for c in log.columns if c not in (key, *LOG_COLUMNS)]
+    last = log.groupBy(key).agg(F.max_by(F.struct(*values), "stream_batch").alias("_v"))
+    return last.select(key, "_v.*")
