@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtq.llm.names import guarded
 from rtq.llm.queries import register, table
 from rtq.session import cut_lineage
 
@@ -169,6 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) ->
     return out.where(F.col("covered") >= coverage)
 
 
+@guarded()
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     bad = cut_lineage(find_leaks(docs, items).select("doc_id", "text_key").distinct(), "contaminated")

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtq.llm.names import guarded
 from rtq.llm.queries import register, table
 
 #: What lies between words: of the lower-cased text, and of the text as it is.
@@ -106,6 +107,7 @@ def _same(words: Column, start: Column, phrase: tuple[str, ...]) -> Column:
     return (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, len(phrase)) == F.array(*[F.lit(w) for w in phrase]))
 
 
+@guarded()
 def scan(docs: DataFrame, text: str = "text", base: list[tuple[str, str]] = BASE,
          templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from rtq.llm.names import guarded
 from rtq.llm.queries import register, table
 from rtq.llm.words import SLICE_BYTES, U64, buffers, by_text, gram_hashes, mix, slices
 from rtq.session import cut_lineage
@@ -348,6 +349,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "comp").select("doc_id", "node", "class_id", "class_size", "n_links")
 
 
+@guarded()
 def dedupe(docs: DataFrame) -> DataFrame:
     """One row of each class stays: that with the least doc_id."""
     classes = near_classes(docs)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtq.llm.names import guarded
 from rtq.llm.queries import register, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,6 +127,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
+@guarded()
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add metrics, ``base_failed`` and ``kept`` to every row."""
     m = with_metrics(docs, text)

@@ -8,12 +8,12 @@ large, the next round counts just the rows of such cells at more bits.
 
 No bit can part rows of one key.  A cell still too large at the last bit is cut
 by running bytes over salted parts instead, so every shard fits.  A row that is
-larger than the limit by itself gets a shard of its own.
+larger than the limit by itself gets a shard of its own, repeated ones too.
 
 Defined cases: a null text has 0 bytes; a null key hashes like the empty
 string; repeated rows share a bucket, or the running cut; an empty table gives
 no shards; columns of the input are kept, and the columns added here replace
-input columns of the same name.
+input columns of the same name; other names may clash with internal ones.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rtq.llm.names import guarded
 from rtq.llm.queries import register, table
 from rtq.session import cut_lineage
 
@@ -55,15 +56,18 @@ def _settle(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
         levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth")), "cell", "left")
 
 
+@guarded()
 def assign_shards(rows: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with ``shard_id``, ``shard_depth`` and ``row_bytes``."""
     keep = [c for c in rows.columns if c not in ADDED]
     rows = rows.select(*keep).withColumns({"row_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
                                            "_h": key_hash(F.col(key))})
-    total = rows.agg(F.sum("row_bytes")).first()[0] or 0
-    step = max(1, min(20, (total // limit).bit_length() + 2))
     big = F.col("row_bytes") > limit
-    sized = rows.where(~big).select("_h", "row_bytes")
+    total, n_big = rows.agg(F.coalesce(F.sum("row_bytes"), F.lit(0)), F.count_if(big)).first()
+    step = max(1, min(20, (total // limit).bit_length() + 2))
+    alone = _single_rows(rows.where(big), text) if n_big else None
+    rows = rows.where(~big) if n_big else rows
+    sized = rows.select("_h", "row_bytes")
     low, open_cells, found = 0, None, []
     while True:
         high = min(HASH_BITS, low + step)
@@ -84,15 +88,23 @@ def assign_shards(rows: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id"
     for high, directory, n in found:
         cell = f"_c{high}"
         d = _small(directory.select(F.col("cell").alias(cell), F.col("depth").alias("_d")).where("depth IS NOT NULL"), n)
-        out = out.withColumn(cell, F.when(~big & F.col("shard_depth").isNull(), F.shiftright("_h", HASH_BITS - high)))
+        out = out.withColumn(cell, F.when(F.col("shard_depth").isNull(), F.shiftright("_h", HASH_BITS - high)))
         out = out.join(d, cell, "left").withColumn("shard_depth", F.coalesce("shard_depth", F.col("_d").cast("int"))).drop("_d", cell)
-    named = F.when(big, F.concat(F.lit("big-"), F.hex("_h"), F.lit("-"), F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 8)))
-    named = named.when(F.col("shard_depth").isNotNull(), F.concat_ws(
+    named = F.when(F.col("shard_depth").isNotNull(), F.concat_ws(
         "-", F.col("shard_depth").cast("string"), F.expr(f"shiftright(_h, {HASH_BITS} - shard_depth)").cast("string")))
     out = out.withColumn("shard_id", named)
     if left:
         out = out.where("shard_id IS NOT NULL").unionByName(_cut_cells(out.where("shard_id IS NULL"), limit))
-    return out.select(*keep, *ADDED)
+    out = out.select(*keep, *ADDED)
+    return out.unionByName(alone.select(*keep, *ADDED)) if n_big else out
+
+
+def _single_rows(rows: DataFrame, text: str) -> DataFrame:
+    """Rows over the limit, each a shard of its own: written once with a number, by
+    which repeated rows differ."""
+    name = F.concat(F.lit("big-"), F.hex("_h"), F.lit("-"), F.md5(F.coalesce(F.col(text), F.lit(""))), F.lit("-"),
+                    F.monotonically_increasing_id().cast("string"))
+    return cut_lineage(rows.withColumns({"shard_depth": F.lit(None).cast("int"), "shard_id": name}), "big-rows")
 
 
 def _cut_cells(rows: DataFrame, limit: int) -> DataFrame:

@@ -9,8 +9,10 @@ against them and rebuilds the original records byte by byte.
 Which record is the response of a payload is decided on (digest, id) rows with
 map-side maxima; payload bytes move once to be stored and once to be read.
 
-Defined cases: a null payload is empty; a null url has no target line; control
-characters of a url are percent-encoded in the header; records whose payload is
+Defined cases: a null payload is empty; a null url has no target line and is read
+back as null, an empty one as empty; control characters of a url are percent-encoded
+in its target line, and such a url stands in full, as hex, in a line of its own, from
+which it is read back; records whose payload is
 shorter than ``min_bytes`` are all responses; of repeated rows with the largest
 id each is a response; a null id is a revisit unless all ids are null; an empty
 table gives an archive without records; extra columns are not archived.
@@ -26,6 +28,7 @@ from rtq.session import scratch_path
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
+CONTROL = r"[\x00-\x1F\x7F]"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,8 +43,9 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_archive(records: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                  payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Store ``records`` under ``path``: tables ``payloads`` and ``headers``."""
+                  payload_col: str = "html", min_bytes: int = 0, date: Column | None = None) -> None:
+    """Store ``records`` under ``path``: tables ``payloads`` and ``headers``.  ``date``
+    is the WARC-Date of the records, the time of writing unless given."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = records.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"key": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload").cast("long")})
@@ -56,12 +60,17 @@ def write_archive(records: DataFrame, path: str, id_col: str = "page_id", url_co
     response = keys.groupBy("key").agg(F.max("id").alias("response"))
     heads = keys.join(response, "key")
     first = (F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("response"))
-    url = F.regexp_replace("url", r"[\x00-\x1F\x7F]", "%0A")
+    odd = F.col("url").rlike(CONTROL)
+    encoded = F.array_join(F.transform(F.split("url", ""), lambda c: F.when(
+        c.rlike(CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(F.encode(c, "UTF-8")), 2, "0"))).otherwise(c)), "")
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp() if date is None else date, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = F.concat(
         F.lit(VERSION + CRLF),
         _line("WARC-Type", F.when(first, F.lit("response")).otherwise(F.lit("revisit"))),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
-        _line("WARC-Target-URI", url),
+        _line("WARC-Date", date),
+        _line("WARC-Target-URI", F.when(odd, encoded).otherwise(F.col("url"))),
+        _line("Target-Hex", F.when(odd, F.hex(F.encode("url", "UTF-8")))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         _line("WARC-Profile", F.when(~first, F.lit(PROFILE))),
         _line("WARC-Refers-To", F.when(~first, F.concat(F.lit("<urn:page:"), F.col("response").cast("string"), F.lit(">")))),
@@ -83,11 +92,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     rows = heads.join(payloads, "key")
     rows = rows.withColumns({
         "record_type": _field("WARC-Type", "([a-z]+)"), "stated": _field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)"),
-        "url": _field("WARC-Target-URI", r"([^\r\n]*)"), "_ref": _field("WARC-Refers-To", "<urn:page:([^>]*)>"),
+        "_target": _field("WARC-Target-URI", r"([^\r\n]*)"), "_hex": _field("Target-Hex", "([0-9A-F]+)"),
+        "_has": F.col("header").cast("string").contains(CRLF + "WARC-Target-URI: "), "_ref": _field("WARC-Refers-To", "<urn:page:([^>]*)>"),
         "_id": _field("WARC-Record-ID", "<urn:page:([^>]*)>"), "digest": base32(F.sha1("payload"))})
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     return rows.select(
-        F.nullif("_id", F.lit("")).cast(kind).alias("id"), "url", "record_type", F.nullif("_ref", F.lit("")).cast(kind).alias("refers_to"),
+        F.nullif("_id", F.lit("")).cast(kind).alias("id"),
+        F.when(F.col("_hex") != "", F.decode(F.unhex("_hex"), "UTF-8")).when(F.col("_has"), F.col("_target")).alias("url"), "record_type", F.nullif("_ref", F.lit("")).cast(kind).alias("refers_to"),
         "payload", F.when(F.col("digest") == F.col("stated"), F.col("digest")).otherwise(
             F.raise_error(F.lit("a payload differs from its record's digest"))).alias("payload_digest"),
         "header", F.concat(F.col("header"), body, F.lit(CRLF * 2).cast("binary")).alias("record"))

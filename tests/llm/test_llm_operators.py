@@ -69,6 +69,40 @@ def test_warc_round_trip(spark):
     assert warc.read_archive(spark, path + "-none").count() == 0
 
 
+def test_warc_urls_come_back(spark):
+    """Every control character, percent signs that look like one, null and empty."""
+    urls = [None, "", "http://a/%0A%09", "http://é/ü?q=日本"] + [f"http://a/{chr(c)}x{chr(c)}é%0A" for c in [*range(32), 127]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("same"))
+    path = scratch_path(spark, "warc-urls")
+    warc.write_archive(pages, path, date=F.timestamp_seconds(F.lit(0)))
+    rows = warc.read_archive(spark, path).collect()
+    assert {r.id: r.url for r in rows} == dict(enumerate(urls)) and len(rows) == len(urls)
+    for r in rows:
+        head = bytes(r.header).decode().split("\r\n")
+        assert head[0] == "WARC/1.1" and head[-2:] == ["", ""] and "WARC-Date: 1970-01-01T00:00:00Z" in head
+        target = [x[17:] for x in head if x.startswith("WARC-Target-URI: ")]
+        want = urls[r.id] and re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", urls[r.id])
+        assert target == ([] if want is None else [want])
+
+
+def test_clashing_names(spark, odd, empty):
+    """Extra columns named like the operators' own come back unchanged."""
+    names = ["_k", "_id", "_k2", "_n", "_node", "_t", "_w", "_win", "_h", "_H2", "_d", "_f", "_b0", "_p", "_c3", "_part", "_at", "_up", "extra0"]
+    docs = odd
+    for n in names:
+        docs = docs.withColumn(n, F.lit("x" + n))
+    items = spark.createDataFrame([(1, "word1 the of1 and word2 the of2 and word3 the of3 and word4")], "item_id long, text string")
+    items = items.select(*(F.col("item_id" if c.endswith("id") else "text").alias(c) for c in spark.read.parquet(SF001 + "/benchmark.parquet").columns))
+    runs = {"judge": quality.judge, "scan": licenses.scan, "shards": lambda d: sharding.assign_shards(d, limit=4000),
+            "dedupe": near_dups.dedupe, "clean": lambda d: decontaminate.clean(d, items)}
+    for name, run in runs.items():
+        plain, got = run(odd), run(docs)
+        for n in names:
+            assert got.select(n).distinct().collect() in ([("x" + n,)], []), (name, n)
+        assert got.columns == plain.columns[:5] + names + plain.columns[5:], name
+        assert got.count() == plain.count(), name
+
+
 def test_url_rules_against_brute_force(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "", "block"), ("com", "/x", "block"), ("com", "/x/y", "allow")]
     urls = [(i, u) for i, u in enumerate(["http://example.net/en/1", "http://q.example.net/de", "http://a.example.net", "HTTP://B.A.example.NET/en/?q",
@@ -173,6 +207,8 @@ def test_sharding(spark, odd, empty):
         size[r.shard_id] += r.row_bytes
     assert all(n <= 4000 for s, n in size.items() if not s.startswith("big-")) and sum(s.startswith("big-") for s in size) == 1
     assert sharding.assign_shards(empty, 4000).count() == 0
+    large = spark.createDataFrame([(9, "z" * 5000, "en", "a", 1)] * 3 + [(9, "w" * 5000, "en", "a", 1), (1, "s", "en", "a", 1)], SCHEMA)
+    assert len({r.shard_id for r in sharding.assign_shards(large, 4000).collect()}) == 5
 
 
 def brute_classes(texts):
