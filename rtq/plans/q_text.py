@@ -51,9 +51,17 @@ def q_sc1(spark, sf):
     return FX.table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_en("text").alias("norm"))
 
 
-@register("SC2_normalize_zh", f"SELECT conv_id, turn, {duck_norm_zh('text')} AS norm FROM conversations")
+# The texts hold no Han character: vowels stand for some, a and e for the first and last of the range kept,
+# i for the one after it.
+VOWELS, HAN = "aeiou", "\u4e00\u9fa5\u9fa6中文"
+D_HAN = f"translate(text, '{VOWELS}', '{HAN}')"
+
+
+@register("SC2_normalize_zh", f"""SELECT conv_id, turn, {duck_norm_zh('text')} AS norm, {duck_norm_zh(D_HAN)} AS norm_han
+FROM conversations""")
 def q_sc2(spark, sf):
-    return FX.table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_zh("text").alias("norm"))
+    return FX.table(spark, sf, "conversations").select(
+        "conv_id", "turn", T.normalize_zh("text").alias("norm"), T.normalize_zh(F.translate("text", VOWELS, HAN)).alias("norm_han"))
 
 
 @register("SC3_normalize_text", f"SELECT doc_id, {duck_norm('text', 'lang')} AS norm FROM documents")
@@ -113,9 +121,12 @@ def q_sc7(spark, sf):
     return seg_normalized(spark, sf).select("pair_id", T.char_length_or_1("nsrc").cast("int").alias("n"))
 
 
-@register("SC11_quote_clean", """SELECT conv_id, turn, replace(text, '"', '''') AS text FROM conversations""")
+@register("SC11_quote_clean", """SELECT conv_id, turn, replace(text, '"', '''') AS text,
+  replace(text, ' ', '''') AS quoted FROM conversations""")
 def q_sc11(spark, sf):
-    return FX.table(spark, sf, "conversations").select("conv_id", "turn", T.quote_clean("text").alias("text"))
+    """``quoted``: the texts hold no double quote, so blanks become some first."""
+    quoted = F.translate("text", " ", '"')
+    return FX.table(spark, sf, "conversations").select("conv_id", "turn", T.quote_clean("text").alias("text"), T.quote_clean(quoted).alias("quoted"))
 
 
 @register("SC12_lower_word", "SELECT doc_id, lower(text) AS text FROM documents")
