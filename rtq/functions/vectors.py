@@ -8,14 +8,19 @@ the vocabulary instead of by the data.
 
 from __future__ import annotations
 
-import itertools
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rtq.functions.text import strip_marker
+from rtq.session import cut_lineage
 
 NEAR_IDENTICAL = 0.999
+MAX_PIVOTS = 1024  # pivots of the metric index, at most
+GUARDS = 8  # pivots whose distances are compared before the vectors are
 
 
 def dot(a, b) -> Column:
@@ -47,7 +52,9 @@ def class_vectors(vectors: DataFrame, cls: str = "cls", vec: str = "embedding")
     """Distinct classes with their vector, norm and unit vector."""
     v = vectors.select(cls, vec).dropDuplicates([cls])
     v = v.withColumn("_n", norm(vec))
-    return v.withColumn("unit", F.when(F.col("_n") > 0, F.transform(vec, lambda x: x.cast("double") / F.col("_n"))))
+    # The norm enters as a one-element array: as a column it would be computed again for every element.
+    unit = F.transform(F.array(norm(vec)), lambda n: F.when(n > 0, F.transform(vec, lambda x: x.cast("double") / n)))[0]
+    return v.withColumn("unit", unit)
 
 
 def class_similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", cls: str = "cls",
@@ -61,24 +68,82 @@ def class_similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str
     return d.select(a, b, sim.alias("sim"))
 
 
+def _with_pivot_distances(reps: DataFrame, max_pivots: int) -> DataFrame:
+    """``(rep, unit)`` with ``_d``, the distance to each pivot (one matrix product a
+    batch).  Pivots are the square root of the row count, at least GUARDS and at
+    most ``max_pivots``, taken by the order of a hash: a bounded list that the
+    driver reads.  Shorter vectors count as filled up with zeros."""
+    size = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("dims")).first()
+    wanted = min(max_pivots, max(GUARDS, math.ceil(math.sqrt(size.n))))
+    chosen = reps.select(F.xxhash64("unit").alias("_h"), "rep", "unit").orderBy("_h", "rep").limit(wanted).collect()
+    dims = size.dims or 0
+    pivots = np.zeros((len(chosen), dims))
+    for k, row in enumerate(chosen):
+        pivots[k, :len(row.unit)] = row.unit
+
+    def measure(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                part = whole.slice(start, 1024)
+                unit = part.column("unit")
+                u = np.zeros((len(unit), dims))
+                u[np.arange(dims) < unit.value_lengths().to_numpy()[:, None]] = unit.flatten().to_numpy()
+                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ pivots.T)))
+                ends = np.arange(0, d.size + 1, max(len(pivots), 1), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), unit, pa.ListArray.from_arrays(ends, d.ravel())], names=["rep", "unit", "_d"])
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    return reps.select("rep", "unit").mapInArrow(measure, f"rep {kind}, unit array<double>, _d array<double>")
+
+
+def near_identical_index(vectors: DataFrame, cls: str = "cls", vec: str = "embedding",
+                         threshold: float = NEAR_IDENTICAL, max_pivots: int = MAX_PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Metric index for cosine > threshold: ``members(cls, rep)`` and ``compared(a, b, sim)``.
+
+    Classes with equal unit vectors share a representative (the least class).
+    Representatives are compared at distance r = sqrt(2(1-threshold)) or less, by
+    the triangle inequality: a vector lives in the cell of its nearest pivot and
+    in a shell of width r around it, and looks into the cell of every pivot at
+    most 2r farther than its nearest, shells one lower to one higher.  Pairs that
+    any of the first GUARDS pivots tells apart go; ``compared`` holds the others
+    once (a < b) with their cosine, near or not.  Exact: no pair over the
+    threshold is lost.  Zero, null and non-finite vectors have no class here."""
+    width = (2.0 * (1.0 - threshold)) ** 0.5 * 1.0001
+    cv = class_vectors(vectors, cls, vec).filter(F.col("unit").isNotNull() & ~F.exists("unit", lambda x: F.coalesce(F.isnan(x), F.lit(True))))
+    cv = cut_lineage(cv.select(cls, "unit"), "units")
+    reps = cut_lineage(cv.groupBy("unit").agg(F.min(cls).alias("rep")), "reps")
+    members = cut_lineage(cv.join(reps, "unit").select(cls, "rep"), "members")
+    m = _with_pivot_distances(reps, max_pivots).withColumn("_least", F.array_min("_d"))
+    guards = [F.get("_d", F.lit(k)).alias(f"_g{k}") for k in range(GUARDS)]
+    m = cut_lineage(m.select("rep", "unit", "_d", "_least", *guards), "pivot-distances")
+    home = m.select(F.col("rep").alias("b"), F.col("unit").alias("ub"), (F.array_position("_d", F.col("_least")) - 1).cast("int").alias("pivot"),
+                    F.floor(F.col("_least") / width).alias("shell"), *[F.col(f"_g{k}").alias(f"_h{k}") for k in range(GUARDS)])
+    look = m.select(F.col("rep").alias("a"), F.col("unit").alias("ua"), "_least", *[f"_g{k}" for k in range(GUARDS)], F.posexplode("_d").alias("pivot", "_at"))
+    shell = F.floor(F.col("_at") / width)
+    look = look.filter(F.col("_at") <= F.col("_least") + 2 * width).withColumn("shell", F.explode(F.array(shell - 1, shell, shell + 1)))
+    cand = look.join(home, ["pivot", "shell"]).filter(F.col("a") < F.col("b"))
+    for k in range(GUARDS):
+        cand = cand.filter(F.coalesce(F.abs(F.col(f"_g{k}") - F.col(f"_h{k}")) <= width, F.lit(True)))
+    return members, cand.select("a", "b", dot("ua", "ub").alias("sim"))
+
+
+def near_identical_halves(members: DataFrame, compared: DataFrame, cls: str = "cls", threshold: float = NEAR_IDENTICAL) -> DataFrame:
+    """``(a, rep, sim)``: each class with every representative near it, its own
+    included.  Classes with equal vectors are not expanded into pairs."""
+    near = compared.filter(F.col("sim") > threshold)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    own = members.select(F.col(cls).alias("a"), "rep", F.lit(1.0).alias("sim"))
+    other = members.join(both, F.col("rep") == F.col("a")).select(F.col(cls).alias("a"), F.col("b").alias("rep"), "sim")
+    return own.unionByName(other)
+
+
 def near_identical_classes(vectors: DataFrame, cls: str = "cls", vec: str = "embedding",
-                           threshold: float = NEAR_IDENTICAL, dims: int = 3) -> DataFrame:
-    """Class pairs ``(a, b)`` with cosine > threshold, found by an exact grid
-    equi-join instead of a product: unit vectors with cosine > t lie within
-    distance r = sqrt(2(1-t)), so each coordinate differs by less than r and
-    the first ``dims`` grid cells differ by at most one.  Every class probes the
-    3^dims neighbouring cells; candidates are then checked exactly."""
-    r = (2.0 * (1.0 - threshold)) ** 0.5
-    width = r * 1.0001
-    cv = class_vectors(vectors, cls, vec).filter(F.col("unit").isNotNull()).select(cls, "unit")
-    cells = [F.floor(F.col("unit")[k] / F.lit(width)).cast("int") for k in range(dims)]
-    home = cv.select(F.col(cls).alias("b"), F.col("unit").alias("ub"), F.array(*cells).alias("cell"))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=dims)]
-    probe = cv.select(F.col(cls).alias("a"), F.col("unit").alias("ua"),
-                      F.explode(F.array(*[F.array(*[c + F.lit(o[k]) for k, c in enumerate(cells)]) for o in offsets]))
-                      .alias("cell"))
-    cand = probe.join(home, "cell")
-    return cand.select("a", "b", dot("ua", "ub").alias("sim")).filter(F.col("sim") > F.lit(threshold))
+                           threshold: float = NEAR_IDENTICAL) -> DataFrame:
+    """Class pairs ``(a, b, sim)`` with cosine > threshold, both directions and
+    every class with itself, from the metric index."""
+    members, compared = near_identical_index(vectors, cls, vec, threshold)
+    halves = near_identical_halves(members, compared, cls, threshold)
+    return halves.join(members.select("rep", F.col(cls).alias("b")), "rep").select("a", "b", "sim")
 
 
 def combine_word_vectors(units: DataFrame, key_cols: list[str], agg: str, vec: str = "embedding",

@@ -124,6 +124,23 @@ def q_jn7(spark, sf):
     return A.near_identical_tokens(_units(spark, sf), piece_vectors(spark, sf))
 
 
+@register("JN7c_near_index_bound", duck_with([D_VECS], """SELECT a.cls, count(b.cls) AS n_near, true AS bounded
+  FROM vecs a JOIN vecs b ON list_dot_product(a.u, b.u) > 0.999 WHERE a.u IS NOT NULL AND b.u IS NOT NULL GROUP BY a.cls""", []))
+def q_jn7c(spark, sf):
+    """Every vector: its near-identical vectors, and whether the index compared it with
+    no more than four times the square root of the table besides these."""
+    vectors = piece_vectors(spark, sf)
+    members, compared = V.near_identical_index(vectors)
+    compared = cut_lineage(compared, "compared")
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    near = (V.near_identical_halves(members, compared).join(size, "rep").groupBy(F.col("a").alias("cls"))
+            .agg(F.sum("n").alias("n_near")))
+    ends = compared.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_compared"))
+    limit = 4 * F.sqrt(members.select(F.count(F.lit(1))).scalar())
+    return near.join(members, "cls").join(ends, "rep", "left").select(
+        "cls", "n_near", (F.coalesce("n_compared", F.lit(0)) <= F.col("n_near") + limit).alias("bounded"))
+
+
 @register("WIN2_ambiguous_matches", duck_with(MATCH, "SELECT pair_id, i, j, ambiguous FROM amb", SEG))
 def q_win2(spark, sf):
     return A.ambiguous_matches(A.near_identical_tokens(_units(spark, sf), piece_vectors(spark, sf)))
