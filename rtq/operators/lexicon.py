@@ -153,17 +153,23 @@ def any_hypernym_edges(edges: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- joins -----
 
-def word_synset_join(words: DataFrame, word_synsets: DataFrame, word: str = "word") -> DataFrame:
-    """JN1: word -> its synsets (left join: words without synsets keep a null id)."""
+def word_synset_join(words: DataFrame, word_synsets: DataFrame, word: str = "word", langs: tuple[str, ...] = ()) -> DataFrame:
+    """JN1: word -> its synsets (left join: words without synsets keep a null id).
+    ``langs`` names language columns of both tables that belong to the key, such
+    as ``("src_lang", "trg_lang")``; a word without language then has no synset."""
     ws = word_synsets.withColumnRenamed("lemma", word)
-    return words.join(ws, word, "left")
+    return words.join(ws, [word, *langs], "left")
 
 
-def word_sense_join(words: DataFrame, word_synsets: DataFrame, senses: DataFrame, word: str = "word") -> DataFrame:
-    """JN2: word -> its senses (senses of its synsets)."""
-    ws = word_synsets.select(F.col("lemma").alias(word), F.col("id").alias("synset_id"))
+def word_sense_join(words: DataFrame, word_synsets: DataFrame, senses: DataFrame, word: str = "word",
+                    langs: tuple[str, ...] = (), target: str | None = None) -> DataFrame:
+    """JN2: word -> its senses (senses of its synsets).  ``langs`` as in JN1;
+    ``target`` names the one that the senses must be in (codes in either case)."""
+    ws = word_synsets.select(F.col("lemma").alias(word), *langs, F.col("id").alias("synset_id"))
     s = ws.join(senses, "synset_id")
-    return words.join(s, word, "left")
+    if target is not None:
+        s = s.filter(F.lower("language") == F.lower(target))
+    return words.join(s, [word, *langs], "left")
 
 
 def synset_sense_join(synsets: DataFrame, senses: DataFrame, synset: str = "synset_id") -> DataFrame:

@@ -315,3 +315,10 @@ def q_agg9(spark, sf):
 def same_position_features(spark, sf, segs):
     """Six features per segment with word pairs taken by equal position."""
     return FE.segment_features(segs, _contribs(spark, sf, segs))
+
+
+def labelled_sql(sql: str) -> str:
+    """The same text over the labelled documents; the lexicon stays that of the conversations."""
+    segments = f"seg_labelled AS ({FX.DUCK['seg_labelled'][1]})"
+    sql = sql.replace("FROM seg_conv),", "FROM seg_labelled),", 1).replace("FROM seg_conv s ", "FROM seg_labelled s ")
+    return sql.replace("WITH ", f"WITH {segments},\n", 1)

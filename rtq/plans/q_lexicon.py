@@ -154,6 +154,49 @@ def q_jn2(spark, sf):
         "word", "synset_id", "full_lemma", "pos", "language")
 
 
+PAIR = ("src_lang", "trg_lang")
+
+
+@register("JN1b_word_synsets_by_language", duck_with(None, """SELECT w.word, w.src_lang, w.trg_lang, s.id FROM words_by_language w
+LEFT JOIN synsets_by_language s ON s.lemma = w.word AND s.src_lang = w.src_lang AND s.trg_lang = w.trg_lang""", ["synsets_by_language"]))
+def q_jn1b(spark, sf):
+    """A form that several language pairs share has its own synsets in each."""
+    return L.word_synset_join(FX.words_by_language(spark, sf), FX.synsets_by_language(spark, sf), langs=PAIR).select("word", *PAIR, "id")
+
+
+@register("JN2b_word_senses_by_language", duck_with(None, """SELECT w.word, w.src_lang, w.trg_lang, x.synset_id, x.full_lemma, x.language
+FROM words_by_language w LEFT JOIN (SELECT s.lemma, s.src_lang, s.trg_lang, e.* FROM synsets_by_language s JOIN senses e
+  ON e.synset_id = s.id AND lower(e.language) = s.trg_lang) x ON x.lemma = w.word AND x.src_lang = w.src_lang AND x.trg_lang = w.trg_lang""",
+                                                    ["synsets_by_language", "senses"]))
+def q_jn2b(spark, sf):
+    """Senses in the target language only."""
+    return L.word_sense_join(FX.words_by_language(spark, sf), FX.synsets_by_language(spark, sf), FX.senses(spark, sf), langs=PAIR,
+                             target="trg_lang").select("word", *PAIR, "synset_id", "full_lemma", "language")
+
+
+@register("JN10b_lemmas_by_language", duck_with(None, """SELECT w.word, w.src_lang, coalesce(o.lemma, a.lemma, lower(w.word)) AS lemma
+FROM (SELECT DISTINCT word, src_lang FROM words_by_language) w
+LEFT JOIN (SELECT form, lang, min(lower(lemma)) AS lemma FROM lemmas_by_language WHERE lang IS NOT NULL GROUP BY form, lang) o
+  ON o.form = w.word AND o.lang = w.src_lang
+LEFT JOIN (SELECT form, min(lower(lemma)) AS lemma FROM lemmas_by_language WHERE lang IS NULL GROUP BY form) a ON a.form = w.word""",
+                                                ["lemmas_by_language"]))
+def q_jn10b(spark, sf):
+    """The lemma of a word's own language, else that of every language (SRC7 with languages)."""
+    w = FX.words_by_language(spark, sf).select("word", "src_lang").distinct()
+    return L.lemma_join(w, L.load_lemmas(FX.lemmas_by_language(spark, sf)), lang_col="src_lang").select("word", "src_lang", "lemma")
+
+
+@register("SRC4b_load_word_senses", duck_with(None, """SELECT w.lemma, s.full_lemma, s.pos, s.language
+FROM word_synsets w JOIN senses s ON s.synset_id = w.id""", W))
+def q_src4b(spark, sf):
+    """The answer to a word: its senses as a plain list."""
+    ws = FX.word_synsets(spark, sf).select("lemma", F.col("id").alias("synset_id"))
+    s = F.struct(F.lit("LexiconSense").alias("type"), F.struct(F.col("full_lemma").alias("fullLemma"), F.col("language").alias("language"),
+                                                               F.col("pos").alias("pos")).alias("properties"))
+    resp = ws.join(FX.senses(spark, sf), "synset_id").groupBy("lemma").agg(F.to_json(F.collect_list(s)).alias("body"))
+    return L.load_senses(resp, "lemma", "body").select("lemma", "full_lemma", "pos", "language")
+
+
 @register("JN3_synset_sense_join", duck_with(None, """SELECT w.synset_id, s.full_lemma, s.language
 FROM (SELECT DISTINCT id AS synset_id FROM word_synsets UNION SELECT 0) w LEFT JOIN senses s ON s.synset_id = w.synset_id""", W))
 def q_jn3(spark, sf):

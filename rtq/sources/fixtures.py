@@ -3,11 +3,6 @@
 Each fixture exists twice: a Spark DataFrame builder (used by the library
 and by ``__spark_entry__.queries``) and an independent DuckDB text (used by
 ``oracle_sql``).  Both read the same parquet tables.
-
-Deviation from FIXTURES.md: ``seg_near`` pairs every near copy with the
-*anchor* of its group (smallest doc_id with the same 60-character prefix)
-instead of with every other member; the all-pairs form grows with the square
-of a group's size.
 """
 
 from __future__ import annotations
@@ -60,18 +55,18 @@ def seg_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
                     lp.alias("lp"), F.col("a.text").alias("src"), F.col("b.text").alias("trg"))
 
 
-def seg_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies: each document paired with its group's anchor (same first 60
-    characters, smallest doc_id, different text).  The anchor per prefix is a
-    partial aggregate, so a hot prefix costs one row after the map side."""
+# Round trip of ``seg_labelled``: endings lost, an article gone, another word, a longer form.
+DAMAGE = [("(ing|ed|s) ", " "), (" (the|der|le|el) ", " x "), (" [a-f]([a-z]{5})", " y$1"), ("([g-m][a-z]{4}) ", "$1ful ")]
+
+
+def seg_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document and a damaged round trip of it, keyed by its doc_id."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    pre = d.select("doc_id", "text", F.substring("text", 1, 60).alias("pfx"))
-    anchors = pre.groupBy("pfx").agg(F.min("doc_id").alias("anchor_id"))
-    members = pre.join(anchors, "pfx").filter(F.col("doc_id") != F.col("anchor_id"))
-    a = d.select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("src"), F.col("lang").alias("alang"))
-    j = members.join(a, "anchor_id").filter(F.col("src") != F.col("text"))
-    return j.select((F.col("anchor_id") * 1000000 + F.col("doc_id")).cast("bigint").alias("pair_id"),
-                    lp_of_lang(F.col("alang")).alias("lp"), "src", F.col("text").alias("trg"))
+    j = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    trg = F.col("text")
+    for pattern, instead in DAMAGE:
+        trg = F.regexp_replace(trg, pattern, instead)
+    return j.select(F.col("doc_id").alias("pair_id"), lp_of_lang(F.col("lang")).alias("lp"), F.col("text").alias("src"), trg.alias("trg"))
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +111,27 @@ def word_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + F.col("h") % (n - 1)).cast("bigint").alias("id"), pos.alias("pos"))
 
 
+def words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source words of the conversations with their language pair; many forms occur in several."""
+    s = seg_conv(spark, sf_dir).select(F.substring("lp", 1, 2).alias("src_lang"), F.substring("lp", 4, 2).alias("trg_lang"),
+                                       F.explode(F.split(N("src"), " ")).alias("word"))
+    return s.filter("word <> ''").distinct()
+
+
+def synsets_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form has another synset in each language pair, and none in some."""
+    w = words_by_language(spark, sf_dir).withColumn("h", H(F.concat_ws("@", "word", "src_lang", "trg_lang")))
+    return w.filter("h % 5 <> 0").select(F.col("word").alias("lemma"), "src_lang", "trg_lang",
+                                         (F.lit(1) + F.col("h") % (n_vectors(spark, sf_dir) - 1)).cast("bigint").alias("id"))
+
+
+def lemmas_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of two languages, and those of every language under null."""
+    own = words_by_language(spark, sf_dir).filter("src_lang IN ('de', 'fr')").select(
+        F.col("src_lang").alias("lang"), F.col("word").alias("form"), F.concat("word", "src_lang").alias("lemma")).distinct()
+    return own.unionByName(lemmas(spark, sf_dir).select(F.lit(None).cast("string").alias("lang"), "form", "lemma"))
+
+
 def synset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id")
     half = F.floor(F.col("vec_id") / 2).cast("bigint")
@@ -160,17 +176,20 @@ def _n(x: str) -> str:
     return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
 
 
+def _damaged(x: str) -> str:
+    for pattern, instead in DAMAGE:
+        x = f"regexp_replace({x}, '{pattern}', '{instead.replace('$', chr(92))}', 'g')"
+    return x
+
+
 DUCK: dict[str, tuple[list[str], str]] = {
     "nvec": ([], "SELECT count(*) AS n FROM embeddings"),
     "seg_conv": ([], """SELECT conv_id*1000+turn AS pair_id,
        CASE conv_id%4 WHEN 0 THEN 'en-de' WHEN 1 THEN 'fr-en' WHEN 2 THEN 'de-en' ELSE 'es-en' END AS lp, src, trg
 FROM (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS trg FROM conversations) x
 WHERE trg IS NOT NULL"""),
-    "seg_near": ([], """SELECT a.doc_id*1000000+b.doc_id AS pair_id,
-       CASE WHEN a.lang='en' THEN 'en-de' ELSE concat(a.lang,'-en') END AS lp, a.text AS src, b.text AS trg
-FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY substr(text,1,60)) AS anchor FROM documents) b
-JOIN documents a ON a.doc_id = b.anchor
-WHERE b.doc_id <> b.anchor AND a.text <> b.text"""),
+    "seg_labelled": ([], f"""SELECT d.doc_id AS pair_id, CASE WHEN d.lang='en' THEN 'en-de' ELSE d.lang || '-en' END AS lp,
+       d.text AS src, {_damaged('d.text')} AS trg FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""),
     "vocab": (["seg_conv"], f"""SELECT DISTINCT tok FROM (SELECT unnest(string_split({_n('text')}, ' ')) AS tok
   FROM (SELECT src AS text FROM seg_conv UNION ALL SELECT trg FROM seg_conv) y) z WHERE tok <> ''"""),
     "token_vectors": (["vocab", "nvec"], f"""SELECT v.tok AS token, e.vec_id, e.embedding
@@ -183,6 +202,12 @@ FROM (SELECT tok, regexp_replace(tok,'(ing|ly|ed|s)$','') AS l FROM vocab) x""")
        CASE WHEN h%4=0 THEN 'VERB' WHEN h%4=1 THEN 'ADJECTIVE' ELSE 'NOUN' END AS pos
 FROM (SELECT tok, 0 AS ord, {_h('tok')} AS h FROM vocab UNION ALL SELECT tok, 1, {_h("concat(tok,'#1')")} FROM vocab) x
 CROSS JOIN nvec c WHERE h%5 <> 0"""),
+    "words_by_language": (["seg_conv"], f"""SELECT DISTINCT word, src_lang, trg_lang FROM (
+  SELECT unnest(string_split({_n('src')}, ' ')) AS word, substr(lp,1,2) AS src_lang, substr(lp,4,2) AS trg_lang FROM seg_conv) x WHERE word <> ''"""),
+    "synsets_by_language": (["words_by_language", "nvec"], f"""SELECT word AS lemma, src_lang, trg_lang, CAST(1 + h % (n-1) AS BIGINT) AS id
+FROM (SELECT *, {_h("concat_ws('@', word, src_lang, trg_lang)")} AS h FROM words_by_language) x CROSS JOIN nvec c WHERE h % 5 <> 0"""),
+    "lemmas_by_language": (["words_by_language", "lemmas"], """SELECT DISTINCT src_lang AS lang, word AS form, word || src_lang AS lemma
+FROM words_by_language WHERE src_lang IN ('de', 'fr') UNION ALL SELECT NULL, form, lemma FROM lemmas"""),
     "synset_edges": ([], """SELECT vec_id AS synset_id, CAST(FLOOR(vec_id/2) AS BIGINT) AS target, 'HYPERNYM' AS relation_group,
        CASE vec_id%3 WHEN 0 THEN 'EN' WHEN 1 THEN 'MUL' ELSE 'FR' END AS language FROM embeddings WHERE vec_id>=2
 UNION ALL SELECT CAST(FLOOR(vec_id/2) AS BIGINT), vec_id, 'HYPONYM', 'MUL' FROM embeddings WHERE vec_id>=2
