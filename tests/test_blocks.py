@@ -42,3 +42,26 @@ def test_best_match_keeps_the_smaller_index_over_batches(spark):
     want = {(p, i): min((-((i * j) % 5), j) for j in range(20)) for p in range(3) for i in range(20)}
     got = {(r.pair_id, r.i): (-r.sim, r.j) for r in A.best_match(edges).collect()}
     assert got == want
+
+
+def test_auction_and_certificate_keep_no_edges(spark, monkeypatch):
+    res, vecs = _units(spark, 12)
+    monkeypatch.setattr(A, "residual_edges", None)  # a table of all edges is for pairs over PAIR_UNITS only
+    prices = A.auction_prices(res, vecs, 0.01)
+    for r in A.auction_certificate(res, vecs, prices).collect():
+        assert r.one_to_one and r.n == 12 and 0 <= r.bound - r.total + 1e-9 <= r.n * 0.01 + 2e-9
+
+
+def test_means_of_sentences_and_words_once_per_sequence(spark):
+    rows = [(p, side, pos, pos // 2, (pos + p) % 3) for p in range(3) for side in ("src", "trg") for pos in range(8)]
+    tokens = spark.createDataFrame(rows, "pair_id long, side string, pos int, word_no int, cls long")
+    vecs = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -4.0]), (2, [0.0, 0.0])], "cls long, embedding array<float>")
+    table = {r.cls: np.array(r.embedding) for r in vecs.collect()}
+    got = {(r.pair_id, r.side): r.svec for r in V.sentence_vectors(tokens, vecs).collect()}
+    assert len(got) == 6
+    for (p, side), v in got.items():
+        assert np.allclose(v, np.mean([table[c] for q, s, _, _, c in rows if (q, s) == (p, side)], axis=0))
+    words = V.word_sequences(tokens, ["pair_id", "side"])
+    assert words.count() == 24
+    by_seq = {r.seq: list(r.vector) for r in V.sequence_vectors(words, vecs, "AVG").collect()}
+    assert by_seq == {f"{a} {(a + 1) % 3}": list((table[a] + table[(a + 1) % 3]) / 2) for a in range(3)}
