@@ -65,3 +65,12 @@ def test_means_of_sentences_and_words_once_per_sequence(spark):
     assert words.count() == 24
     by_seq = {r.seq: list(r.vector) for r in V.sequence_vectors(words, vecs, "AVG").collect()}
     assert by_seq == {f"{a} {(a + 1) % 3}": list((table[a] + table[(a + 1) % 3]) / 2) for a in range(3)}
+
+
+def test_training_rows_are_dealt_by_their_number(spark):
+    from rtq.operators import scoring as S
+    rows = spark.range(100).repartition(40)
+    for per_task, tasks in ((20000, 1), (30, 4)):
+        got = S.in_few_tasks(rows, per_task)
+        assert got.rdd.getNumPartitions() == tasks and sorted(r.id for r in got.collect()) == list(range(100))
+    assert S.in_few_tasks(spark.range(0)).count() == 0
