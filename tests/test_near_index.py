@@ -57,3 +57,14 @@ def test_tokens_match_through_representatives(spark):
     got = A.near_identical_tokens(units, vec)
     given = A.near_identical_tokens(units, vec, ni=V.near_identical_classes(vec))
     assert {(r.i, r.j) for r in got.collect()} == {(0, 0), (1, 1)} == {(r.i, r.j) for r in given.select(F.col("i"), F.col("j")).collect()}
+
+
+def test_far_pivots_are_not_kept(spark):
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(900, 3))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(units)], "rep long, unit array<double>")
+    got = V._near_pivots(reps, 1024, 0.1).collect()
+    assert len(got) == 900 and all(r._home in r._near and len(r._guards) == V.GUARDS for r in got)
+    assert all(r._least <= d <= r._least + 0.1 for r in got for d in r._at)
+    assert sum(len(r._near) for r in got) < 900 * 8  # of 30 pivots each
