@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rtq.session import cut_lineage
+
 #: Shuffle keys the texts of one language pair are dealt to.
 PAIR_TASKS = 256
 
@@ -61,14 +63,14 @@ def batch_translate(todo: DataFrame, make_translator: Callable[[str, str], Calla
 def lexicon_translate(todo: DataFrame, dictionary: DataFrame) -> DataFrame:
     """INF1 test double as a plain join: word-by-word substitution through a
     ``dictionary(form, lemma)`` table; unknown words are kept.  Whole texts."""
-    words = todo.select("src_lang", "trg_lang", "text",
-                        F.posexplode(F.split(F.col("text"), " ")).alias("pos", "w"))
-    d = dictionary.groupBy(F.col("form").alias("w")).agg(F.min("lemma").alias("tw"))
+    # A text is named by a number while its words are looked up: beside each of its words it would be shuffled once a word.
+    texts = cut_lineage(todo.select("src_lang", "trg_lang", "text", F.monotonically_increasing_id().alias("_id")), "numbered-texts")
+    words = texts.select("_id", F.posexplode(F.split(F.col("text"), " ")).alias("pos", "w"))
+    d = cut_lineage(dictionary.groupBy(F.col("form").alias("w")).agg(F.min("lemma").alias("tw")), "dictionary")
     t = words.join(d, "w", "left").withColumn("tw", F.coalesce("tw", "w"))
-    g = t.groupBy("src_lang", "trg_lang", "text").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tw"))).alias("ws"))
-    return g.select("src_lang", "trg_lang", "text",
-                    F.array_join(F.transform("ws", lambda x: x["tw"]), " ").alias("translation"))
+    g = t.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tw"))).alias("ws"))
+    out = g.select("_id", F.array_join(F.transform("ws", lambda x: x["tw"]), " ").alias("translation"))
+    return texts.join(out, "_id").select("src_lang", "trg_lang", "text", "translation")
 
 
 def complete_back_translation(segments: DataFrame, store: DataFrame, translate: Callable[[DataFrame], DataFrame],

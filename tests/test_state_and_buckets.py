@@ -78,3 +78,14 @@ def test_word_vectors(spark):
         for (k, w), v in got.items():
             mine = vectors[[i for i in range(40) if (i % 3, i % 4) == (k, w)]]
             assert np.allclose(v, f(mine, axis=0), atol=1e-12)
+
+
+def test_texts_are_not_shuffled_with_their_words(spark):
+    import re
+    from rtq.operators import translate as TR
+    todo = spark.createDataFrame([("de", "en", "a b a c"), ("de", "en", ""), ("fr", "en", "a b a c"), ("de", "en", None)], "src_lang string, trg_lang string, text string")
+    words = spark.createDataFrame([("a", "x"), ("a", "w"), ("c", "z")], "form string, lemma string")
+    out = TR.lexicon_translate(todo, words)
+    assert sorted(map(tuple, out.collect())) == [("de", "en", "", ""), ("de", "en", "a b a c", "w b w z"), ("fr", "en", "a b a c", "w b w z")]
+    kept = re.search(r"Generate posexplode\(split\(.*?\)\), \[(.*?)\]", out._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert "text" not in kept, kept
