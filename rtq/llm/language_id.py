@@ -1,9 +1,9 @@
 """Language ID (operator 7): cross-parsing entropy with suffix automata.
 
-A bounded sample of labelled text per language becomes a suffix automaton.  A
-text is parsed greedily into the longest phrases that occur in a language's
-sample; phrases times log2(sample length) over letters estimates the bits a
-character costs, and the language with the least wins.
+Spark counts the words of every labelled row; the most frequent ones of a language,
+a bounded text, become a suffix automaton.  A text is parsed greedily into the
+longest phrases that occur in a language's words; phrases times log2(their length)
+over letters estimates the bits a character costs, and the language with the least wins.
 
 Texts are lower-cased letter codes, everything else is one blank per run.  They
 are parsed in blocks of ``BLOCK`` codes (a phrase ends at a block's end), so
@@ -13,13 +13,13 @@ the automata and broadcasts their edges, a few bytes per sample character; a
 worker only lays them out for look-ups.
 
 ``accepted`` rejects texts without a letter, and texts that cost far more bits a
-character than labelled texts do that were not in the sample (another script,
-junk).  That limit is learned per language and is not applied to texts of under
+character than labelled texts do under a model that did not count them (another
+script, junk).  That limit is learned per language and is not applied to texts of under
 ``LEAST_CODES`` codes, whose cost says little; without labelled rows nothing is
 known, so nothing is rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
-letter that no sample has is a phrase of its own; ties go to the first language
+letter that no language has is a phrase of its own; ties go to the first language
 by code point; with one learned language its score is 1; with none all texts
 are ``und``; repeated rows are predicted one by one; an empty table gives no
 rows; ``identify`` keeps other columns, its own replace those of the same name.
@@ -39,16 +39,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from rtq.llm.queries import free_name, register, table
+from rtq.session import cut_lineage
 
-#: The sample: so many rows per language, so many characters of each.
+#: Characters of frequent words kept per language: as many as so many texts of so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 40, 1500
+#: Letters of a counted word, at most.
+WORD_LETTERS = 16
 #: Codes a text is cut into for parsing.
 BLOCK = 256
 #: Characters parsed together.
 SLICE_CHARS = 1 << 21
 UND = "und"
-#: A text may cost so many times the bits of the costliest labelled text of its language,
-HEADROOM = 2.0
+#: A text may cost so many times the bits of the costliest labelled texts of its language
+#: (all but one in a thousand cost no more),
+HEADROOM, COSTLIEST = 2.0, 0.999
 #: unless it has fewer codes than this.
 LEAST_CODES = 200
 #: Automata with more cells than this are searched by key instead of laid out as a table.
@@ -63,22 +67,38 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def labelled_rows(docs: DataFrame, rows: int, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """At most ``rows`` texts per language, chosen by key hash, ``chars`` characters
-    of each, from labelled rows outside the held-out fold."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    labelled = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, chars).alias("piece"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    got = labelled.withColumn("r", rank).where(F.col("r") <= rows).collect()
+def labelled(docs: DataFrame) -> DataFrame:
+    """``(lang, text, half)`` of the labelled rows outside the held-out fold, dealt to two halves."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
+    return rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("half"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``(lang, word, n0, n1)``: how often each half holds a word, over whole texts.
+    Runs of letters without a blank are cut to words of ``WORD_LETTERS``."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"(\\p{{L}}{{1,{WORD_LETTERS}}})"), F.lit(1))
+    each = rows.select("lang", "half", F.explode(words).alias("word"))
+    return each.groupBy("lang", "word").agg(F.sum(1 - F.col("half")).alias("n0"), F.sum("half").alias("n1"))
+
+
+def frequent_words(counts: DataFrame, n: Column, size: int) -> dict[str, str]:
+    """The words with the greatest counts ``n`` of each language, ``size`` characters of them."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    got = counts.select("lang", "word", n.alias("n")).where("n > 0").withColumn("r", rank).where(F.col("r") <= max(1, size // 2)).collect()
     out: dict[str, list[str]] = {}
+    room: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["r"])):
-        out.setdefault(r["lang"], []).append(r["piece"])
-    return out
+        left = room.setdefault(r["lang"], size)
+        if left > 0:
+            out.setdefault(r["lang"], []).append(r["word"])
+            room[r["lang"]] = left - len(r["word"]) - 1
+    return {k: " ".join(v) for k, v in out.items()}
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """The sample text of every language."""
-    return {k: "\n".join(v) for k, v in labelled_rows(docs, rows, chars).items()}
+    """What is learned of every language: its most frequent words over all labelled
+    rows, as many characters as ``rows`` texts of ``chars``."""
+    return frequent_words(word_counts(labelled(docs)), F.col("n0") + F.col("n1"), rows * chars)
 
 
 class Learned(NamedTuple):
@@ -87,15 +107,21 @@ class Learned(NamedTuple):
 
 
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Learned:
-    """A sample per language, and from as many further labelled rows the bits a text may cost."""
-    got = labelled_rows(docs, 2 * rows, chars)
-    sample = {k: "\n".join(v[:rows]) for k, v in got.items()}
-    parser, limits = Parser(sample), {}
-    for lang, texts in got.items():
-        costs = [bits for _, _, bits, codes in parser.predict_all(texts[rows:]) if codes >= LEAST_CODES]
-        if costs:
-            limits[lang] = HEADROOM * max(costs)
-    widest = max(limits.values(), default=float("inf"))  # for languages without further rows
+    """The frequent words of every language, and the bits a text may cost.  Every
+    labelled row has a part in both: it is priced by the words of the half it is not in."""
+    known, size = labelled(docs), rows * chars
+    counts = cut_lineage(word_counts(known), "word-counts")
+    sample = frequent_words(counts, F.col("n0") + F.col("n1"), size)
+    priced = []
+    for half in (0, 1):
+        other = frequent_words(counts, F.col(f"n{1 - half}"), size)
+        texts = known.where((F.col("half") == half) & F.col("lang").isin(*other) if other else F.lit(False))
+        out, name = _predicted(texts, other, "text")
+        priced.append(out.select("lang", F.col(name)["bits"].alias("bits"), F.col(name)["codes"].alias("codes")))
+    cost = priced[0].unionByName(priced[1]).where(F.col("codes") >= LEAST_CODES).groupBy("lang").agg(
+        F.percentile_approx("bits", F.lit(COSTLIEST), F.lit(10000)).alias("bits"))
+    limits = {r["lang"]: HEADROOM * r["bits"] for r in cost.collect()}
+    widest = max(limits.values(), default=float("inf"))  # for languages of which one half knows nothing
     return Learned(sample, {lang: limits.get(lang, widest) for lang in sample})
 
 

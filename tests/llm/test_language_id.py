@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -123,3 +124,18 @@ def test_pipeline_on_odd_tables(spark, table):
         assert table == "empty" or name == "mixing" or docs.count() <= before
     got = {r.doc_id for r in docs.collect()}
     assert (3 in got and {r._own for r in docs.collect()} == {"clash"}) if rows else not got
+
+
+def test_every_labelled_row_counts(spark):
+    """A word that only late parts of many later rows hold is learned; costs come from all rows."""
+    rows = [(i, "alpha beta gamma " * 120 + ("zulu yankee xray " * 30 if i >= 300 else ""), "aa", "s", 1) for i in range(400)]
+    rows += [(1000 + i, "uno dos tres quatro " * 60, "bb", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learned = learn(docs)
+    assert {"alpha", "zulu", "yankee", "xray"} <= set(learned.sample["aa"].split())
+    counted = {(r.lang, r.word): r.n0 + r.n1 for r in language_id.word_counts(language_id.labelled(docs)).collect()}
+    kept = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert counted["aa", "zulu"] == 30 * sum(300 <= i < 400 for i in kept) and counted["bb", "uno"] == 60 * sum(i >= 1000 for i in kept)
+    assert language_id.accepted(docs, learned).count() == len(rows)
+    junk = spark.createDataFrame([(1, "qxz jvk wpf " * 200, None, "s", 1)], SCHEMA)
+    assert language_id.accepted(junk, learned).count() == 0
