@@ -207,21 +207,32 @@ class Parser:
 
     def __init__(self, model: dict[str, str] | Automata):
         self.model = model = model if isinstance(model, Automata) else automata(model)
-        self.langs, self.table = model.langs, None
+        self.langs, self.table, self.laid = model.langs, None, -1
+        self.ends = [*model.start[1:], model.states * model.size]
         if model.states * model.size <= DENSE_CELLS:
-            self.table = np.zeros(max(1, model.states * model.size), np.int32)
-            self.table[model.keys] = model.targets
+            self.table = np.zeros(max((b - a for a, b in zip(model.start, self.ends, strict=False)), default=1), np.int32)
+
+    def lay(self, lang: int) -> None:
+        """The table holds one language at a time: they are looked up one after the other."""
+        if self.table is None or self.laid == lang:
+            return
+        keys, start = self.model.keys, self.model.start[lang]
+        a, b = np.searchsorted(keys, [start, self.ends[lang]])
+        self.table[:] = 0
+        self.table[keys[a:b] - start] = self.model.targets[a:b]
+        self.laid = lang
 
     def step(self, at: np.ndarray) -> np.ndarray:
-        """Target of each state * size + code, 0 for none."""
+        """Target of each state * size + code of the laid language, 0 for none."""
         if self.table is not None:
-            return self.table[at]
+            return self.table[at - at.dtype.type(self.model.start[self.laid])]
         keys = self.model.keys
         i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
         return np.where(keys[i] == at, self.model.targets[i], 0)
 
     def phrases(self, blocks: np.ndarray, lengths: np.ndarray, lang: int) -> np.ndarray:
         """Phrases of each block; ``blocks`` is position x block, lengths descending."""
+        self.lay(lang)
         start = self.model.keys.dtype.type(self.model.start[lang])
         state = np.full(blocks.shape[1], start)
         count = np.zeros(blocks.shape[1], np.int32)

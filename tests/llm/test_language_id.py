@@ -139,3 +139,11 @@ def test_every_labelled_row_counts(spark):
     assert language_id.accepted(docs, learned).count() == len(rows)
     junk = spark.createDataFrame([(1, "qxz jvk wpf " * 200, None, "s", 1)], SCHEMA)
     assert language_id.accepted(junk, learned).count() == 0
+
+
+def test_a_worker_lays_out_one_language_at_a_time():
+    sample = {k: "".join(random.Random(k).choices("abcdefg ", k=2000)) for k in ("x", "y", "z", "zz")}
+    parser, texts = Parser(sample), [sample["y"][100:900], sample["x"][:500], "gfedcba"]
+    assert parser.table.nbytes < 4 * parser.model.states * parser.model.size / 3
+    assert [r[0] for r in parser.predict(texts)][:2] == ["y", "x"] and parser.predict(texts) == parser.predict(texts)
+    assert [r[2] for r in parser.predict(texts)] == [w[1] for w in plain(texts, sample)]
