@@ -43,6 +43,8 @@ from rtq.session import cut_lineage
 
 #: Characters of frequent words kept per language: as many as so many texts of so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 40, 1500
+#: Tasks that rank the words of a language first.
+RANK_TASKS = 64
 #: Letters of a counted word, at most.
 WORD_LETTERS = 16
 #: Codes a text is cut into for parsing.
@@ -83,8 +85,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def frequent_words(counts: DataFrame, n: Column, size: int) -> dict[str, str]:
     """The words with the greatest counts ``n`` of each language, ``size`` characters of them."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    got = counts.select("lang", "word", n.alias("n")).where("n > 0").withColumn("r", rank).where(F.col("r") <= max(1, size // 2)).collect()
+    most, order = max(1, size // 2), [F.desc("n"), "word"]
+    ranked = counts.select("lang", "word", n.alias("n"), F.pmod(F.xxhash64("word"), F.lit(RANK_TASKS)).alias("part")).where("n > 0")
+    # The last rank reads what its parts leave, however many words a language has.
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most)
+    got = ranked.select("lang", "word", "r").collect()
     out: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["r"])):

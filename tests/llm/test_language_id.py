@@ -147,3 +147,11 @@ def test_a_worker_lays_out_one_language_at_a_time():
     assert parser.table.nbytes < 4 * parser.model.states * parser.model.size / 3
     assert [r[0] for r in parser.predict(texts)][:2] == ["y", "x"] and parser.predict(texts) == parser.predict(texts)
     assert [r[2] for r in parser.predict(texts)] == [w[1] for w in plain(texts, sample)]
+
+
+def test_frequent_words_by_parts(spark):
+    rows = [(lang, f"w{'abcdefgh'[i % 8]}{'xyz'[i // 8 % 3]}{'klmno'[i // 24]}", 7 * i % 31, 0) for lang in ("p", "q") for i in range(120)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n0 long, n1 long")
+    got = language_id.frequent_words(counts, F.col("n0") + F.col("n1"), 100)
+    best = [w for _, w in sorted((-n, w) for lang, w, n, _ in rows if lang == "p" and n)][:20]
+    assert got == {"p": " ".join(best), "q": " ".join(best)}
