@@ -337,7 +337,8 @@ OWN = ("lang_pred", "score", "bits", "codes")
 
 
 def _predicted(docs: DataFrame, sample: dict[str, str], text: str) -> tuple[DataFrame, str]:
-    """``docs`` with one struct column of results whose name is free."""
+    """``docs`` with one struct column of results whose name is free.  Spark repeats a
+    deterministic function for a filter on its result, with another worker a task; not this one."""
     sent, key = docs.sparkSession.sparkContext.broadcast(automata(sample)), uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
@@ -345,7 +346,7 @@ def _predicted(docs: DataFrame, sample: dict[str, str], text: str) -> tuple[Data
         return pd.DataFrame(_parser(key, sent).predict_all(texts.tolist()), columns=list(OWN))
 
     name = free_name(docs.columns)
-    return docs.withColumn(name, predict(F.col(text))), name
+    return docs.withColumn(name, predict.asNondeterministic()(F.col(text))), name
 
 
 def identify(docs: DataFrame, sample: dict[str, str], text: str = "text") -> DataFrame:

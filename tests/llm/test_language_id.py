@@ -155,3 +155,11 @@ def test_frequent_words_by_parts(spark):
     got = language_id.frequent_words(counts, F.col("n0") + F.col("n1"), 100)
     best = [w for _, w in sorted((-n, w) for lang, w, n, _ in rows if lang == "p" and n)][:20]
     assert got == {"p": " ".join(best), "q": " ".join(best)}
+
+
+def test_a_filter_on_the_result_does_not_predict_twice(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    out, name = language_id._predicted(docs, {"a": "some words", "b": "other words"}, "text")
+    p = F.col(name)
+    cost = out.select("lang", p["bits"].alias("bits"), p["codes"].alias("codes")).where("codes >= 2").groupBy("lang").agg(F.max("bits"))
+    assert cost._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
