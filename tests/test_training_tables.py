@@ -32,3 +32,24 @@ def test_a_shared_form_keeps_its_language(spark):
     assert {(r.src_lang, r.id) for r in got} == {("en", 1), ("de", 2), (None, None)}
     got = L.word_sense_join(words, syn, senses, langs=pair, target="trg_lang").collect()
     assert {(r.src_lang, r.full_lemma) for r in got} == {("en", "Geschenk"), ("de", "poison"), (None, None)}
+
+
+def test_boosting_starts_from_checkpointed_rows(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+
+    from rtq.operators import scoring as S
+    rows = spark.range(60).select("id", *((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)) / 7).alias(f) for i, f in enumerate(S.FEATURES)),
+                                  F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(90)).cast("double")).alias("score"))
+    va = VectorAssembler(inputCols=S.FEATURES, outputCol="features", handleInvalid="keep")
+    ready = S.training_rows(va.transform(rows))
+    assert ready.count() == 54 and ready.columns == ["features", "score"]
+    # Nothing but the written rows: no scan, exchange or assembling function.
+    assert "ExistingRDD" in ready._jdf.queryExecution().sparkPlan().toString().strip().split("\n")[0]
+    plain = Pipeline(stages=[va, GBTRegressor(labelCol="score", maxIter=3, maxDepth=7, stepSize=0.1, seed=42)]).fit(
+        S.in_few_tasks(rows.filter("score IS NOT NULL")))
+    got, want = (sorted((r["id"], r["prediction"]) for r in S.predict(m, rows).collect()) for m in (S.fit_gbt(rows, max_iter=3), plain))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-9
