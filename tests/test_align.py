@@ -132,3 +132,22 @@ def test_search_equals_fold(spark, monkeypatch):
         monkeypatch.setattr(A, "FOLD", 3)
         monkeypatch.setattr(A, "FAN", 4)
         assert sorted(map(tuple, A.monotone_ambiguous(m, strict).select("pair_id", "i", "j").collect())) == fold
+
+
+def test_units_without_a_partner_do_not_bid(monkeypatch):
+    """20 units a side among 300: those that are worth 0 to each other start no price war,
+    and units that compete for too few equal ones are settled by the increments."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    padded, few = np.zeros((300, 300)), np.zeros((60, 60))
+    padded[:20, :] = np.maximum(rng.normal(0, 0.15, (20, 300)), 0)
+    few[:, :57] = 0.9 + rng.random((60, 1)) / 20  # three rows more than columns
+    sort, rounds = np.lexsort, []
+    monkeypatch.setattr(A.np, "lexsort", lambda keys: rounds.append(1) or sort(keys))
+    for value in (padded, few):
+        rounds.clear()
+        owner, *_, price = A.auction(value, 1e-3)
+        assert len(rounds) < 1200
+        has = np.flatnonzero(owner >= 0)
+        total, bound = value[owner[has], has].sum(), price.sum() + np.maximum((value - price).max(axis=1), 0).sum()
+        assert len(set(owner[has])) == len(has) and -1e-9 <= bound - total <= len(value) * 1e-3 + 1e-9
