@@ -53,3 +53,23 @@ def test_boosting_starts_from_checkpointed_rows(spark):
     got, want = (sorted((r["id"], r["prediction"]) for r in S.predict(m, rows).collect()) for m in (S.fit_gbt(rows, max_iter=3), plain))
     assert [i for i, _ in got] == [i for i, _ in want]
     assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-9
+
+
+def test_one_task_grows_the_trees_of_spark(spark, monkeypatch):
+    """Without a job a tree: trees, predictions and importances of Spark's trainer."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+
+    from rtq.operators import scoring as S
+    rows = spark.range(3000).select("id", *((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3 + 400 * i)) / 7).alias(f) for i, f in enumerate(S.FEATURES)),
+                                    F.pmod(F.xxhash64("id"), F.lit(90)).cast("double").alias("score"))
+    ready = S.training_rows(VectorAssembler(inputCols=S.FEATURES, outputCol="features", handleInvalid="keep").transform(rows))
+    want = GBTRegressor(labelCol="score", maxIter=6, maxDepth=7, stepSize=0.1, seed=42).fit(ready)
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, data, fit=GBTRegressor.fit: fit(self, data) if data.count() < 3 else None)
+    m = S.fit_gbt(rows, max_iter=6).stages[-1]
+    assert [t.numNodes for t in m.trees] == [t.numNodes for t in want.trees] and list(m.treeWeights) == list(want.treeWeights)
+    assert (m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) == (6, 7, 0.1)
+    assert max(abs(a - b) for a, b in zip(m.featureImportances.toArray(), want.featureImportances.toArray())) < 1e-9
+    both = zip(m.transform(ready).collect(), want.transform(ready).collect(), strict=True)
+    assert max(abs(a.prediction - b.prediction) for a, b in both) < 1e-9
