@@ -74,3 +74,32 @@ def test_training_rows_are_dealt_by_their_number(spark):
         got = S.in_few_tasks(rows, per_task)
         assert got.rdd.getNumPartitions() == tasks and sorted(r.id for r in got.collect()) == list(range(100))
     assert S.in_few_tasks(spark.range(0)).count() == 0
+
+
+def test_pairs_of_one_tile_are_not_shuffled_for_it(spark, monkeypatch):
+    units = spark.range(400).selectExpr("id % 4 AS pair_id", "id % 8 < 4 AS source", "cast(id / 8 AS int) AS at_pos", "id % 7 AS cls")
+    rows, keys = A.dealt(units)
+    assert keys == ["pair_id"] and sorted(rows.collect()) == sorted(units.collect())
+    assert "Exchange" not in _plan(rows) and "Join" not in _plan(rows)
+    monkeypatch.setattr(A, "TILE", 16)
+    rows, keys = A.dealt(units)
+    assert keys == ["pair_id", "_bi", "_bj"] and "Join" not in _plan(rows)
+    want = {(r.pair_id, r.source, r.at_pos, r.at_pos // 16 if r.source else o, o if r.source else r.at_pos // 16) for r in units.collect() for o in range(4)}
+    got = [(r.pair_id, r.source, r.at_pos, r._bi, r._bj) for r in rows.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_few_word_classes_go_to_the_tokens(spark, monkeypatch):
+    """Under the bound no token is shuffled to its word; beyond it the rows are the same, in order."""
+    from conftest import SF001
+    from rtq.plans import pipeline as PL
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = PL.pieces_with_class(spark, SF001)
+        assert "BroadcastHashJoin" in _plan(few) and "Exchange hashpartitioning" not in _plan(few)
+        monkeypatch.setattr(PL, "BROADCAST_WORDS", 0)
+        many = PL.pieces_with_class(spark, SF001)
+        assert "SortMergeJoin" in _plan(many) and _plan(many).index("Sort [pair_id") < _plan(many).index("SortMergeJoin")
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
