@@ -103,3 +103,32 @@ def test_few_word_classes_go_to_the_tokens(spark, monkeypatch):
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pieces_and_matches_meet_once(spark, monkeypatch):
+    """Words of residual pieces over several blocks: no join, no window over a pair."""
+    import random
+    rng = random.Random(5)
+    res = [(p, side, pos, rng.choice(["▁", ""]) + f"{side[0]}{pos}", 3 * pos + 1) for p in range(30) for side in ("src", "trg")
+           for pos in range(rng.randint(0 if p % 7 == 0 else 1, 9))]
+    piece = {(p, side, pos): text for p, side, pos, text, _ in res}
+    size = {(p, side): sum((q, x) == (p, side) for q, x, *_ in res) for p in range(30) for side in ("src", "trg")}
+    links = [(p, i, j) for p in range(30) for i, j in zip(rng.sample(range(9), 9), range(9)) if i < size[p, "src"] and j < size[p, "trg"]]
+    units = spark.createDataFrame([(p, side, pos, text, pos) for p, side, pos, text, _ in res], "pair_id long, side string, pos int, piece string, rpos int")
+    assign = spark.createDataFrame(links, "pair_id long, i int, j int")
+    monkeypatch.setattr(V, "BLOCK_ROWS", 40)
+    for keep_last in (False, True):
+        words = A.regroup_to_words(units, assign, keep_last)
+        assert "Window" not in _plan(words) and "Join" not in _plan(words) and "FlatMapCoGroupsInArrow" in _plan(words)
+        want = {}
+        for p in range(30):
+            k, to = 0, {i: j for q, i, j in links if q == p}
+            for i in range(size[p, "src"] if size[p, "trg"] else 0):
+                k += piece[p, "src", i].startswith("▁")
+                if k:
+                    s, t = want.setdefault((p, k), ("", ""))
+                    if i < size[p, "src"] - (not keep_last):
+                        want[p, k] = s + piece[p, "src", i].replace("▁", ""), t + piece.get((p, "trg", to.get(i)), "").replace("▁", "")
+        got = [(r.pair_id, r.k, r.s, r.t) for r in words.collect()]
+        assert len(got) == len(want) and {(p, k): (s, t) for p, k, s, t in got} == want
+    assert A.regroup_to_words(units.limit(0), assign.limit(0)).count() == 0
